@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import WORD, cut
 
-#: Rows of the ratio table; the most trusted documents that the target is fitted on; pseudo-count of each bucket.
-BUCKETS, MOST_TRUSTED, ALPHA = 1 << 16, 20_000, 0.5
+#: Rows of the ratio table; the most trusted documents that the target is fitted on; raw n-grams by which each bucket's ratio is drawn to 1.
+BUCKETS, MOST_TRUSTED, PSEUDO = 1 << 16, 20_000, 30.0
 #: A document is kept from this mean log ratio (millionths) on.
-KEEP_FROM = -700_000
+KEEP_FROM = -100_000
 
 
 def words_of(text: Column) -> Column:
@@ -42,8 +42,8 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFr
     grams = docs.join(F.broadcast(flag), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(grams_of(words_of(F.col("text")), buckets)).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("r"), F.sum("good").alias("t")))
     sums = counts.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    pad = ALPHA * buckets
-    llr = F.log((F.col("t") + ALPHA) / (sums["t"] + pad)) - F.log((F.col("r") + ALPHA) / (sums["r"] + pad))
+    share = sums["t"] / sums["r"] if sums["t"] else 1.0
+    llr = F.log((F.col("t") + PSEUDO * share) / ((F.col("r") + PSEUDO) * share)) if sums["t"] else F.lit(0.0)
     return counts.select("bucket", F.round(llr * 1_000_000).cast("long").alias("llr"))
 
 
