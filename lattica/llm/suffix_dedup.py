@@ -253,14 +253,23 @@ def _sort(length: int):
         order = np.lexsort((pos, row, block, doc, void))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        run = np.repeat(np.arange(len(n)), n)
-        j = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        # equal runs: all windows but those of the first are repeated; what is left is sorted
+        first: set[bytes] = set()
+        whole = np.zeros(len(n), bool)
+        for i in order.tolist():
+            whole[i] = texts[i] in first
+            first.add(texts[i])
         _, code = np.unique(t["key"].to_numpy(), return_inverse=True)
+        some = np.flatnonzero(~whole & (np.bincount(code[~whole], minlength=len(code))[code] > 1))
+        run = np.repeat(some, n[some])
+        n_some = n[some]
+        j = np.arange(len(run)) - np.repeat(np.cumsum(n_some) - n_some, n_some)
         offset = lead[run] - j  # of the anchor in the window: equal windows have equal ones
         group = code[run].astype(np.int64) * (2 * length) + offset
         gone = repeated(data, base[run] + j, group, place[run] * np.int64(1 << 16) + j, length)
-        r, k = run[gone], j[gone]
-        return block[r], np.stack([row[r], pos[r] + k, pos[r] + k + length], 1).astype(np.int64)
+        r, k, w = run[gone], j[gone], np.flatnonzero(whole)
+        spans = np.concatenate([np.stack([row[r], pos[r] + k, pos[r] + k + length], 1), np.stack([row[w], pos[w], pos[w] + n[w] - 1 + length], 1)])
+        return block[np.concatenate([r, w])], spans.astype(np.int64)
 
     def packed(block: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(block, kind="stable")
@@ -281,7 +290,7 @@ def _sort(length: int):
                 continue
             held.append(b)
             size += b.nbytes
-            if size > 4 << 20:
+            if size > 2 << 20:
                 t = pa.Table.from_batches(held).combine_chunks()
                 key = t["key"].to_numpy()
                 end = int(np.searchsorted(key, key[-1]))
