@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from lattica.llm.pretokens import PATTERN, Memo, batches_of, tokenizer_path
 
@@ -144,21 +146,19 @@ def _tools(path: str):
     if path not in _WORKER:
         ranks = load_ranks(path)
         machine, find = Transducer(ranks), regex.compile(PATTERN).findall
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
 
-        def encode(part: list[str]) -> list[list[int]]:
+        def one(m: str) -> bytes:
+            got = known.get(m)
+            if got is None:
+                ids = machine.encode(m.encode())
+                got = known[m] = struct.pack(f"<{len(ids)}I", *ids)
+            return got
+
+        def encode(part: list[str]) -> list[bytes]:
             if len(known) > 200_000:
                 known.clear()
-            out = []
-            for c in part:
-                ids: list[int] = []
-                for m in find(c):
-                    got = known.get(m)
-                    if got is None:
-                        got = known[m] = machine.encode(m.encode())
-                    ids += got
-                out.append(ids)
-            return out
+            return [b"".join(map(one, find(c))) for c in part]
 
         _WORKER[path] = Memo(encode, limit=300_000), Decoder(ranks)
     return _WORKER[path]
@@ -181,8 +181,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
                 ids += memo.ids(texts[s:e])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, "ids"])
 
-    schema = docs.schema.add("ids", "binary")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", BinaryType())]))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -202,7 +201,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                 shas.append(sha.hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string()), pa.array(shas)], names=[*b.schema.names, "decoded", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, encoded.schema.add("decoded", "string").add("decoded_sha256", "string"))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType()), StructField("decoded_sha256", StringType())]))
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

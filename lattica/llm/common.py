@@ -37,15 +37,22 @@ def ship(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, name)
                         z.write(full, os.path.relpath(full, root))
         spark.sparkContext.addPyFile(path)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # long texts: smaller batches
         _SHIPPED.add(app)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; one of our own only where the session names none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-ckpt-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and go on from there; lost executors lose nothing."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-ckpt-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -28,20 +28,30 @@ def load_tokenizer(path: str):
 
 
 def chunks(text: str) -> list[str]:
-    """``text`` cut before every space that follows a non-space; no pre-token crosses such a place."""
+    """Keys of ``text`` cut before every space that follows a non-space; no pre-token crosses such a place.
+
+    A piece that begins with one space has the rest of it as its key, any other piece a key that begins with a space.
+    """
     if _GAP.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest] if rest else []
+        return [c[1:] if c[0] == " " and c[1:2] != " " else " " + c for c in _CUT.split(text) if c]
+    found = text.split(" ")
+    if found[0]:
+        found[0] = " " + found[0]
+        return found
+    return found[1:]
+
+
+def piece_of(key: str) -> str:
+    return key[1:] if key[:1] == " " else " " + key
 
 
 class Memo:
     """Ids of texts as bytes (little-endian unsigned 32-bit), chunk by chunk.
 
-    ``encode`` maps a list of unseen chunks to their id lists. The memo is emptied when it holds ``limit`` chunks.
+    ``encode`` maps a list of unseen pieces to their ids as such bytes. The memo is emptied when it holds ``limit`` keys.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 500_000):
         self.encode, self.limit, self.seen = encode, limit, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -51,7 +61,7 @@ class Memo:
         new = list(set().union(*cut) - self.seen.keys())
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            self.seen.update(zip(part, [np.array(x, "<u4").tobytes() for x in self.encode(part)]))
+            self.seen.update(zip(part, self.encode([piece_of(k) for k in part])))
         get = self.seen.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -84,17 +94,18 @@ class LibraryEncoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, part: list[str]) -> list:
+    def __call__(self, part: list[str]) -> list[bytes]:
         out: list = [None] * len(part)
         easy = [i for i, c in enumerate(part) if c[0] == " " and c.rfind(" ") == 0 and not c[1:2].isspace() and len(c) > 1]
         for s in range(0, len(easy), 512):
             some = easy[s : s + 512]
-            ids = np.array(self._plain(["".join([part[i] for i in some])])[0], np.int64)
+            ids = np.array(self._plain(["".join([part[i] for i in some])])[0], "<u4")
             at = np.flatnonzero(self.starts[ids])
             if len(at) == len(some) and at[0] == 0:
-                for i, x in zip(some, np.split(ids, at[1:])):
-                    out[i] = x
+                raw, ends = ids.tobytes(), (at * 4).tolist()
+                for i, a, b in zip(some, ends, [*ends[1:], len(raw)]):
+                    out[i] = raw[a:b]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._plain([part[i] for i in rest])):
-            out[i] = x
+            out[i] = np.array(x, "<u4").tobytes()
         return out

@@ -1,11 +1,11 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from lattica.llm import common, mixing, quality, simhash, suffix_dedup, url_filter
+from lattica.llm import bpe_transducer, common, mixing, quality, simhash, suffix_dedup, token_file, url_filter
 
 
 def _shipped(f):
     return lambda spark, sf_dir: f(common.ship(spark), sf_dir)
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (simhash.op1_simhash, suffix_dedup.op3_suffix_dedup, url_filter.op4_url_filter, quality.op5_quality_rules, mixing.op8_mix_sources)}
+QUERIES = {f.__name__: _shipped(f) for f in (simhash.op1_simhash, suffix_dedup.op3_suffix_dedup, url_filter.op4_url_filter, quality.op5_quality_rules, token_file.op7_token_file, mixing.op8_mix_sources, bpe_transducer.op9_bpe)}
 ORACLE_SQL = {"op4_url_filter": url_filter.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL}
