@@ -64,21 +64,24 @@ def text_size(df: DataFrame, text_col: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0)
 
 
-def blocked(df: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, doc_id, text) dealt into blocks of about ``block_bytes``; null texts become empty.
+def blocked(df: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(block, doc_id, text, *carry) dealt into blocks of about ``block_bytes``; null texts become empty.
 
     All rows of one id share a block. Plans that use the frame twice reuse its one exchange.
     """
-    n = max(1, math.ceil(text_size(df, text_col) / block_bytes))
-    doc = F.col(id_col).cast("long")
-    return df.select(
-        F.pmod(F.xxhash64(doc), F.lit(n)).alias("block"), doc.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).repartition("block")
+    n = max(1, math.ceil(text_size(df) / block_bytes))
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.select(F.pmod(F.xxhash64(doc), F.lit(n)).alias("block"), doc.alias("doc_id"), text.alias("text"), *carry).repartition("block")
+
+
+def ordered(table: pa.Table) -> pa.Table:
+    """A block in its fixed order: by id (null last), then text."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def in_order(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and UTF-8 texts of a block in its fixed order: by id (null last), then text."""
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    """Ids and UTF-8 texts of a block in its fixed order."""
+    table = ordered(table)
     return table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist()
 
 

@@ -74,7 +74,7 @@ def repeat_words(df: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM, buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: doc_id, the statistics, base_failed, llr_mean (millionths; null without words), kept.
+    """One row per document: doc_id, text_hash, the statistics, base_failed, llr_mean (millionths), kept.
 
     Null and empty texts have no words and fail the base rules. Repeated rows are judged alike, each on its own
     row; a null id is a document like any other, never trusted. Without labels every ratio is near 0 and nothing
@@ -83,9 +83,9 @@ def judge(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM, bucket
     docs = docs.select("doc_id", "text")
     table = ratios(docs, labels, buckets)
     stats = statistics(F.col("text"))
-    base = docs.select("doc_id", words_of(F.col("text")).alias("words"), *[c.alias(k) for k, c in stats.items()])
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"), *[c.alias(k) for k, c in stats.items()])
     base = repeat_words(base).withColumn("n_words", F.size("words").cast("long")).withColumn("uid", F.monotonically_increasing_id())
-    keys = ["uid", "doc_id", "n_words", *stats, "n_repeat_words"]
+    keys = ["uid", "doc_id", "text_hash", "n_words", *stats, "n_repeat_words"]
     # rows of one document stay in one task up to the partial sum, so one row a document is shuffled
     scored = base.select(*keys, F.explode_outer(grams_of(F.col("words"), buckets)).alias("bucket")).join(F.broadcast(table), "bucket", "left")
     summed = scored.groupBy(*keys).agg(F.sum("llr").alias("total"), F.count("bucket").alias("n_grams"))
@@ -94,5 +94,11 @@ def judge(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM, bucket
     return summed.select(*keys[1:], mean.alias("llr_mean"), failed.alias("base_failed"), (~failed & (mean >= keep_from)).alias("kept"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, columns unchanged."""
+    good = judge(docs, labels).where("kept").select(F.col("doc_id").alias("g_id"), "text_hash").distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("text_hash")), "left_semi")
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")

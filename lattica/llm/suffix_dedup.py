@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ASK, answers, blocked, in_order, lookup_parts, requests, text_size, totals
+from lattica.llm.common import ASK, answers, blocked, in_order, lookup_parts, ordered, requests, text_size, totals
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Window starts that are hashed at a time, which bounds a task's memory on long documents.
@@ -304,10 +304,10 @@ def _sort(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 2 << 20, hot: int = 16_384) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 2 << 20, hot: int = 16_384, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(blocks, cuts): the documents in blocks, and (block, cuts) with packed (row, start, end) spans to remove."""
     n = text_size(docs)
-    blocks = blocked(docs, block_bytes)
+    blocks = blocked(docs, block_bytes, carry)
     told = answers(blocks.groupBy("block").applyInArrow(_ask(length, gram, lookup_parts(n)), ASK))
     sent = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(length, gram, hot), _RUNS_SQL)
     salt = F.coalesce("key", F.xxhash64("block"))
@@ -331,23 +331,38 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): what is left of every text as bytes.
+def dedup(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, *carry): what is left of every text as bytes.
 
     Removed is each byte covered by a ``length``-byte string that also starts earlier: in a smaller id, or earlier in
     the same text. Null and empty texts have nothing to remove. A null id comes last; rows that share an id are
     ordered by their texts, so of two equal rows one is removed whole. An empty table gives an empty result.
     """
-    blocks, cuts = repeated_spans(docs, **options)
+    blocks, cuts = repeated_spans(docs, carry=carry, **options)
 
     def run(mine: pa.Table, found: pa.Table) -> pa.Table:
         ids, texts = in_order(mine)
-        spans = _spans_by_row(found)
+        spans, mine = _spans_by_row(found), ordered(mine)
         left = [_kept(t, spans.get(i, [])) for i, t in enumerate(texts)]
         cols = [ids, [len(t) for t in texts], [len(t) - len(k) for t, k in zip(texts, left)], [len(spans.get(i, [])) for i in range(len(texts))], left]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        columns = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+        return pa.table([*columns, *[mine[c] for c in carry]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    return blocks.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return blocks.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(run, schema)
+
+
+def as_text(left: DataFrame) -> DataFrame:
+    """``left`` with ``text`` for ``kept``: what is left, without bytes that no longer make a character."""
+    names = [c for c in left.columns if c not in ("kept", "text")]
+
+    def run(batches):
+        for b in batches:
+            texts = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], texts], names=[*names, "text"])
+
+    schema = ", ".join([f"`{c}` {left.schema[c].dataType.simpleString()}" for c in names] + ["text string"])
+    return left.select(*names, "kept").mapInArrow(run, schema)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
