@@ -12,6 +12,7 @@ import math
 import os
 import tempfile
 import zipfile
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -91,24 +92,33 @@ ASK = "part int, block long, keys binary, counts binary"
 ANSWER = "block long, part int, totals binary"
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts are mostly small: packed, they take a fraction of what the keys take."""
+    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<u4")
+
+
 def requests(block: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
     """A block's distinct keys (sorted uint64) with their counts, cut at the borders of the hash partitions."""
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     cuts = np.flatnonzero(np.diff(part)) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-    rows = [(int(part[s]), int(block), keys[s:e].tobytes(), counts[s:e].astype("<u4").tobytes()) for s, e in zip(starts, ends) if e > s]
+    rows = [(int(part[s]), int(block), keys[s:e].tobytes(), _pack(counts[s:e])) for s, e in zip(starts, ends) if e > s]
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "keys", "counts"])
 
 
 def _total(table: pa.Table) -> pa.Table:
     keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()]
+    counts = [_unpack(x) for x in table["counts"].to_pylist()]
     _, where = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(where, weights=np.concatenate(counts))
     found = np.minimum(sums, 2**32 - 1).astype("<u4")[where]
     ends = np.cumsum([len(k) for k in keys])
     return pa.table(
-        [table["block"], table["part"], pa.array([found[e - len(k) : e].tobytes() for k, e in zip(keys, ends)], pa.binary())], names=["block", "part", "totals"]
+        [table["block"], table["part"], pa.array([_pack(found[e - len(k) : e]) for k, e in zip(keys, ends)], pa.binary())], names=["block", "part", "totals"]
     )
 
 
@@ -120,7 +130,7 @@ def answers(asked: DataFrame) -> DataFrame:
 def totals(table: pa.Table) -> np.ndarray:
     """The answers of one block as counts of its sorted keys."""
     table = table.sort_by("part")
-    return np.concatenate([np.frombuffer(x, "<u4") for x in table["totals"].to_pylist()] or [np.zeros(0, "<u4")])
+    return np.concatenate([_unpack(x) for x in table["totals"].to_pylist()] or [np.zeros(0, "<u4")])
 
 
 def lookup_parts(n_bytes: int, part_bytes: int = 16 << 20) -> int:
