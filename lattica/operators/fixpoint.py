@@ -39,14 +39,15 @@ def minus(new: DataFrame, known: DataFrame) -> DataFrame:
     return new.distinct().join(k, same, "left_anti")
 
 
-def grow(seed: Relations, step: Callable[[Relations, Relations], dict[str, list[DataFrame]]], most_rounds: int = 1000) -> Relations:
+def grow(seed: Relations, step: Callable[[Relations, Relations], dict[str, list[DataFrame]]], most_rounds: int = 1000, sparse: bool = False) -> Relations:
     """Least fixpoint of mutually recursive set rules, semi-naive.
 
     ``step(delta, total)`` lists, for each relation, frames of rows that follow from at least one row of ``delta``
-    (``total`` includes ``delta``). Ends when no relation grows.
+    (``total`` includes ``delta``). Ends when no relation grows. With ``sparse``, ``delta`` leaves out relations
+    without new rows, so that ``step`` need not plan rules that cannot fire.
     """
     total = {k: settle(v.distinct()) for k, v in seed.items()}
-    delta, parts = dict(total), {k: [v] for k, v in total.items()}
+    delta, parts = {k: v for k, v in total.items() if not (sparse and v.isEmpty())}, {k: [v] for k, v in total.items()}
     for _ in range(most_rounds):
         fresh: Relations = {}
         for name, frames in step(delta, total).items():
@@ -56,8 +57,8 @@ def grow(seed: Relations, step: Callable[[Relations, Relations], dict[str, list[
                     fresh[name] = found
         if not fresh:
             return total
+        delta = dict(fresh) if sparse else {k: fresh.get(k, v.limit(0)) for k, v in total.items()}
         for name in total:
-            delta[name] = fresh.get(name, total[name].limit(0))
             if name in fresh:
                 parts[name].append(fresh[name])
                 if len(parts[name]) > 8:  # many small pieces become one

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.contexts import Abstraction
@@ -52,6 +52,11 @@ def _passes(df: DataFrame, p: Program) -> DataFrame:
     return df.where("filter is null").unionByName(typed.select(*df.columns))
 
 
+def _of_row(ctx: Column) -> Column:
+    """``ctx`` as a value of each row, also where it is one constant: plans that fold it fail on checkpointed inputs."""
+    return F.concat(ctx, F.slice(F.col("ctx"), 1, 0))
+
+
 def _row(df: DataFrame, **more) -> dict:
     return {**{c: df[c] for c in df.columns}, **more}
 
@@ -65,12 +70,13 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
     store = p["store"].select("base", "f", F.col("src").alias("s"))
     load = p["load"].select("base", "f", F.col("dst").alias("d"))
     calls = p["call"]
+    has_receivers = not calls.where("dispatch <> 'static'").isEmpty()
     init = p["is_init"].select(F.col("m").alias("callee"), F.lit(True).alias("init"))
 
     def merged(found: DataFrame, static: bool) -> DataFrame:
         """found: (m, ctx, site, callee, heap, hctx, heap facts) with the callee's context."""
         f = found.join(init, "callee", "left").withColumn("is_init", F.coalesce("init", F.lit(False)))
-        return f.withColumn("ectx", haf.merge(_row(f, is_static=F.lit(static))))
+        return f.withColumn("ectx", _of_row(haf.merge(_row(f, is_static=F.lit(static)))))
 
     def static_calls(reach: DataFrame) -> DataFrame:
         c = calls.where("dispatch = 'static'").join(reach, "m").withColumnRenamed("target", "callee")
@@ -114,34 +120,51 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
         return hit.where(f"f <> {CONTENTS}").unionByName(ok.select(*hit.columns))
 
     def step(d: Relations, t: Relations) -> dict[str, list[DataFrame]]:
-        fresh = p["new"].join(d["reachable"], "m").join(sites.withColumnRenamed("heap", "site"), "site", "left")
-        made = fresh.select("v", "ctx", F.col("site").alias("heap"), haf.record(_row(fresh)).alias("hctx"))
-        copied = _passes(d["pts"].join(p["assign"].withColumnRenamed("dst", "to").withColumnRenamed("src", "v").drop("m"), "v"), p)
-        hit = receiver_calls(d["pts"])
-        this = hit.join(p["formal"].where("i = 0").select(F.col("m").alias("callee"), F.col("v").alias("this")), "callee").select(F.col("this").alias("v"), F.col("ectx").alias("ctx"), "heap", "hctx")
-        edges = [static_calls(d["reachable"]), hit.select("m", "ctx", "site", "callee", "ectx")]
-        c0 = haf.initial()
-        sload = p["sload"].join(d["reachable"], "m").join(statics, "f").select(F.col("fv").alias("src"), c0.alias("sctx"), "dst", F.col("ctx").alias("dctx"))
-        sstore = p["sstore"].join(d["reachable"], "m").join(statics, "f").select("src", F.col("ctx").alias("sctx"), F.col("fv").alias("dst"), c0.alias("dctx"))
-        clinit = p["class_init"].join(d["reachable"], "m").select(F.col("clinit").alias("m"), c0.alias("ctx"))
-        pts = [made, copied.select(F.col("to").alias("v"), "ctx", "heap", "hctx"), along(d["pts"], t["flow"]), along(t["pts"], d["flow"]), loads(d["pts"], t["fpts"]), loads(t["pts"], d["fpts"]), this]
-        out = {
-            "reachable": [d["call_edge"].select(F.col("callee").alias("m"), F.col("ectx").alias("ctx")), clinit],
-            "pts": pts,
-            "fpts": [stores(d["pts"], t["pts"]), stores(t["pts"], d["pts"])],
-            "flow": [*flows(d["call_edge"]), sload, sstore],
-            "call_edge": edges,
-        }
+        out: dict[str, list[DataFrame]] = {k: [] for k in t}
+        heap_used = "load" in p.tables or "store" in p.tables or "clone" in p.tables
+        c0 = _of_row(haf.initial())
+        if "reachable" in d:
+            reach = d["reachable"]
+            fresh = p["new"].join(reach, "m").join(sites.withColumnRenamed("heap", "site"), "site", "left")
+            out["pts"].append(fresh.select("v", "ctx", F.col("site").alias("heap"), _of_row(haf.record(_row(fresh))).alias("hctx")))
+            out["call_edge"].append(static_calls(reach))
+            if "static_var" in p.tables:
+                out["flow"].append(p["sload"].join(reach, "m").join(statics, "f").select(F.col("fv").alias("src"), c0.alias("sctx"), "dst", F.col("ctx").alias("dctx")))
+                out["flow"].append(p["sstore"].join(reach, "m").join(statics, "f").select("src", F.col("ctx").alias("sctx"), F.col("fv").alias("dst"), c0.alias("dctx")))
+            if "class_init" in p.tables:
+                out["reachable"].append(p["class_init"].join(reach, "m").select(F.col("clinit").alias("m"), c0.alias("ctx")))
+        if "pts" in d:
+            pts = d["pts"]
+            copied = _passes(pts.join(p["assign"].withColumnRenamed("dst", "to").withColumnRenamed("src", "v").drop("m"), "v"), p)
+            out["pts"] += [copied.select(F.col("to").alias("v"), "ctx", "heap", "hctx"), along(pts, t["flow"])]
+            if has_receivers:
+                hit = receiver_calls(pts)
+                this = hit.join(p["formal"].where("i = 0").select(F.col("m").alias("callee"), F.col("v").alias("this")), "callee")
+                out["pts"].append(this.select(F.col("this").alias("v"), F.col("ectx").alias("ctx"), "heap", "hctx"))
+                out["call_edge"].append(hit.select("m", "ctx", "site", "callee", "ectx"))
+            if heap_used:
+                out["pts"].append(loads(pts, t["fpts"]))
+                out["fpts"] += [stores(pts, t["pts"]), stores(t["pts"], pts)]
+        if "fpts" in d:
+            out["pts"].append(loads(t["pts"], d["fpts"]))
+        if "flow" in d:
+            out["pts"].append(along(t["pts"], d["flow"]))
+        if "call_edge" in d:
+            out["reachable"].append(d["call_edge"].select(F.col("callee").alias("m"), F.col("ectx").alias("ctx")))
+            out["flow"] += flows(d["call_edge"])
         if "clone" in p.tables:
             cloned(out, d, t)
         return out
 
-    def cloned(out, d, t) -> None:
+    def cloned(out: dict[str, list[DataFrame]], d: Relations, t: Relations) -> None:
         """``clone`` calls: a new object (``fresh`` site) per receiver class, with the receiver's fields copied."""
         c = calls.join(p["clone"], "site").select("receiver", "result", "fresh")
         copy = lambda pts, fp: pts.join(c, pts["v"] == c["receiver"]).join(fp, ["heap", "hctx"]).select(F.col("fresh").alias("heap"), F.col("ctx").alias("hctx"), "f", "heap2", "hctx2")
-        out["pts"].append(d["pts"].join(c, d["pts"]["v"] == c["receiver"]).select(F.col("result").alias("v"), "ctx", F.col("fresh").alias("heap"), F.col("ctx").alias("hctx")))
-        out["fpts"] += [copy(d["pts"], t["fpts"]), copy(t["pts"], d["fpts"])]
+        if "pts" in d:
+            out["pts"].append(d["pts"].join(c, d["pts"]["v"] == c["receiver"]).select(F.col("result").alias("v"), "ctx", F.col("fresh").alias("heap"), F.col("ctx").alias("hctx")))
+            out["fpts"].append(copy(d["pts"], t["fpts"]))
+        if "fpts" in d:
+            out["fpts"].append(copy(t["pts"], d["fpts"]))
 
     spark = p.entry.sparkSession
     seed = {
@@ -151,7 +174,7 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
         "flow": spark.createDataFrame([], "src long, sctx array<long>, dst long, dctx array<long>"),
         "call_edge": spark.createDataFrame([], "m long, ctx array<long>, site long, callee long, ectx array<long>"),
     }
-    return grow(seed, step, most_rounds)
+    return grow(seed, step, most_rounds, sparse=True)
 
 
 def copy_closure(new: DataFrame, assign: DataFrame) -> DataFrame:
