@@ -23,10 +23,15 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def grams_of(words: Column, buckets: int = BUCKETS) -> Column:
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def grams_of(hashes: Column, buckets: int = BUCKETS) -> Column:
     """Buckets of all words, then of all pairs of neighbours; repeats included."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    two = F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
     return F.concat(one, two)
 
 
@@ -39,7 +44,7 @@ def trusted(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, llr) for every bucket seen: log ratio of trusted to raw frequency in millionths."""
     flag = trusted(labels).withColumn("good", F.lit(1))
-    grams = docs.join(F.broadcast(flag), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(grams_of(words_of(F.col("text")), buckets)).alias("bucket"))
+    grams = docs.join(F.broadcast(flag), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), hashes_of(words_of(F.col("text"))).alias("hashes")).select("good", F.explode(grams_of(F.col("hashes"), buckets)).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("r"), F.sum("good").alias("t")))
     sums = counts.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("r"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     share = sums["t"] / sums["r"] if sums["t"] else 1.0
@@ -59,13 +64,14 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def repeat_words(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words to a frame with ``words``: words inside 3-word windows that the text holds twice or more.
+    """Adds n_repeat_words to a frame with ``hashes`` of the words: words inside 3-word windows that the text holds
+    twice or more.
 
-    The windows of one text are sorted within its row; equal neighbours mark their three positions.
+    The windows of one text, by their 64-bit hashes, are sorted within its row; equal neighbours mark their positions.
     """
-    n, w = F.size("words"), F.col("words")
+    n, h = F.size("hashes"), F.col("hashes")
     starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i")))
+    windows = F.transform(starts, lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("t"), i.alias("i")))
     df = df.withColumn("sorted", F.sort_array(windows))
     s = F.col("sorted")
     # the sorted array is read more than once below, so that the optimizer keeps it as a column of its own
@@ -73,6 +79,14 @@ def repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))).cast("long")).drop("sorted")
 
 
+def as_array(table: DataFrame, buckets: int) -> Column:
+    """The ratios as one constant array of ``buckets`` longs, 0 where a bucket was not seen."""
+    values = [0] * buckets
+    for r in table.collect():  # at most ``buckets`` rows
+        values[r["bucket"]] = r["llr"]
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # folded to a constant by the optimizer
+
+
 def judge(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: doc_id, text_hash, the statistics, base_failed, llr_mean (millionths), kept.
 
@@ -81,17 +95,17 @@ def judge(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM, bucket
     is rejected by it. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     docs = docs.select("doc_id", "text")
-    table = ratios(docs, labels, buckets)
+    table = as_array(ratios(docs, labels, buckets), buckets)
     stats = statistics(F.col("text"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"), *[c.alias(k) for k, c in stats.items()])
-    base = repeat_words(base).withColumn("n_words", F.size("words").cast("long")).withColumn("uid", F.monotonically_increasing_id())
-    keys = ["uid", "doc_id", "text_hash", "n_words", *stats, "n_repeat_words"]
-    # rows of one document stay in one task up to the partial sum, so one row a document is shuffled
-    scored = base.select(*keys, F.explode_outer(grams_of(F.col("words"), buckets)).alias("bucket")).join(F.broadcast(table), "bucket", "left")
-    summed = scored.groupBy(*keys).agg(F.sum("llr").alias("total"), F.count("bucket").alias("n_grams"))
-    mean = F.when(F.col("n_grams") > 0, F.floor(F.col("total") / F.col("n_grams"))).cast("long")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), hashes_of(words_of(F.col("text"))).alias("hashes"), *[c.alias(k) for k, c in stats.items()])
+    base = repeat_words(base).withColumn("n_words", F.size("hashes").cast("long")).withColumn("grams", grams_of(F.col("hashes"), buckets))
+    total = F.aggregate("grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
+    mean = F.when(F.size("grams") > 0, F.floor(total / F.size("grams"))).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return summed.select(*keys[1:], mean.alias("llr_mean"), failed.alias("base_failed"), (~failed & (mean >= keep_from)).alias("kept"))
+    judged = base.select("doc_id", "text_hash", "n_words", *stats, "n_repeat_words", mean.alias("llr_mean"), failed.alias("base_failed"))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr_mean") >= keep_from, F.lit(False)))
+    # one row in, one row out: a generator keeps later filters from being pushed into, and inlining, the sorts above
+    return judged.select(F.inline(F.array(F.struct(*judged.columns))))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
