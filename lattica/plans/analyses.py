@@ -135,7 +135,7 @@ def bool02_comparison(spark, sf_dir):
 _INST = oracle("instr", "klass", "new", "nullc") + _SUB + ", tests AS (SELECT m, iid, u0 AS v, CAST(1 + iid % 5 AS BIGINT) AS type FROM instr WHERE op = 'INSTANCE_OF')"
 
 
-@query(_INST + ", k AS (SELECT iid, bool_and((type, 100 + heap % 25) IN (SELECT (sup, sub) FROM up)) AS every, bool_or((type, 100 + heap % 25) IN (SELECT (sup, sub) FROM up)) AS some FROM tests JOIN new USING (v) GROUP BY iid) SELECT iid, CASE WHEN (m, v) IN (SELECT (m, v) FROM nullc) THEN 2 WHEN every THEN 1 WHEN NOT some THEN 2 ELSE 3 END AS value FROM tests LEFT JOIN k USING (iid)")
+@query(_INST + ", k AS (SELECT iid, bool_and((type, 100 + heap % 25) IN (SELECT (sup, sub) FROM up)) AS every, bool_or((type, 100 + heap % 25) IN (SELECT (sup, sub) FROM up)) AS any_ok FROM tests JOIN new USING (v) GROUP BY iid) SELECT iid, CASE WHEN (m, v) IN (SELECT (m, v) FROM nullc) THEN 2 WHEN every THEN 1 WHEN NOT any_ok THEN 2 ELSE 3 END AS value FROM tests LEFT JOIN k USING (iid)")
 def bool03_instanceof(spark, sf_dir):
     f = encoded(spark, sf_dir, "instr", "klass", "new", "nullc")
     tests = f["instr"].where("op = 'INSTANCE_OF'").select("m", "iid", F.col("u0").alias("v"), (1 + F.col("iid") % 5).alias("type"))

@@ -149,5 +149,5 @@ def encoded(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFram
 
 def oracle(*names: str) -> str:
     """The same encodings as the head of a DuckDB query."""
-    order = [n for n in ("ev", *names) if n != "ev" or any("ev" in ENCODINGS[x].split() for x in names)]
+    order = dict.fromkeys(n for n in ("ev", *names) if n != "ev" or any("ev" in ENCODINGS[x].split() for x in names))
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({ENCODINGS[n].replace('floor(p_partkey / 2)', 'p_partkey // 2').replace('floor(bb / 2)', 'bb // 2')})" for n in order)
