@@ -5,6 +5,9 @@ fingerprints at distance k or less agree to within t_i bits on some part i (a pa
 thresholds are unequal: a dynamic program picks them, and the number of parts, from candidate counts estimated with
 the bits' frequencies. Fingerprints meet by equal part values (probes flip up to t_i bits), are verified on all 64 bits,
 and each bucket hands on a spanning forest of its links, never all its pairs. Components come from alternating stars.
+
+64 bits tell a similarity of 0.8 from one of 0.6 badly. A print may therefore have further 64-bit words, made from the
+same shingle hashes: candidates come from the first word, and a link must also hold on the bits of all words.
 """
 
 from __future__ import annotations
@@ -28,33 +31,80 @@ PROBE_COST = 100.0
 SMALL_BUCKET, SPLIT_BUCKET = 64, 20_000
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of ``shingle``-word shingles (repeats included); 0 without words."""
+_U = np.uint64
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
+def fingerprint(text: bytes, shingle: int, n_words: int = 1) -> list[int]:
+    """SimHash of ``shingle``-word shingles (repeats included), and ``n_words`` - 1 more over mixed hashes; 0 without words."""
     words = text.lower().split()  # bytes: A-Z only, and splits at 20 and 09-0D only
     if not words:
-        return 0
+        return [0] * n_words
     m = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: m - 1] + 1]).tolist()
     ends = ends[len(words) - m :].tolist()
     joined, h64 = b" ".join(words), xxhash.xxh64_intdigest
     h = np.fromiter((h64(joined[s:e], 42) for s, e in zip(starts, ends)), np.uint64, m)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, m, 1 << 15):
-        part = h[i : i + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > m, bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(n_words):
+        g = mixed(h + _U(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h
+        ones = np.zeros(BITS, np.int64)
+        for i in range(0, m, 1 << 15):
+            part = g[i : i + (1 << 15)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > m, bitorder="little").view("<u8")[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) with the 64 bits as a signed long; null texts count as empty."""
+def _names(n_words: int) -> list[str]:
+    return ["fp", *[f"fp{k}" for k in range(1, n_words)]]
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in names)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, n_words: int = 1) -> DataFrame:
+    """(doc_id, fp, fp1, ...) with 64 bits each as a signed long; null texts count as empty."""
+    names = _names(n_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t or b"", shingle, n_words) for t in b.column("text").cast(pa.binary()).to_pylist()], _U).reshape(-1, n_words)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(n_words)]], names=["doc_id", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {_ddl(names)}")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+def matrix(batch, names: list[str]) -> np.ndarray:
+    """The prints of a batch, a row each."""
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[c].to_numpy() for c in names], 1).view(_U)
+
+
+def node_of(x: np.ndarray) -> np.ndarray:
+    """What a print is called in the graph: its one word, or a hash of its words."""
+    h = x[:, 0]
+    for k in range(1, x.shape[1]):
+        h = mixed(h) + x[:, k]
+    return h
+
+
+def linked(x: np.ndarray, y: np.ndarray, within: int, within_all: int) -> np.ndarray:
+    """Rows of ``x`` and ``y`` that differ in ``within`` bits of the first word and ``within_all`` of all at most."""
+    first = np.bitwise_count(x[..., 0] ^ y[..., 0])
+    if x.shape[-1] == 1:
+        return first <= within
+    out = first <= within
+    at = np.flatnonzero(out)
+    rest = x[at] ^ (y[at] if y.ndim == x.ndim else y)
+    out[at] = np.bitwise_count(rest).sum(1, dtype=np.int64) <= within_all
+    return out
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -134,15 +184,16 @@ def _values(fps: np.ndarray, bits: list[int]) -> np.ndarray:
 
 
 def signatures(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, fp, own): each fingerprint under its own part values and under the smaller values within the threshold."""
+    """(key, own, fp, ...): each print under its first word's part values and under the smaller values within the threshold."""
+    names = distinct.columns
 
     def run(batches):
         for b in batches:
-            fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            fps = matrix(b, names)
             for start in range(0, len(fps), 2000):
                 x = fps[start : start + 2000]
                 for i, (bits, t) in enumerate(plan):
-                    v = _values(x, bits)
+                    v = _values(x[:, 0], bits)
                     keys, rows, own = [v], [x], [np.ones(len(x), bool)]
                     for d in range(1, t + 1):
                         for c in combinations(range(len(bits)), d):
@@ -152,37 +203,40 @@ def signatures(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFr
                             rows.append(x[less])
                             own.append(np.zeros(int(less.sum()), bool))
                     k = np.concatenate(keys) * np.uint64(8) + np.uint64(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.concatenate(own))], names=["key", "fp", "own"])
+                    prints = np.concatenate(rows).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.concatenate(own)), *[pa.array(np.ascontiguousarray(c)) for c in prints.T]], names=["key", "own", *names])
 
-    return distinct.mapInArrow(run, "key long, fp long, own boolean")
+    return distinct.mapInArrow(run, f"key long, own boolean, {_ddl(names)}")
 
 
-def forest(fps: np.ndarray, within: int, split: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect exactly what the links at ``within`` bits connect: a breadth-first search over ``fps``."""
-    if split and len(fps) > SPLIT_BUCKET:  # exact: two linked fingerprints agree on one of within + 1 slices
+def forest(fps: np.ndarray, within: int, within_all: int, split: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect exactly what the links between rows of ``fps`` connect: a breadth-first search."""
+    if split and len(fps) > SPLIT_BUCKET:  # exact: two linked prints agree on one of within + 1 slices of the first word
         out, width = [], -(-BITS // (within + 1))
         for i in range(within + 1):
-            v = (fps >> np.uint64(i * width)) & np.uint64((1 << min(width, BITS - i * width)) - 1)
+            if i * width >= BITS:
+                break
+            v = (fps[:, 0] >> _U(i * width)) & _U((1 << min(width, BITS - i * width)) - 1)
             order = np.argsort(v, kind="stable")
             for part in np.split(fps[order], np.flatnonzero(np.diff(v[order])) + 1):
                 if len(part) > 1:
-                    out += forest(part, within, split=False)
+                    out += forest(part, within, within_all, split=False)
         return out
     left, out = fps, []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= within
+            near = linked(left, x, within, within_all)
             if near.any():
                 found = left[near]
-                out.append((np.full(len(found), x), found))
+                out.append((np.broadcast_to(x, found.shape), found))
                 queue.extend(found)
                 left = left[~near]
     return out
 
 
-def _bucket_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, within: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bucket_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, within: int, within_all: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of all buckets of sorted keys; buckets without an own row have nothing that is not found elsewhere."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
     sizes = np.diff(np.append(starts, len(key)))
@@ -195,7 +249,9 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, within: int)
     for d in range(1, SMALL_BUCKET):
         if len(k) <= d:
             break
-        hit = (k[:-d] == k[d:]) & (o[:-d] | o[d:]) & (np.bitwise_count(f[:-d] ^ f[d:]) <= within) & (f[:-d] != f[d:])
+        hit = (k[:-d] == k[d:]) & (o[:-d] | o[d:])
+        at = np.flatnonzero(hit)
+        hit[at] = linked(f[at], f[at + d], within, within_all) & (f[at] != f[at + d]).any(1)
         pairs.append((k[:-d][hit], f[:-d][hit], f[d:][hit]))
     if pairs:
         at, a, b = (np.concatenate(x) for x in zip(*pairs))
@@ -203,12 +259,16 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, within: int)
         dense |= crowded
         out.append((a[~crowded[at]], b[~crowded[at]]))
     for s, n in zip(starts[dense], sizes[dense]):
-        out += forest(np.unique(fp[s : s + n]), within)
+        out += forest(np.unique(fp[s : s + n], axis=0), within, within_all)
     return out
 
 
-def links(distinct: DataFrame, within: int = 4) -> DataFrame:
-    """(a, b) with a < b: links at ``within`` bits or fewer, at least a spanning forest of each component."""
+def links(distinct: DataFrame, within: int = 4, within_all: int | None = None) -> DataFrame:
+    """(a, b) with a < b: nodes linked at ``within`` bits of the first word and ``within_all`` of all words or fewer.
+
+    Of each component at least a spanning forest; ``distinct`` holds distinct prints and nothing else.
+    """
+    names, most = distinct.columns, within if within_all is None else within_all
     n, joint = bit_statistics(distinct)
     plan = allocate(n, joint, within)
 
@@ -219,9 +279,10 @@ def links(distinct: DataFrame, within: int = 4) -> DataFrame:
         def out(t: pa.Table):
             if not len(t):
                 return
-            found = _bucket_links(t["key"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["own"].to_numpy(zero_copy_only=False), within)
-            a = np.concatenate([x for x, _ in found] or [np.zeros(0, np.uint64)]).view(np.int64)
-            b = np.concatenate([x for _, x in found] or [np.zeros(0, np.uint64)]).view(np.int64)
+            found = _bucket_links(t["key"].to_numpy(), matrix(t, names), t["own"].to_numpy(zero_copy_only=False), within, most)
+            none = np.zeros((0, len(names)), _U)
+            a = node_of(np.concatenate([x for x, _ in found] or [none])).view(np.int64)
+            b = node_of(np.concatenate([x for _, x in found] or [none])).view(np.int64)
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -260,32 +321,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, within: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, within: int = 4, n_words: int = 1, within_all: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
-    Fingerprints at ``within`` differing bits or fewer are linked; component_id is the smallest id that links lead to.
+    Fingerprints at ``within`` differing bits or fewer are linked (with ``n_words`` over 1: also at ``within_all`` or
+    fewer of all words' bits); component_id is the smallest id that links lead to.
     Null and empty texts and texts without words have fingerprint 0 and are linked like any other. Equal texts
     share a fingerprint and so a component; repeated ids each keep their row. A null id is smaller than none: a
     component of null ids only has a null id. An empty table gives an empty result; other columns are not read.
     """
-    prints = cut(fingerprints(docs, shingle))
-    return label(prints, within)
+    prints = cut(fingerprints(docs, shingle, n_words))
+    return label(prints, within, within_all)
+
 
+def label(prints: DataFrame, within: int = 4, within_all: int | None = None) -> DataFrame:
+    """component_id for prints (doc_id, fp, ...); a print of several words is called by a hash of them."""
+    names = [c for c in prints.columns if c != "doc_id"]
+
+    def named(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node_of(matrix(b, names)).view(np.int64))], names=[*b.schema.names, "node"])
 
-def label(prints: DataFrame, within: int = 4) -> DataFrame:
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(least.select("fp"), within))
-    rooted = cut(least.join(roots, least["fp"] == roots["a"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    least = cut(least.withColumn("node", F.col("fp")) if len(names) == 1 else least.mapInArrow(named, f"{_ddl(names)}, least long, node long"))
+    roots = components(links(least.select(*names), within, within_all))
+    rooted = cut(least.join(roots, least["node"] == roots["a"], "left").select(*names, "least", F.coalesce("root", "node").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.select(*names, "root").join(smallest, "root").drop("root"), names).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, within: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each component, columns unchanged; one row if that id repeats.
 
     Rows with a null id stay only where their component has no id, and then one of them does.
     """
-    found = near_duplicates(docs, shingle, within)
+    found = near_duplicates(docs, **options)
     reps = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "r_id"))
     kept = docs.join(reps, F.col("doc_id").cast("long").eqNullSafe(F.col("r_id"))).drop("r_id")
     if reps.where("n > 1").limit(1).count():
