@@ -52,13 +52,13 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFr
     return counts.select("bucket", F.round(llr * 1_000_000).cast("long").alias("llr"))
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Per-document counts that need only the words themselves."""
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Per-document counts that need only the text and its words."""
     t = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
     return {
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
 
@@ -69,14 +69,17 @@ def repeat_words(df: DataFrame) -> DataFrame:
 
     The windows of one text, by their 64-bit hashes, are sorted within its row; equal neighbours mark their positions.
     """
-    n, h = F.size("hashes"), F.col("hashes")
-    starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("t"), i.alias("i")))
-    df = df.withColumn("sorted", F.sort_array(windows))
+    h = F.col("hashes")
+    m = F.greatest(F.size(h) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(h, 1, m), F.slice(h, 2, m), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("windows", F.zip_with(pairs, F.slice(h, 3, m), lambda a, b: F.xxhash64(a, b)))
+    some = F.size(F.array_distinct("windows")) < F.size("windows")  # else nothing repeats, and nothing need be sorted
+    df = df.withColumn("sorted", F.when(some, F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("t"), i.alias("i"))))))
     s = F.col("sorted")
     # the sorted array is read more than once below, so that the optimizer keeps it as a column of its own
     twice = F.filter(s, lambda x, j: (x["t"] == F.get(s, j - 1)["t"]) | (x["t"] == F.get(s, j + 1)["t"]))
-    return df.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))).cast("long")).drop("sorted")
+    found = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    return df.withColumn("n_repeat_words", F.when(s.isNull(), 0).otherwise(found).cast("long")).drop("windows", "sorted")
 
 
 def as_array(table: DataFrame, buckets: int) -> Column:
@@ -87,32 +90,36 @@ def as_array(table: DataFrame, buckets: int) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # folded to a constant by the optimizer
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM, buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: doc_id, text_hash, the statistics, base_failed, llr_mean (millionths), kept.
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_mean", "base_failed", "kept")
+
+
+def judge(docs: DataFrame, labels: DataFrame, keep_from: int = KEEP_FROM, buckets: int = BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, the statistics, llr_mean (millionths), base_failed, kept; or ``carry`` and kept.
 
     Null and empty texts have no words and fail the base rules. Repeated rows are judged alike, each on its own
     row; a null id is a document like any other, never trusted. Without labels every ratio is near 0 and nothing
-    is rejected by it. An empty table gives an empty result. Other columns of ``docs`` are not read.
+    is rejected by it. An empty table gives an empty result. Other columns of ``docs`` are not read; in ``carry`` any
+    name may stand.
     """
-    docs = docs.select("doc_id", "text")
-    table = as_array(ratios(docs, labels, buckets), buckets)
-    stats = statistics(F.col("text"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), hashes_of(words_of(F.col("text"))).alias("hashes"), *[c.alias(k) for k, c in stats.items()])
+    table = as_array(ratios(docs.select("doc_id", "text"), labels, buckets), buckets)
+    rows = docs.select(F.struct(*(carry or ("doc_id",))).alias("own"), F.col("text").alias("text"), words_of(F.col("text")).alias("words"))
+    stats = statistics(F.col("text"), F.col("words"))
+    base = rows.select("own", hashes_of(F.col("words")).alias("hashes"), *[c.alias(k) for k, c in stats.items()])
     base = repeat_words(base).withColumn("n_words", F.size("hashes").cast("long")).withColumn("grams", grams_of(F.col("hashes"), buckets))
     total = F.aggregate("grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
     mean = F.when(F.size("grams") > 0, F.floor(total / F.size("grams"))).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = base.select("doc_id", "text_hash", "n_words", *stats, "n_repeat_words", mean.alias("llr_mean"), failed.alias("base_failed"))
+    judged = base.select("own", "n_words", *stats, "n_repeat_words", mean.alias("llr_mean"), failed.alias("base_failed"))
     judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr_mean") >= keep_from, F.lit(False)))
     # one row in, one row out: a generator keeps later filters from being pushed into, and inlining, the sorts above
-    return judged.select(F.inline(F.array(F.struct(*judged.columns))))
+    held = ("own", "kept") if carry else ("own", *FIGURES)
+    return judged.select(F.inline(F.array(F.struct(*held))))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, columns unchanged."""
-    good = judge(docs, labels).where("kept").select(F.col("doc_id").alias("g_id"), "text_hash").distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("text_hash")), "left_semi")
+    """The rows of ``docs`` that ``judge`` keeps, columns unchanged; texts are not shuffled."""
+    return judge(docs, labels, carry=tuple(docs.columns)).where("kept").select("own.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("own.doc_id", *FIGURES)
