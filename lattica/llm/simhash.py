@@ -356,11 +356,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows with a null id stay only where their component has no id, and then one of them does.
     """
     found = near_duplicates(docs, **options)
-    reps = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "r_id"))
-    kept = docs.join(reps, F.col("doc_id").cast("long").eqNullSafe(F.col("r_id"))).drop("r_id")
-    if reps.where("n > 1").limit(1).count():
-        kept = kept.where("n = 1").union(kept.where("n > 1").dropDuplicates(["doc_id"]))
-    return kept.drop("n")
+    reps = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__id"))
+    kept = docs.join(reps, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).drop("__id")
+    if reps.where("__rows > 1").limit(1).count():
+        kept = kept.where("__rows = 1").union(kept.where("__rows > 1").dropDuplicates(["doc_id"]))
+    return kept.drop("__rows")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
