@@ -48,7 +48,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again."""
     common.ship(spark)
     path = pretokens.tokenizer_path("byte_bpe_50k.tiktoken")
-    done = bpe_transducer.decode_documents(bpe_transducer.encode_documents(docs.select("doc_id", "source", "text"), path).drop("text"), path)
+    done = bpe_transducer.round_trip(docs.select("doc_id", "source", "text"), path)
     return done.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 

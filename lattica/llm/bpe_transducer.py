@@ -59,7 +59,7 @@ class Transducer:
     was read is settled: there the labels, followed back by their lengths, are emitted.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size_of = {v: len(k) for k, v in ranks.items()}
@@ -156,11 +156,11 @@ def _tools(path: str):
             return got
 
         def encode(part: list[str]) -> list[bytes]:
-            if len(known) > 60_000:
+            if len(known) > 100_000:
                 known.clear()
             return [b"".join(map(one, find(c))) for c in part]
 
-        _WORKER[path] = Memo(encode, limit=100_000), Decoder(ranks)
+        _WORKER[path] = Memo(encode, limit=120_000), Decoder(ranks)
     return _WORKER[path]
 
 
@@ -204,8 +204,33 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType()), StructField("decoded_sha256", StringType())]))
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` without ``text``, with ``ids`` and the SHA-256 of what they decode to.
+
+    The same as encoding and then decoding, in one worker a task, so that no worker holds a second vocabulary. Null and
+    empty texts have no ids; repeated rows, null ids, empty tables and other columns are as there.
+    """
+    docs = docs.drop("ids", "decoded_sha256")
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        for b in batches:
+            memo, decoder = _tools(path)
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for s, e in batches_of(texts):
+                ids, shas = memo.ids(texts[s:e]), []
+                for raw in ids:
+                    sha = hashlib.sha256()
+                    for part, _ in decoder.stream(np.frombuffer(raw, "<u4").tolist()):
+                        sha.update(part)
+                    shas.append(sha.hexdigest())
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(s, e - s) for c in names], pa.array(ids, pa.binary()), pa.array(shas)], names=[*names, "ids", "decoded_sha256"])
+
+    fields = [docs.schema[c] for c in names]
+    return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(run, StructType([*fields, StructField("ids", BinaryType()), StructField("decoded_sha256", StringType())]))
+
+
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = decode_documents(encode_documents(docs, path).select("doc_id", "ids"), path)
+    done = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
