@@ -67,6 +67,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
+        """Back to the first state: states are built again as texts visit them."""
         self.fits: dict[tuple[int, int], bool] = {}
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
@@ -160,10 +161,29 @@ def _tools(path: str):
                 known.clear()
             return [b"".join(map(one, find(c))) for c in part]
 
-        _WORKER[path] = Memo(encode, limit=300_000), Decoder(ranks)
+        memo = Memo(encode, limit=300_000)
+
+        def forget() -> None:
+            machine._reset()
+            known.clear()
+            memo.seen.clear()
+
+        _WORKER[path] = memo, Decoder(ranks), forget
     return _WORKER[path]
 
 
+def _forgetting(path: str, f):
+    """``f`` over a task's batches; afterwards the worker, which Spark keeps, holds the vocabulary and nothing else."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _tools(path)[2]()
+
+    return run
+
+
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``: little-endian unsigned 32-bit token ids of the whole text, special strings as plain text.
 
@@ -174,14 +194,14 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
 
     def run(batches):
         for b in batches:
-            memo, _ = _tools(path)
+            memo = _tools(path)[0]
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             ids: list[bytes] = []
             for s, e in batches_of(texts):
                 ids += memo.ids(texts[s:e])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, "ids"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", BinaryType())]))
+    return docs.mapInArrow(_forgetting(path, run), StructType([*docs.schema.fields, StructField("ids", BinaryType())]))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -190,7 +210,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            _, decoder = _tools(path)
+            decoder = _tools(path)[1]
             texts, shas = [], []
             for raw in b.column("ids").to_pylist():
                 sha, text = hashlib.sha256(), []
@@ -215,7 +235,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            memo, decoder = _tools(path)
+            memo, decoder, _ = _tools(path)
             texts = [t or "" for t in b.column("text").to_pylist()]
             for s, e in batches_of(texts):
                 ids, shas = memo.ids(texts[s:e]), []
@@ -227,7 +247,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(s, e - s) for c in names], pa.array(ids, pa.binary()), pa.array(shas)], names=[*names, "ids", "decoded_sha256"])
 
     fields = [docs.schema[c] for c in names]
-    return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(run, StructType([*fields, StructField("ids", BinaryType()), StructField("decoded_sha256", StringType())]))
+    return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(_forgetting(path, run), StructType([*fields, StructField("ids", BinaryType()), StructField("decoded_sha256", StringType())]))
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
