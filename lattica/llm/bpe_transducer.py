@@ -59,7 +59,7 @@ class Transducer:
     was read is settled: there the labels, followed back by their lengths, are emitted.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 120_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size_of = {v: len(k) for k, v in ranks.items()}
@@ -157,16 +157,17 @@ def _tools(path: str):
             return got
 
         def encode(part: list[str]) -> list[bytes]:
-            if len(known) > 200_000:
+            if len(known) > 150_000:
                 known.clear()
             return [b"".join(map(one, find(c))) for c in part]
 
-        memo = Memo(encode, limit=300_000)
+        memo = Memo(encode, limit=200_000)
 
         def forget() -> None:
             machine._reset()
             known.clear()
             memo.seen.clear()
+            pa.default_memory_pool().release_unused()
 
         _WORKER[path] = memo, Decoder(ranks), forget
     return _WORKER[path]
