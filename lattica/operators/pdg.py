@@ -140,6 +140,6 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def subgraph(nodes: DataFrame, edges: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of the ``methods`` (grp) and their neighbours, with the edges that touch those methods."""
     own = nodes.join(methods, "grp", "left_semi").select("id")
-    touch = edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").union(edges.join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct()
+    touch = edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct()
     ids = own.union(touch.select("src")).union(touch.select("dst")).distinct()
     return nodes.join(ids, "id", "left_semi"), touch
