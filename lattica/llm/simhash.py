@@ -40,17 +40,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def fingerprint(text: bytes, shingle: int, n_words: int = 1) -> list[int]:
-    """SimHash of ``shingle``-word shingles (repeats included), and ``n_words`` - 1 more over mixed hashes; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the ``shingle``-word shingles in order, repeats included; a shorter text is one shingle, none has none."""
     words = text.lower().split()  # bytes: A-Z only, and splits at 20 and 09-0D only
     if not words:
-        return [0] * n_words
+        return np.zeros(0, np.uint64)
     m = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: m - 1] + 1]).tolist()
     ends = ends[len(words) - m :].tolist()
     joined, h64 = b" ".join(words), xxhash.xxh64_intdigest
-    h = np.fromiter((h64(joined[s:e], 42) for s, e in zip(starts, ends)), np.uint64, m)
+    return np.fromiter((h64(joined[s:e], 42) for s, e in zip(starts, ends)), np.uint64, m)
+
+
+def fingerprint(text: bytes, shingle: int, n_words: int = 1) -> list[int]:
+    """SimHash of ``shingle``-word shingles (repeats included), and ``n_words`` - 1 more over mixed hashes; 0 without words."""
+    h = shingle_hashes(text, shingle)
+    m = len(h)
+    if not m:
+        return [0] * n_words
     out = []
     for k in range(n_words):
         g = mixed(h + _U(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h
@@ -350,12 +358,12 @@ def label(prints: DataFrame, within: int = 4, within_all: int | None = None) ->
     return prints.join(rooted.select(*names, "root").join(smallest, "root").drop("root"), names).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None, **options) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each component, columns unchanged; one row if that id repeats.
 
-    Rows with a null id stay only where their component has no id, and then one of them does.
+    ``found`` has (doc_id, component_id) of every row; without it, they come from ``near_duplicates``. Rows with a null id stay only where their component has no id, and then one of them does.
     """
-    found = near_duplicates(docs, **options)
+    found = near_duplicates(docs, **options) if found is None else found
     reps = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__id"))
     kept = docs.join(reps, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).drop("__id")
     if reps.where("__rows > 1").limit(1).count():
