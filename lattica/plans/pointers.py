@@ -67,6 +67,27 @@ def pt07_array_contents(spark, sf_dir):
     return P.field_closure(f["new_small"], f["assign"].where("src < 0"), one(f["store"]), one(f["load"]))["pts"]
 
 
+def _all_fields(spark, sf_dir, one=lambda d: d):
+    """Every order is a statement and every copy edge counts; the recursive SQL over that is too slow, so there is none."""
+    f = encoded(spark, sf_dir, "new_all", "store_all", "load_all", "assign")
+    return P.field_closure(f["new_all"], f["assign"], one(f["store_all"]), one(f["load_all"]))
+
+
+@query()
+def pt05_field_load_all(spark, sf_dir):
+    return _all_fields(spark, sf_dir)["pts"]
+
+
+@query()
+def pt06_field_store_all(spark, sf_dir):
+    return _all_fields(spark, sf_dir)["fpts"]
+
+
+@query()
+def pt07_array_contents_all(spark, sf_dir):
+    return _all_fields(spark, sf_dir, lambda d: d.withColumn("f", F.lit(P.CONTENTS).cast("long")))["pts"]
+
+
 # --- hierarchy and filters -------------------------------------------------------------------------------------
 
 

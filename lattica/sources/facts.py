@@ -119,6 +119,10 @@ ENCODINGS: dict[str, str] = {
     "store": "SELECT o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f, o_orderkey % 200 AS src FROM orders WHERE o_orderkey < 3000",
     "load": "SELECT o_orderkey % 150 AS dst, o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f FROM orders WHERE o_orderkey >= 3000 AND o_orderkey < 6000",
     "new_small": "SELECT DISTINCT o_custkey AS v, o_orderkey % 97 AS heap FROM orders WHERE o_orderkey % 5 = 0",
+    # the same from every row of orders: one statement each, by its status; an allocation site is one of 97
+    "store_all": "SELECT o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f, o_orderkey AS src FROM orders WHERE o_orderstatus = 'O'",
+    "load_all": "SELECT o_orderkey AS dst, o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f FROM orders WHERE o_orderstatus = 'F'",
+    "new_all": "SELECT DISTINCT o_custkey AS v, o_orderkey % 97 AS heap FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('O', 'F')",
     # methods, blocks and instructions: one method a user, one block an event
     "ev": "SELECT event_id, user_id AS m, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS bb, count(*) OVER (PARTITION BY user_id) AS n_blocks FROM events",
     "instr": f"""
