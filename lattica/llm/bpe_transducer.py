@@ -4,7 +4,9 @@ The BPE tokens of a prefix end in exactly one token, and a token sequence is the
 two neighbours are the encoding of theirs. So while reading bytes it is enough to follow, for every place where a
 token may still be open, the bytes since and the token before. These sets are the states of a deterministic
 transducer, built only as texts visit them; each arc is labelled with the token that ends there. A start drops out once
-no token goes on from it, at the latest after the longest token's length, which bounds the lookahead.
+no token goes on from it, at the latest after the longest token's length, which bounds the lookahead: the labels lead
+back from every open start, and what lies before the place where these ways meet is settled. It is emitted every
+``SETTLE`` bytes and its labels are dropped.
 """
 
 from __future__ import annotations
@@ -12,17 +14,19 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from lattica.llm.pretokens import PATTERN, Memo, batches_of, tokenizer_path
+from lattica.llm.pretokens import Memo, batches_of, pretokens, tokenizer_path
+
+#: Bytes read between two looks for settled tokens.
+SETTLE = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,8 +59,7 @@ class Transducer:
     """``encode(piece)`` gives the ids of one pre-token; states and fitting pairs are remembered up to ``limit``.
 
     A state holds each start of a token that may still be open: its bytes so far and the token before it. An arc's
-    label is the token in which the bytes read so far end. A state with no open token is a place where all that
-    was read is settled: there the labels, followed back by their lengths, are emitted.
+    label is the token in which the bytes read so far end.
     """
 
     def __init__(self, ranks: dict[bytes, int], limit: int = 120_000):
@@ -109,10 +112,36 @@ class Transducer:
             at -= self.size_of[labels[at - 1]]
         return out[::-1]
 
+    def settle(self, s: int, labels: list[int]) -> list[int]:
+        """The tokens that no byte to come can change, taken off the front of ``labels``: those before the place where
+        the ways back from all open starts of state ``s`` meet."""
+        starts = {len(labels) - len(held) for held, _ in self.states[s]}
+        while len(starts) > 1:
+            last = max(starts)
+            starts.remove(last)
+            starts.add(last - self.size_of[labels[last - 1]])
+        at = starts.pop()
+        out = self.emit(labels[:at])
+        del labels[:at]
+        return out
+
+    def stream(self, piece: Iterable[int], held: list[int] | None = None) -> Iterator[int]:
+        """Ids of one pre-token's bytes, each as soon as it is settled; ``held`` are the labels kept meanwhile."""
+        s, labels = 0, [] if held is None else held
+        for n, c in enumerate(piece, 1):
+            arc = self.arcs.get(s << 8 | c) or self._arc(s, c)
+            s = arc >> 24
+            labels.append(arc & 0xFFFFFF)
+            if n % SETTLE == 0:
+                yield from self.settle(s, labels)
+        yield from self.emit(labels)
+
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > self.limit or len(self.fits) > 4 * self.limit:
             self._reset()
-        s, labels, arc_of = 0, [], self.arcs.get
+        if len(piece) >= SETTLE:
+            return list(self.stream(piece))
+        s, labels, arc_of = 0, [], self.arcs.get  # too short to settle before its end
         for c in piece:
             arc = arc_of(s << 8 | c) or self._arc(s, c)
             s = arc >> 24
@@ -130,9 +159,9 @@ class Decoder:
 
     def stream(self, ids: Iterable[int], step: int = 4096) -> Iterator[tuple[bytes, str]]:
         """(bytes, text) pieces; a sequence cut between tokens waits for its rest, a broken one becomes U+FFFD."""
-        machine, ids, get = codecs.getincrementaldecoder("utf-8")("replace"), list(ids), self.table.__getitem__
-        for i in range(0, len(ids), step):
-            raw = b"".join(map(get, ids[i : i + step]))
+        machine, ids, get = codecs.getincrementaldecoder("utf-8")("replace"), iter(ids), self.table.__getitem__
+        while part := list(islice(ids, step)):
+            raw = b"".join(map(get, part))
             yield raw, machine.decode(raw)
         tail = machine.decode(b"", final=True)
         if tail:
@@ -143,30 +172,15 @@ _WORKER: dict[str, tuple] = {}
 
 
 def _tools(path: str):
-    """Of this worker: the memo of chunks and the decoder for one vocabulary."""
+    """Of this worker: the memo of pieces and the decoder for one vocabulary, and what empties the former."""
     if path not in _WORKER:
         ranks = load_ranks(path)
-        machine, find = Transducer(ranks), regex.compile(PATTERN).findall
-        known: dict[str, bytes] = {}
-
-        def one(m: str) -> bytes:
-            got = known.get(m)
-            if got is None:
-                ids = machine.encode(m.encode())
-                got = known[m] = struct.pack(f"<{len(ids)}I", *ids)
-            return got
-
-        def encode(part: list[str]) -> list[bytes]:
-            if len(known) > 150_000:
-                known.clear()
-            return [b"".join(map(one, find(c))) for c in part]
-
-        memo = Memo(encode, limit=200_000)
+        machine = Transducer(ranks)
+        memo = Memo(lambda text: [t for p in pretokens(text) for t in machine.encode(p.encode())], limit=150_000)
 
         def forget() -> None:
             machine._reset()
-            known.clear()
-            memo.seen.clear()
+            memo.forget()
             pa.default_memory_pool().release_unused()
 
         _WORKER[path] = memo, Decoder(ranks), forget

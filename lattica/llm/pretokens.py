@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
+import regex
 
 #: Fixed value: the pattern of byte-level BPE pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_GAP, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+_CUT = re.compile(r"(?<=\S)(?= )").split
+#: Letters whose class no version of Unicode changes, and the same pattern over ASCII and these.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_SIMPLE = re.compile(f"[\\x00-\\x7f{_LATIN}]*").fullmatch
+_PARTS = re.compile(rf" ?[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t-\r {_LATIN}0-9]+| ?[0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+_ALL_PARTS = regex.compile(PATTERN).findall
+#: Longer pieces are encoded each time, so that a memo's keys are short.
+LONGEST_KEY = 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,51 +27,51 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def load_tokenizer(path: str):
-    """A tokenizer of the tokenizers library, single-threaded: Spark runs the tasks."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def pretokens(text: str) -> list[str]:
+    """All matches of PATTERN."""
+    return _PARTS(text) if _SIMPLE(text) else _ALL_PARTS(text)
 
-    return Tokenizer.from_file(path)
 
+class Memo(dict):
+    """Ids of pieces as bytes (little-endian unsigned 32-bit), found when first asked for and remembered.
 
-def chunks(text: str) -> list[str]:
-    """Keys of ``text`` cut before every space that follows a non-space; no pre-token crosses such a place.
-
-    A piece that begins with one space has the rest of it as its key, any other piece a key that begins with a space.
+    A text of ASCII and Latin letters is cut into pre-tokens; any other, and one with one of ``specials``, is cut before
+    the spaces that follow a non-space, which no pre-token crosses, and there into pre-tokens or left whole. ``encode``
+    takes either. There are two generations: when the young one holds ``limit`` pieces it becomes the old one, and what is
+    asked for again moves on; the rest is forgotten.
     """
-    if _GAP.search(text):
-        return [c[1:] if c[0] == " " and c[1:2] != " " else " " + c for c in _CUT.split(text) if c]
-    found = text.split(" ")
-    if found[0]:
-        found[0] = " " + found[0]
-        return found
-    return found[1:]
-
 
-def piece_of(key: str) -> str:
-    return key[1:] if key[:1] == " " else " " + key
+    def __init__(self, encode: Callable[[str], list[int]], specials: tuple[str, ...] = (), limit: int = 250_000):
+        self.encode, self.specials, self.limit, self.old = encode, specials, limit, {}
 
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = array("I", self.encode(piece)).tobytes()
+        if len(piece) <= LONGEST_KEY:
+            self[piece] = found
+        return found
 
-class Memo:
-    """Ids of texts as bytes (little-endian unsigned 32-bit), chunk by chunk.
+    def _plain(self, text: str) -> bool:
+        return _SIMPLE(text) is not None and not any(s in text for s in self.specials)
 
-    ``encode`` maps a list of unseen pieces to their ids as such bytes. The memo is emptied when it holds ``limit`` keys.
-    """
+    def _pieces(self, text: str) -> list[str]:
+        if self._plain(text):
+            return _PARTS(text)
+        return [p for c in _CUT(text) if c for p in (_PARTS(c) if self._plain(c) else (c,))]
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 500_000):
-        self.encode, self.limit, self.seen = encode, limit, {}
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in texts]
-        if len(self.seen) > self.limit:
-            self.seen.clear()
-        new = list(set().union(*cut) - self.seen.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.seen.update(zip(part, self.encode([piece_of(k) for k in part])))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        get, out = self.__getitem__, []
+        for t in texts:
+            if len(self) > self.limit:
+                self.old = dict(self)
+                self.clear()
+            out.append(b"".join(map(get, self._pieces(t))))
+        return out
 
 
 def batches_of(texts: list[str], most: int = 1 << 20):
@@ -78,34 +86,36 @@ def batches_of(texts: list[str], most: int = 1 << 20):
         yield start, len(texts)
 
 
-class LibraryEncoder:
-    """Ids from the tokenizers library for lists of chunks, its special strings treated as it does by default.
+def _byte_characters() -> dict[int, int]:
+    """The character that byte-level tokenizers write for each byte: itself where it is printable, else 256 and on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b if b in shown else 256 + sum(c not in shown for c in range(b)) for b in range(256)}
+
 
-    Chunks that begin with their only space are encoded as one text: a token that begins with a space starts a chunk.
+class Library:
+    """``encode(text)`` of the tokenizers library, its special strings treated as it does by default.
+
+    A single pre-token of ASCII and Latin letters goes straight to the library's BPE model, anything else through the
+    whole tokenizer. Single-threaded: Spark runs the tasks.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = load_tokenizer(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.size = max(vocab.values()) + 1
-        self.starts = np.zeros(self.size, bool)
-        self.starts[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, part: list[str]) -> list[bytes]:
-        out: list = [None] * len(part)
-        easy = [i for i, c in enumerate(part) if c[0] == " " and c.rfind(" ") == 0 and not c[1:2].isspace() and len(c) > 1]
-        for s in range(0, len(easy), 512):
-            some = easy[s : s + 512]
-            ids = np.array(self._plain(["".join([part[i] for i in some])])[0], "<u4")
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(some) and at[0] == 0:
-                raw, ends = ids.tobytes(), (at * 4).tolist()
-                for i, a, b in zip(some, ends, [*ends[1:], len(raw)]):
-                    out[i] = raw[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self._plain([part[i] for i in rest])):
-            out[i] = np.array(x, "<u4").tobytes()
-        return out
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.table = self.tokenizer.model.tokenize, _byte_characters()
+        self.space = chr(self.table[32])
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def encode(self, text: str) -> list[int]:
+        word = text[1:]
+        if text[:1] == " " and word.isalpha() and word.isascii():
+            return [t.id for t in self.tokenize(self.space + word)]
+        if _SIMPLE(text) and not any(s in text for s in self.specials) and len(_PARTS(text)) == 1:
+            return [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.table))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def memo(self, limit: int = 250_000) -> Memo:
+        return Memo(self.encode, self.specials, limit)

@@ -14,21 +14,19 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.pretokens import PATTERN, LibraryEncoder, tokenizer_path
+from lattica.llm.pretokens import Library, pretokens, tokenizer_path
 
-_TOOLS: dict[str, LibraryEncoder] = {}
-_FIND = regex.compile(PATTERN).findall
+_TOOLS: dict[str, Library] = {}
 
 
-def _tool(path: str) -> LibraryEncoder:
+def _tool(path: str) -> Library:
     if path not in _TOOLS:
-        _TOOLS[path] = LibraryEncoder(path)
+        _TOOLS[path] = Library(path)
     return _TOOLS[path]
 
 
@@ -47,9 +45,9 @@ class _Block:
 
     def add(self, doc_id, text: str, special: str) -> None:
         parts = text.split(special)
-        c: Counter = Counter(_FIND(parts[0]))
+        c: Counter = Counter(pretokens(parts[0]))
         for p in parts[1:]:
-            c.update(_FIND(p))
+            c.update(pretokens(p))
         number = self.number
         for t in c:
             if t not in number:
@@ -116,7 +114,7 @@ def _pieces(path: str):
         for b in batches:
             tokens = b.column("token").to_pylist()
             new = [t for t in dict.fromkeys(tokens) if t not in last]
-            found = last | {t: len(x) // 4 for t, x in zip(new, _tool(path)(new))}
+            found = last | {t: len(_tool(path).encode(t)) for t in new}
             n = pa.array(np.fromiter(map(found.__getitem__, tokens), np.int32, len(tokens)))
             last = {tokens[-1]: found[tokens[-1]]} if tokens else last
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("idx"), n], names=["block", "idx", "n"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import shared_folder
-from lattica.llm.pretokens import LibraryEncoder, Memo, batches_of, tokenizer_path
+from lattica.llm.pretokens import Library, Memo, batches_of, tokenizer_path
 
 SCALE, BLOCK, LANES = 20, 1 << 14, 64
 STEPS, LOW = BLOCK // LANES, np.uint64(1 << 31)
@@ -107,37 +107,41 @@ class Coder:
         return ids
 
 
-_FRAMES = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("ids", pa.binary())])
-_FRAMES_SQL = "shard int, frame int, start long, n long, doc_ids array<long>, doc_lens array<long>, ids binary"
-_CODED = pa.schema([*list(_FRAMES)[:-1], ("payload", pa.binary()), ("states", pa.binary()), ("lengths", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64()))])
-_CODED_SQL = _FRAMES_SQL.replace("ids binary", "payload binary, states binary, lengths array<long>, sums array<long>")
+_FRAMES = pa.schema([("shard", pa.int32()), ("frame", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("ids", pa.binary()), ("used", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+_FRAMES_SQL = "shard int, frame int, start long, n long, doc_ids array<long>, doc_lens array<long>, ids binary, used array<int>, counts array<long>"
+_CODED = pa.schema([*list(_FRAMES)[:-3], ("payload", pa.binary()), ("states", pa.binary()), ("lengths", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64()))])
+_CODED_SQL = _FRAMES_SQL.replace("ids binary, used array<int>, counts array<long>", "payload binary, states binary, lengths array<long>, sums array<long>")
 _WORKER: dict[str, Memo] = {}
 
 
 def _memo(path: str) -> Memo:
     if path not in _WORKER:
-        _WORKER[path] = Memo(LibraryEncoder(path), limit=400_000)
+        _WORKER[path] = Library(path).memo()
     return _WORKER[path]
 
 
-def _frames(path: str, end_id: int, kind: str):
-    """Tokenised frames of one range of ids, in order; the range's number is the task's."""
+def _frames(path: str, end_id: int, kind: str, size: int):
+    """Tokenised frames of one range of ids, in order, and after them a row with the range's id counts; the range's
+    number is the task's."""
 
     def run(batches):
-        shard, frame, start = TaskContext.get().partitionId(), 0, 0
+        shard, frame, start, n = TaskContext.get().partitionId(), 0, 0, 0
         docs: list = []
         lens: list[int] = []
         held: list[bytes] = []
-        size = 0
+        total = np.zeros(size, np.int64)
         tail = np.array([end_id], "<u4").tobytes()
 
+        def row(*cols):
+            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cols, _FRAMES)], schema=_FRAMES)
+
         def flush():
-            nonlocal frame, start, docs, lens, held, size
-            n = size
-            ids = np.frombuffer(b"".join(held), "<u4").astype(kind).tobytes()
-            cols = [[shard], [frame], [start], [n], [docs], [lens], [ids]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FRAMES)], schema=_FRAMES)
-            frame, start, docs, lens, held, size = frame + 1, start + n, [], [], [], 0
+            nonlocal frame, start, docs, lens, held, n, total
+            ids = np.frombuffer(b"".join(held), "<u4")
+            total += np.bincount(ids, minlength=size)
+            out = row(shard, frame, start, n, docs, lens, ids.astype(kind).tobytes(), None, None)
+            frame, start, docs, lens, held, n = frame + 1, start + n, [], [], [], 0
+            return out
 
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
@@ -146,11 +150,14 @@ def _frames(path: str, end_id: int, kind: str):
                     docs.append(i)
                     lens.append(len(raw) // 4 + 1)
                     held += [raw, tail]
-                    size += lens[-1]
-                    if size >= FRAME:
-                        yield from flush()
+                    n += lens[-1]
+                    if n >= FRAME:
+                        yield flush()
         if docs:
-            yield from flush()
+            yield flush()
+        if frame:
+            used = np.flatnonzero(total)
+            yield row(shard, -1, 0, start, [], [], None, used, total[used])
 
     return run
 
@@ -162,29 +169,19 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> No
     ``end_id``. An empty table gives tables without rows.
     """
     spark = docs.sparkSession
-    size = LibraryEncoder(path).size
-    kind = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
+    size = max(Library(path).size, end_id + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
     key = F.col("doc_id").asc_nulls_last()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartitionByRange(key).sortWithinPartitions(key, "text")
-    ordered.mapInArrow(_frames(path, end_id, kind), _FRAMES_SQL).write.option("compression", "zstd").parquet(f"{folder}/ids")
+    ordered.mapInArrow(_frames(path, end_id, kind, size), _FRAMES_SQL).write.option("compression", "zstd").parquet(f"{folder}/ids")
     plain = spark.read.parquet(f"{folder}/ids")
-
-    def count(batches):
-        total = np.zeros(max(size, end_id + 1), np.int64)
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(raw, kind), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
-
-    # one row an id of the vocabulary, and one a range of documents
-    counted = plain.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max(size, end_id + 1), np.int64)
-    for r in counted:
+    told, frames = plain.where("frame < 0"), plain.where("frame >= 0")
+    counts = np.zeros(size, np.int64)
+    for r in told.select(F.explode(F.map_from_arrays("used", "counts")).alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row an id of the vocabulary
         counts[r["id"]] = r["n"]
     freq = quantise(counts)
     before, at = {}, 0
-    for r in plain.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect():
+    for r in told.select("shard", "n").orderBy("shard").collect():  # one row a range of documents
         before[r["shard"]], at = at, at + r["n"]
 
     def code(batches):
@@ -195,7 +192,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> No
                 cols = [[r["shard"]], [r["frame"]], [before[r["shard"]] + r["start"]], [r["n"]], [r["doc_ids"]], [r["doc_lens"]], *[[x] for x in done]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CODED)], schema=_CODED)
 
-    plain.mapInArrow(code, _CODED_SQL).write.parquet(f"{folder}/frames")
+    frames.drop("used", "counts").mapInArrow(code, _CODED_SQL).write.parquet(f"{folder}/frames")
     used = np.flatnonzero(freq)
     spark.createDataFrame([(int(i), int(freq[i])) for i in used], "id int, frequency int").coalesce(1).write.parquet(f"{folder}/frequencies")
 

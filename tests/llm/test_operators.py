@@ -119,7 +119,7 @@ def test_a_large_bucket_is_searched_exactly():
 
 
 def test_op2_and_op7(spark, sf, docs):
-    tool = pretokens.load_tokenizer(JSON)
+    tool = pretokens.Library(JSON).tokenizer
     ids = {i: tool.encode(t, add_special_tokens=False).ids for i, t in docs.items()}
     counted = run(spark, sf, "op2_token_counts")
     assert {i: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for i, r in counted.items()} == {i: (len(docs[i].encode()), len(x), len(x) > 1024) for i, x in ids.items()}
@@ -264,6 +264,15 @@ def test_op9_odd_pieces():
         for piece in (b"a" * n, b"ab" * n, bytes(rng.integers(0, 256, n, dtype=np.uint8)), ("é中\U0001f600" * n).encode()):
             assert machine.encode(piece) == bpe_transducer.merge(piece, ranks)
     text = "aé中\U0001f600"
+    held: list[int] = []
+    for piece in (b"a" * 5000, b"ab" * 3000, b" " * 4000, ("Erwhtion" * 400).encode(), bytes(rng.integers(97, 123, 6000, dtype=np.uint8))):
+        ids, most = [], 0
+        for t in machine.stream(piece, held):
+            ids.append(t)
+            most = max(most, len(held))
+        assert b"".join(machine.bytes_of[t] for t in ids) == piece and ids == bpe_transducer.merge(piece, ranks)
+        assert most <= bpe_transducer.SETTLE + 2 * max(map(len, ranks))  # labels behind what is settled are dropped
+        held.clear()
     pieces = list(bpe_transducer.Decoder(ranks).stream([ranks[bytes((b,))] for b in text.encode()], step=1))
     assert "".join(s for _, s in pieces) == text and b"".join(b for b, _ in pieces) == text.encode()
 
