@@ -1,16 +1,18 @@
-"""Near-duplicates by the exact Jaccard similarity of shingle sets; MinHash bands only propose pairs.
+"""Near-duplicates by the exact Jaccard similarity of shingle sets; SimHash prints propose the pairs.
 
-A band is a hash of ``ROWS`` minima over the distinct shingle hashes of a text. Two texts of similarity s share one of
-``BANDS`` bands with probability 1 - (1 - s^4)^20: all but 3 in 100,000 at s = 0.8, and few at 0.3. What a band proposes
-counts only if the sets themselves are similar enough, in whole numbers.
+The bits of two texts' prints differ with a chance that their similarity gives: of 64 bits about 10 at a similarity of
+0.8. Each text has ``WORDS`` prints of 64 bits over the same distinct shingle hashes, and each is searched on its own by
+the generalised pigeonhole principle: a pair is proposed if ``WITHIN`` bits or fewer differ in any of them. What is
+proposed counts only if the sets themselves are similar enough, in whole numbers.
 
-A bucket first proposes a star, so that a group of n near copies costs n sets and not n^2. After the components of what
-held, a bucket proposes every pair of members whose components still differ, so nothing is lost by the stars.
+A bucket first proposes a spanning forest, so that a group of n near copies costs n sets and not n^2. After the
+components of what held, a bucket proposes every linked pair whose components still differ, so the forests lose nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
-from lattica.llm.simhash import components, mixed, shingle_hashes
+from lattica.llm.simhash import allocate, bit_statistics, components, labelled, majority, mixed, rows_of, search, shingle_hashes, signatures
 
-BANDS, ROWS = 20, 4
+#: Prints of a text, and the bits that may differ in one of them.
+WORDS, WITHIN = 4, 11
 _U = np.uint64
-_SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_SEEDS = mixed(np.arange(1, WORDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -36,41 +39,34 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 7)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, 2**64 - 1, _U)
-    for i in range(0, len(hashes), 1024):
-        part = hashes[i : i + 1024]
-        least = np.minimum(least, mixed(part[None, :] ^ _SEEDS[:, None]).min(1))
-    keys = np.arange(BANDS, dtype=_U)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = mixed(keys + row)
-    return keys
+def prints_of(hashes: np.ndarray) -> list[int]:
+    return [majority(mixed(hashes ^ s)) for s in _SEEDS]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _longs(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)])
-    flat = np.concatenate([*arrays, np.zeros(0, _U)]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-
-def _nodes(found: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.array([node_of(s) for s in found], _U).view(np.int64))
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, _U).view(np.int64))
 
 
 def signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, keys): keys are the bands, none where a text has no words."""
+    """(doc_id, h, node, size, w0, w1, ...): h is a hash of the text, node of its set, size the set's."""
+    words = [f"w{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t, shingle) for t in _texts(b)]
-            keys = _longs([bands(s) if len(s) else s for s in found])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _nodes(found), keys], names=["doc_id", "node", "keys"])
+            nodes, sizes, prints = [], [], []
+            for t in _texts(b):
+                s = shingle_set(t, shingle)
+                nodes.append(node_of(s))
+                sizes.append(len(s))
+                prints.append(prints_of(s))
+            table = np.array(prints, _U).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), _longs(nodes), pa.array(sizes, pa.int32()), *[_longs(np.ascontiguousarray(c)) for c in table.T]], names=["doc_id", "h", "node", "size", *words])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, keys array<long>")
+    return rows_of(docs).mapInArrow(run, f"doc_id long, h long, node long, size int, {', '.join(f'{w} long' for w in words)}")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -79,10 +75,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t, shingle) for t in _texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("want"), _nodes(found), _longs(found)], names=["want", "node", "hashes"])
+            ends = np.cumsum([0, *map(len, found)])
+            flat = np.concatenate([*found, np.zeros(0, _U)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("want"), _longs([node_of(s) for s in found]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["want", "node", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
-    own = texts.join(wanted, F.col("__id").eqNullSafe(F.col("least"))).select(F.col("node").alias("want"), "text")
+    own = rows_of(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("node").alias("want"), "text")
     return own.mapInArrow(run, "want long, node long, hashes array<long>").where("want = node").select("node", "hashes").dropDuplicates(["node"])
 
 
@@ -91,39 +88,41 @@ def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     n, m = F.size("x").cast("long"), F.size("y").cast("long")
-    near = both.where(10 * F.least(n, m) >= tenths * F.greatest(n, m))
-    return near.where((10 + tenths) * F.size(F.array_intersect("x", "y")).cast("long") >= tenths * (n + m)).select("a", "b")
+    return both.where((10 + tenths) * F.size(F.array_intersect("x", "y")).cast("long") >= tenths * (n + m)).select("a", "b")
+
+
+def comparable(texts: DataFrame) -> float:
+    """About which share of all pairs has sizes of a similarity of 0.8; sizes are counted in steps of a quarter."""
+    step = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / float(np.log(1.25)))
+    n = {r["step"]: r["n"] for r in texts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}  # under 100 rows
+    return sum(c * (c + n.get(k + 1, 0)) for k, c in n.items()) / max(1, sum(n.values())) ** 2
 
 
 def links(docs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataFrame:
-    """(a, root) over the nodes of ``texts`` (node, least, keys) that have a near-duplicate."""
-    rows = texts.select(F.explode("keys").alias("key"), "node")
-    hubs = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("hub")).where("n > 1").select("key", "hub"))
-    members = cut(rows.join(hubs, "key"))
-    wanted = texts.select("node", "least").join(members.select("node").distinct(), "node", "left_semi")
-    sets = cut(sets_of(docs, wanted, shingle))
-    star = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = cut(verified(star, sets, tenths))
-    roots = components(first).withColumnRenamed("a", "node")
-    now = cut(members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = cut(parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("most")).where("parts > 1").select("key", "most"))
-    open_ = now.join(largest, "key")
-    left = open_.where("root <> most").select("key", F.col("node").alias("u"), F.col("root").alias("u_root"))
-    met = left.join(open_, "key").where("u_root <> root AND (root = most OR u < node)")
-    second = verified(met.select(F.least("u", "node").alias("a"), F.greatest("u", "node").alias("b")).distinct(), sets, tenths)
-    return components(first.union(second))
+    """(a, root) over the nodes of ``texts`` (node, least, size, w0, ...) that have a near-duplicate."""
+    words = [texts.select(F.col(f"w{k}").alias("fp"), "node", "size") for k in range(WORDS)]
+    share = comparable(texts)
+    plans = [allocate(*bit_statistics(w), WITHIN, share) for w in words]
+    first = cut(search(reduce(DataFrame.union, [signatures(w, plan, k) for k, (w, plan) in enumerate(zip(words, plans))]), WITHIN))
+    touched = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    some = cut(texts.join(touched, "node", "left_semi"))
+    sets = cut(sets_of(docs, some.select("node", "least"), shingle))
+    held = cut(verified(first, sets, tenths))
+    now = cut(some.join(components(held).withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    again = [signatures(now.select(F.col(f"w{k}").alias("fp"), "node", "size", "root"), plan, k) for k, plan in enumerate(plans)]
+    second = search(reduce(DataFrame.union, again), WITHIN).join(first, ["a", "b"], "left_anti")
+    return components(held.union(verified(second, sets, tenths)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, tenths: int = 8) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``: component_id is the smallest id that links lead to.
+    """(doc_id, h, component, component_id) for every row of ``docs``: component_id is the smallest id that links lead
+    to, h a hash of the row's text, and component the component's name even where ids repeat.
 
     Linked are texts whose sets of ``shingle``-word shingles (ASCII case ignored) have a Jaccard similarity of ``tenths``
-    / 10 or more. Null and empty texts and texts without words have the empty set and are one component.
+    / 10 or more and whose prints are near. Null and empty texts and texts without words have the empty set and are one
+    component; a null id is smaller than none. An empty table gives an empty result; other columns are not read.
     """
     prints = cut(signed(docs, shingle))
-    texts = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
-    roots = links(docs, texts, shingle, tenths)
-    rooted = cut(texts.join(roots, texts["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(rooted.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    texts = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), *[F.first(f"w{k}").alias(f"w{k}") for k in range(WORDS)]))
+    named = labelled(texts.select("node", "least"), links(docs, texts, shingle, tenths))
+    return prints.select("doc_id", "h", "node").join(named, "node").select("doc_id", "h", "component", "component_id")

@@ -3,18 +3,16 @@
 Fingerprints are split into parts of correlated bits. If the parts' thresholds t_i satisfy sum(t_i + 1) = k + 1, two
 fingerprints at distance k or less agree to within t_i bits on some part i (a part with t_i = -1 is not probed). The
 thresholds are unequal: a dynamic program picks them, and the number of parts, from candidate counts estimated with
-the bits' frequencies. Fingerprints meet by equal part values (probes flip up to t_i bits), are verified on all 64 bits,
-and each bucket hands on a spanning forest of its links, never all its pairs. Components come from alternating stars.
-
-64 bits tell a similarity of 0.8 from one of 0.6 badly. A print may therefore have further 64-bit words, made from the
-same shingle hashes: candidates come from the first word, and a link must also hold on the bits of all words.
+the frequencies of the bits and of every two bits. Fingerprints meet by equal part values (probes flip up to t_i bits),
+are verified on all 64 bits, and each bucket hands on a spanning forest of its links, never all its pairs. Components
+come from alternating stars. Prints may carry a size; then only prints of similar sizes (factor 1.25) are linked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -53,70 +51,38 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((h64(joined[s:e], 42) for s, e in zip(starts, ends)), np.uint64, m)
 
 
-def fingerprint(text: bytes, shingle: int, n_words: int = 1) -> list[int]:
-    """SimHash of ``shingle``-word shingles (repeats included), and ``n_words`` - 1 more over mixed hashes; 0 without words."""
-    h = shingle_hashes(text, shingle)
-    m = len(h)
-    if not m:
-        return [0] * n_words
-    out = []
-    for k in range(n_words):
-        g = mixed(h + _U(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h
-        ones = np.zeros(BITS, np.int64)
-        for i in range(0, m, 1 << 15):
-            part = g[i : i + (1 << 15)]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > m, bitorder="little").view("<u8")[0]))
-    return out
-
+def majority(h: np.ndarray) -> int:
+    """64 bits: each is 1 where over half of the hashes have it; 0 without hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        part = h[i : i + (1 << 15)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
-def _names(n_words: int) -> list[str]:
-    return ["fp", *[f"fp{k}" for k in range(1, n_words)]]
 
+def fingerprint(text: bytes, shingle: int) -> int:
+    """SimHash of ``shingle``-word shingles (repeats included); 0 without words."""
+    return majority(shingle_hashes(text, shingle))
 
-def _ddl(names: list[str]) -> str:
-    return ", ".join(f"{c} long" for c in names)
 
-
-def fingerprints(docs: DataFrame, shingle: int = 4, n_words: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1, ...) with 64 bits each as a signed long; null texts count as empty."""
-    names = _names(n_words)
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, h, fp): the id, a hash of the text as it is, and 64 bits as a signed long; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", shingle, n_words) for t in b.column("text").cast(pa.binary()).to_pylist()], _U).reshape(-1, n_words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(n_words)]], names=["doc_id", *names])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {_ddl(names)}")
+            fps = np.array([fingerprint(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()], _U)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
+    return rows_of(docs).mapInArrow(run, "doc_id long, h long, fp long")
 
-def matrix(batch, names: list[str]) -> np.ndarray:
-    """The prints of a batch, a row each."""
-    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[c].to_numpy() for c in names], 1).view(_U)
 
-
-def node_of(x: np.ndarray) -> np.ndarray:
-    """What a print is called in the graph: its one word, or a hash of its words."""
-    h = x[:, 0]
-    for k in range(1, x.shape[1]):
-        h = mixed(h) + x[:, k]
-    return h
-
-
-def linked(x: np.ndarray, y: np.ndarray, within: int, within_all: int) -> np.ndarray:
-    """Rows of ``x`` and ``y`` that differ in ``within`` bits of the first word and ``within_all`` of all at most."""
-    first = np.bitwise_count(x[..., 0] ^ y[..., 0])
-    if x.shape[-1] == 1:
-        return first <= within
-    out = first <= within
-    at = np.flatnonzero(out)
-    rest = x[at] ^ (y[at] if y.ndim == x.ndim else y)
-    out[at] = np.bitwise_count(rest).sum(1, dtype=np.int64) <= within_all
-    return out
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): rows that share id and text hash are copies of one document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and, for every two bits, how many have both; 2,080 sums however many rows there are."""
+    """Number of rows and, for every two bits of ``fp``, how many have both; 2,080 sums however many rows there are."""
 
     def run(batches):
         n, joint = 0, np.zeros((BITS, BITS), np.int64)
@@ -156,22 +122,37 @@ def group_bits(n: int, joint: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, joint: np.ndarray, within: int) -> list[tuple[list[int], int]]:
-    """Parts and thresholds of least estimated cost: for 2 to within + 1 parts, a dynamic program over sum(t + 1)."""
-    p = np.diag(joint) / max(1, n)
+def differing(n: int, joint: np.ndarray, group: list[int], most: int) -> np.ndarray:
+    """Chance that two fingerprints differ in 0, 1, ... ``most`` bits of ``group``: a beta-binomial with the mean and the
+    variance that the frequencies of the bits and of every two of them give, so that correlated bits count as such."""
+    width, p, both = len(group), np.diag(joint)[group] / max(1, n), joint[np.ix_(group, group)] / max(1, n)
+    only = p[:, None] - both  # the first of two bits without the second
+    pairs = 2 * (both * (1 - p[:, None] - p[None, :] + both) + only * only.T)  # both bits differ
+    q = 2 * p * (1 - p)
+    mean = min(max(float(q.sum()), 1e-9), width - 1e-9)
+    variance = float(pairs.sum() - np.trace(pairs) + q.sum()) - mean * mean
+    share = mean / width
+    rho = 0.0 if width < 2 else (variance / (width * share * (1 - share)) - 1) / (width - 1)
+    rho = min(max(rho, 1e-6), 0.99)
+    x, y = share * (1 - rho) / rho, (1 - share) * (1 - rho) / rho
+    beta = lambda u, v: lgamma(u) + lgamma(v) - lgamma(u + v)
+    return np.array([comb(width, d) * exp(beta(d + x, width - d + y) - beta(x, y)) if d <= width else 0.0 for d in range(most + 1)])
+
+
+def allocate(n: int, joint: np.ndarray, within: int, share: float = 1.0) -> list[tuple[list[int], int]]:
+    """Parts and thresholds of least estimated cost: for 2 to within + 1 parts, a dynamic program over sum(t + 1).
+
+    ``share`` is the part of all pairs that other columns leave to compare.
+    """
     best: tuple[float, list] = (float("inf"), [])
-    for parts in range(2, within + 2):
+    for parts in range(2, min(within + 1, BITS) + 1):
         groups, costs = group_bits(n, joint, parts), []
         for g in groups:
-            differ = np.zeros(within + 1)  # differ[d]: chance that two fingerprints differ in d bits of the group
-            differ[0] = 1.0
-            for b in g:
-                q = 2 * p[b] * (1 - p[b])
-                differ = differ * (1 - q) + np.concatenate([[0.0], differ[:-1]]) * q
+            differ = differing(n, joint, g, within)
             row, near, probes = [0.0], 0.0, 0.0
             for t in range(within + 1):
                 near, probes = near + differ[t], probes + comb(len(g), t)
-                row.append(n * n / 2 * near + PROBE_COST * n * (1 + (probes - 1) / 2))
+                row.append(share * n * n / 2 * near + PROBE_COST * n * (1 + (probes - 1) / 2))
             costs.append(row)  # row[t + 1]
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for row in costs:
@@ -191,94 +172,128 @@ def _values(fps: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def signatures(distinct: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, own, fp, ...): each print under its first word's part values and under the smaller values within the threshold."""
-    names = distinct.columns
+def signatures(prints: DataFrame, plan: list[tuple[list[int], int]], word: int = 0) -> DataFrame:
+    """(key, own, fp, ...): each row under its part values and under the smaller values within the threshold."""
 
     def run(batches):
         for b in batches:
-            fps = matrix(b, names)
-            for start in range(0, len(fps), 2000):
-                x = fps[start : start + 2000]
+            for start in range(0, b.num_rows, 2000):
+                rows = b.slice(start, 2000)
+                fps = rows.column("fp").to_numpy(zero_copy_only=False).view(_U)
                 for i, (bits, t) in enumerate(plan):
-                    v = _values(x[:, 0], bits)
-                    keys, rows, own = [v], [x], [np.ones(len(x), bool)]
+                    v = _values(fps, bits)
+                    keys, at, own = [v], [np.arange(len(fps))], [np.ones(len(fps), bool)]
                     for d in range(1, t + 1):
                         for c in combinations(range(len(bits)), d):
                             w = v ^ np.uint64(sum(1 << k for k in c))
-                            less = w < v  # of two fingerprints that differ here, the larger value probes
+                            less = np.flatnonzero(w < v)  # of two fingerprints that differ here, the larger value probes
                             keys.append(w[less])
-                            rows.append(x[less])
-                            own.append(np.zeros(int(less.sum()), bool))
-                    k = np.concatenate(keys) * np.uint64(8) + np.uint64(i)
-                    prints = np.concatenate(rows).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.concatenate(own)), *[pa.array(np.ascontiguousarray(c)) for c in prints.T]], names=["key", "own", *names])
-
-    return distinct.mapInArrow(run, f"key long, own boolean, {_ddl(names)}")
-
-
-def forest(fps: np.ndarray, within: int, within_all: int, split: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect exactly what the links between rows of ``fps`` connect: a breadth-first search."""
-    if split and len(fps) > SPLIT_BUCKET:  # exact: two linked prints agree on one of within + 1 slices of the first word
-        out, width = [], -(-BITS // (within + 1))
-        for i in range(within + 1):
-            if i * width >= BITS:
-                break
-            v = (fps[:, 0] >> _U(i * width)) & _U((1 << min(width, BITS - i * width)) - 1)
-            order = np.argsort(v, kind="stable")
-            for part in np.split(fps[order], np.flatnonzero(np.diff(v[order])) + 1):
-                if len(part) > 1:
-                    out += forest(part, within, within_all, split=False)
-        return out
-    left, out = fps, []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = linked(left, x, within, within_all)
-            if near.any():
-                found = left[near]
-                out.append((np.broadcast_to(x, found.shape), found))
-                queue.extend(found)
-                left = left[~near]
-    return out
+                            at.append(less)
+                            own.append(np.zeros(len(less), bool))
+                    k = np.concatenate(keys) * np.uint64(1024) + np.uint64(64 * word + i)
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.concatenate(own)), *rows.take(pa.array(np.concatenate(at))).columns], names=["key", "own", *rows.schema.names])
 
+    fields = ", ".join(f"{c} {t}" for c, t in prints.dtypes)
+    return prints.mapInArrow(run, f"key long, own boolean, {fields}")
+
+
+def alike(n, m):
+    """Sizes of which the smaller is four fifths of the larger or more."""
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n)
 
-def _bucket_links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, within: int, within_all: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of all buckets of sorted keys; buckets without an own row have nothing that is not found elsewhere."""
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-    sizes = np.diff(np.append(starts, len(key)))
-    any_own = np.add.reduceat(own.astype(np.int64), starts) > 0
-    out, dense = [], any_own & (sizes > SMALL_BUCKET)
-    bucket = np.repeat(np.arange(len(sizes)), sizes)
-    small = np.repeat(any_own & (sizes > 1) & (sizes <= SMALL_BUCKET), sizes)
-    k, f, o = bucket[small], fp[small], own[small]
-    pairs = []
-    for d in range(1, SMALL_BUCKET):
-        if len(k) <= d:
-            break
-        hit = (k[:-d] == k[d:]) & (o[:-d] | o[d:])
-        at = np.flatnonzero(hit)
-        hit[at] = linked(f[at], f[at + d], within, within_all) & (f[at] != f[at + d]).any(1)
-        pairs.append((k[:-d][hit], f[:-d][hit], f[d:][hit]))
-    if pairs:
-        at, a, b = (np.concatenate(x) for x in zip(*pairs))
-        crowded = np.bincount(at, minlength=len(sizes)) > 2 * sizes  # a forest says the same with fewer links
-        dense |= crowded
-        out.append((a[~crowded[at]], b[~crowded[at]]))
-    for s, n in zip(starts[dense], sizes[dense]):
-        out += forest(np.unique(fp[s : s + n], axis=0), within, within_all)
-    return out
 
+def slices(within: int) -> list[tuple[int, int]]:
+    """``within`` + 1 ranges of bits that cover all: two linked prints agree on one of them."""
+    cuts = [BITS * i // (within + 1) for i in range(within + 2)]
+    return list(zip(cuts, cuts[1:]))
 
-def links(distinct: DataFrame, within: int = 4, within_all: int | None = None) -> DataFrame:
-    """(a, b) with a < b: nodes linked at ``within`` bits of the first word and ``within_all`` of all words or fewer.
 
-    Of each component at least a spanning forest; ``distinct`` holds distinct prints and nothing else.
+def forest(fps: np.ndarray, within: int, sizes: np.ndarray | None = None, split: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links that connect exactly what all links between the rows connect: a breadth-first search."""
+    sizes = np.zeros(len(fps), np.int64) if sizes is None else sizes
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if split and len(fps) > SPLIT_BUCKET and within < BITS:
+        for a, b in slices(within):
+            v = (fps >> _U(a)) & _U((1 << (b - a)) - 1)
+            order = np.argsort(v, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(v[order])) + 1):
+                if len(part) > 1:
+                    i, j = forest(fps[part], within, sizes[part], split=False)
+                    out.append((part[i], part[j]))
+    else:
+        left = np.arange(len(fps))
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                near = (np.bitwise_count(fps[left] ^ fps[x]) <= within) & alike(sizes[left], sizes[x])
+                if near.any():
+                    found = left[near]
+                    out.append((np.broadcast_to(x, found.shape), found))
+                    queue.extend(found)
+                    left = left[~near]
+    i, j = (np.concatenate(x) for x in zip(*out))
+    return i, j
+
+
+def _near(key, fps, sizes, own, within: int, other: np.ndarray | None = None, most: int | None = None):
+    """(rows i, rows j, rows with more than ``most`` others to compare): linked pairs of rows in order of (key, size);
+    where ``other`` is given, pairs of unequal ``other`` only."""
+    n, d, act, found = len(key), 1, np.arange(len(key)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while len(act) and (most is None or d <= most):
+        act = act[act + d < n]
+        act = act[(key[act + d] == key[act]) & alike(sizes[act], sizes[act + d])]
+        hit = (own[act] | own[act + d]) & (np.bitwise_count(fps[act] ^ fps[act + d]) <= within)
+        if other is not None:
+            hit &= other[act] != other[act + d]
+        found.append((act[hit], act[hit] + d))
+        d += 1
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return i, j, act
+
+
+def bucket_links(key, fps, sizes, own, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of all buckets of sorted (key, size); buckets without an own row have nothing that is not found
+    elsewhere."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    counts = np.diff(np.append(starts, len(key)))
+    bucket = np.repeat(np.arange(len(starts)), counts)
+    live = np.flatnonzero((np.add.reduceat(own.astype(np.int64), starts) > 0)[bucket] & (counts > 1)[bucket])
+    i, j, more = _near(key[live], fps[live], sizes[live], own[live], within, most=SMALL_BUCKET)
+    i, j = live[i], live[j]
+    dense = np.zeros(len(starts), bool)
+    dense[bucket[live[more]]] = True
+    dense |= np.bincount(bucket[i], minlength=len(starts)) > 2 * counts  # a forest says the same with fewer links
+    keep = ~dense[bucket[i]]
+    out = [(i[keep], j[keep])]
+    for s, c in zip(starts[dense], counts[dense]):
+        a, b = forest(fps[s : s + c], within, sizes[s : s + c])
+        out.append((a + s, b + s))
+    i, j = (np.concatenate(x) for x in zip(*out))
+    return i, j
+
+
+def bucket_bridges(key, fps, sizes, own, root, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of unequal roots. In a large bucket only rows outside its commonest root are compared with all."""
+    i, j, more = _near(key, fps, sizes, own, within, other=root, most=SMALL_BUCKET)
+    out = [(i, j)]
+    for k in np.unique(key[more]):
+        s, e = np.searchsorted(key, [k, k + 1])
+        names, counts = np.unique(root[s:e], return_counts=True)
+        for x in np.flatnonzero(root[s:e] != names[np.argmax(counts)]) + s:
+            hit = (root[s:e] != root[x]) & alike(sizes[s:e], sizes[x]) & (np.bitwise_count(fps[s:e] ^ fps[x]) <= within)
+            at = np.flatnonzero(hit) + s
+            out.append((np.full(len(at), x), at))
+    i, j = (np.concatenate(x) for x in zip(*out))
+    return i, j
+
+
+def search(signed: DataFrame, within: int) -> DataFrame:
+    """(a, b) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, root]).
+
+    Without ``node`` the print is the node; with ``root``, all pairs whose roots differ, else at least a spanning forest.
     """
-    names, most = distinct.columns, within if within_all is None else within_all
-    n, joint = bit_statistics(distinct)
-    plan = allocate(n, joint, within)
+    names = signed.columns
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -287,11 +302,15 @@ def links(distinct: DataFrame, within: int = 4, within_all: int | None = None) -
         def out(t: pa.Table):
             if not len(t):
                 return
-            found = _bucket_links(t["key"].to_numpy(), matrix(t, names), t["own"].to_numpy(zero_copy_only=False), within, most)
-            none = np.zeros((0, len(names)), _U)
-            a = node_of(np.concatenate([x for x, _ in found] or [none])).view(np.int64)
-            b = node_of(np.concatenate([x for _, x in found] or [none])).view(np.int64)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            c = {x: t[x].to_numpy() for x in names}
+            sizes = c["size"].astype(np.int64) if "size" in c else np.zeros(len(t), np.int64)
+            order = np.lexsort((sizes, c["key"]))
+            c, sizes = {x: v[order] for x, v in c.items()}, sizes[order]
+            common = (c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool))
+            i, j = bucket_bridges(*common, c["root"], within) if "root" in c else bucket_links(*common, within)
+            node = c.get("node", c["fp"])
+            a, b = node[i], node[j]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for b in batches:  # whole buckets at a time
@@ -306,7 +325,16 @@ def links(distinct: DataFrame, within: int = 4, within_all: int | None = None) -
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    return signatures(distinct, plan).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(distinct: DataFrame, within: int = 4) -> DataFrame:
+    """(a, b) with a < b: prints linked at ``within`` bits or fewer; of each component at least a spanning forest.
+
+    ``distinct`` (fp) holds distinct prints and nothing else.
+    """
+    n, joint = bit_statistics(distinct)
+    return search(signatures(distinct, allocate(n, joint, within)), within)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -329,46 +357,44 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, within: int = 4, n_words: int = 1, within_all: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, shingle: int = 4, within: int = 4) -> DataFrame:
+    """(doc_id, h, fp, component, component_id) for every row of ``docs``; h is a hash of its text.
 
-    Fingerprints at ``within`` differing bits or fewer are linked (with ``n_words`` over 1: also at ``within_all`` or
-    fewer of all words' bits); component_id is the smallest id that links lead to.
-    Null and empty texts and texts without words have fingerprint 0 and are linked like any other. Equal texts
-    share a fingerprint and so a component; repeated ids each keep their row. A null id is smaller than none: a
-    component of null ids only has a null id. An empty table gives an empty result; other columns are not read.
+    Fingerprints at ``within`` differing bits or fewer are linked; component_id is the smallest id that links lead to,
+    and component names the component even where ids repeat. Null and empty texts and texts without words have
+    fingerprint 0 and are linked like any other. Equal texts share a fingerprint and so a component; repeated ids each
+    keep their row. A null id is smaller than none: a component of null ids only has a null id. An empty table gives an
+    empty result; other columns are not read.
     """
-    prints = cut(fingerprints(docs, shingle, n_words))
-    return label(prints, within, within_all)
-
+    prints = cut(fingerprints(docs, shingle))
+    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = labelled(least.withColumnRenamed("fp", "node"), components(links(least.select("fp"), within)))
+    return prints.join(named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "h", "fp", "component", "component_id")
 
-def label(prints: DataFrame, within: int = 4, within_all: int | None = None) -> DataFrame:
-    """component_id for prints (doc_id, fp, ...); a print of several words is called by a hash of them."""
-    names = [c for c in prints.columns if c != "doc_id"]
-
-    def named(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node_of(matrix(b, names)).view(np.int64))], names=[*b.schema.names, "node"])
 
-    least = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
-    least = cut(least.withColumn("node", F.col("fp")) if len(names) == 1 else least.mapInArrow(named, f"{_ddl(names)}, least long, node long"))
-    roots = components(links(least.select(*names), within, within_all))
-    rooted = cut(least.join(roots, least["node"] == roots["a"], "left").select(*names, "least", F.coalesce("root", "node").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select(*names, "root").join(smallest, "root").drop("root"), names).select("doc_id", "fp", "component_id")
+def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component, component_id) of ``nodes`` (node, least) under ``roots`` (a, root)."""
+    rooted = cut(nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", "least", F.coalesce("root", "node").alias("component")))
+    return rooted.join(rooted.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, columns unchanged; one row if that id repeats.
+    """One row of ``docs`` for each component, columns unchanged: that with the smallest id, null ids last.
 
-    ``found`` has (doc_id, component_id) of every row; without it, they come from ``near_duplicates``. Rows with a null id stay only where their component has no id, and then one of them does.
+    ``found`` has (doc_id, h, component) of every row; without it, they come from ``near_duplicates``. Rows are chosen,
+    not ids: rows that share an id but not a component are documents of their own. Of rows with one id in one component
+    that with the smallest text hash stays, and of rows with equal id and text the smallest by their columns.
     """
     found = near_duplicates(docs, **options) if found is None else found
-    reps = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed("doc_id", "__id"))
-    kept = docs.join(reps, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).drop("__id")
-    if reps.where("__rows > 1").limit(1).count():
-        kept = kept.where("__rows = 1").union(kept.where("__rows > 1").dropDuplicates(["doc_id"]))
-    return kept.drop("__rows")
+    copies = found.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "rows"))
+    best = cut(copies.groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__h"), F.col("k.rows").alias("__rows")))
+    kept = docs.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h"))).drop("__id")
+    if best.where("__rows > 1").limit(1).count():
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        one = kept.where("__rows > 1").groupBy("doc_id", "__h").agg(F.min(F.struct(*names)).alias("__row")).select("__row.*")
+        return kept.where("__rows = 1").select(*names).union(one)
+    return kept.drop("__h", "__rows")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import hashlib
 
 import corpus_pipeline as P
-from lattica.llm import common, mixing, quality, simhash
+from lattica.llm import common, mixing, quality
+from tests.llm.test_near_duplicates import brute_kept
 from tests.llm.test_operators import brute_passages
 
 
@@ -25,15 +26,7 @@ def test_stages(spark, sf, tmp_path):
     assert {r["doc_id"] for r in after.collect()} == good
 
     before, after = seen["near_duplicates"]
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"].encode(), P.SHINGLE, P.WORDS) for r in before.collect()}
-    root = {i: i for i in prints}
-    for _ in range(8):
-        for i in prints:
-            for j in prints:
-                d = [(a ^ b).bit_count() for a, b in zip(prints[i], prints[j])]
-                if d[0] <= P.WITHIN and sum(d) <= P.WITHIN_ALL:
-                    root[i] = root[j] = min(root[i], root[j])
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(root.values()))
+    assert sorted(r["doc_id"] for r in after.collect()) == brute_kept({r["doc_id"]: r["text"] for r in before.collect()})
 
     before, after = seen["repeated_passages"]
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
