@@ -13,7 +13,6 @@ import os
 import tempfile
 import zipfile
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +37,18 @@ def ship(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, name)
                         z.write(full, os.path.relpath(full, root))
         spark.sparkContext.addPyFile(path)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # long texts: smaller batches
         _SHIPPED.add(app)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; one of our own only where the session names none."""
+    """The checkpoint folder that driver and executors share. Only a local session may have one of our own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattica-ckpt-"))
     return context.getCheckpointDir()
 
 
@@ -93,12 +94,13 @@ ANSWER = "block long, part int, totals binary"
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Counts are mostly small: packed, they take a fraction of what the keys take."""
-    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+    """Counts are mostly small: packed, they take a fraction of what the keys take. The first byte is their width."""
+    width = 4 if not len(counts) or int(counts.max()) < 1 << 32 else 8
+    return bytes((width,)) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), "<u4")
+    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
 
 
 def requests(block: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
@@ -114,8 +116,9 @@ def _total(table: pa.Table) -> pa.Table:
     keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
     counts = [_unpack(x) for x in table["counts"].to_pylist()]
     _, where = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.bincount(where, weights=np.concatenate(counts))
-    found = np.minimum(sums, 2**32 - 1).astype("<u4")[where]
+    sums = np.zeros(int(where.max()) + 1 if len(where) else 0, np.int64)
+    np.add.at(sums, where, np.concatenate(counts))  # whole numbers of 64 bits: no cap, no rounding
+    found = sums[where]
     ends = np.cumsum([len(k) for k in keys])
     return pa.table(
         [table["block"], table["part"], pa.array([_pack(found[e - len(k) : e]) for k, e in zip(keys, ends)], pa.binary())], names=["block", "part", "totals"]
@@ -130,13 +133,9 @@ def answers(asked: DataFrame) -> DataFrame:
 def totals(table: pa.Table) -> np.ndarray:
     """The answers of one block as counts of its sorted keys."""
     table = table.sort_by("part")
-    return np.concatenate([_unpack(x) for x in table["totals"].to_pylist()] or [np.zeros(0, "<u4")])
+    return np.concatenate([_unpack(x) for x in table["totals"].to_pylist()] or [np.zeros(0, np.int64)])
 
 
 def lookup_parts(n_bytes: int, part_bytes: int = 16 << 20) -> int:
     """Hash partitions of a look-up: in proportion to the corpus, so that each stays small."""
     return max(12, math.ceil(n_bytes / part_bytes))
-
-
-def table_of(schema: pa.Schema, columns: Iterable) -> pa.Table:
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
