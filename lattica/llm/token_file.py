@@ -23,7 +23,7 @@ from lattica.llm.pretokens import Library, Memo, batches_of, tokenizer_path
 SCALE, BLOCK, LANES = 20, 1 << 14, 64
 STEPS, LOW = BLOCK // LANES, np.uint64(1 << 31)
 #: Ids after which a frame ends with the document at hand.
-FRAME = 1 << 18
+FRAME = 1 << 20
 _U = np.uint64
 
 
