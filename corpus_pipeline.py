@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from lattica.llm import bpe_transducer, common, mixing, pretokens, quality, shingle_sets, simhash, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near-duplicates: words of a shingle; the stage compares shingle sets and reads SHINGLE only. The others, words of a
-#: SimHash print and bits that may differ of its first 64 and of all 256, are what test_stages estimates 0.8 with.
-SHINGLE, WITHIN, WORDS, WITHIN_ALL = 5, 12, 4, 42
+#: Near-duplicates: words of a shingle.
+SHINGLE = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
