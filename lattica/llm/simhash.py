@@ -27,6 +27,8 @@ BITS = 64
 PROBE_COST = 100.0
 #: Buckets up to this size are compared pair by pair; larger ones are searched breadth-first.
 SMALL_BUCKET, SPLIT_BUCKET = 64, 20_000
+#: Rows of other components that a row of a larger bucket proposes when links are to be proved on the texts.
+NEAREST = 4
 
 
 _U = np.uint64
@@ -236,30 +238,55 @@ def forest(fps: np.ndarray, within: int, sizes: np.ndarray | None = None, split:
     return i, j
 
 
-def _near(key, fps, sizes, own, within: int, other: np.ndarray | None = None, most: int | None = None):
-    """(rows i, rows j, rows with more than ``most`` others to compare): linked pairs of rows in order of (key, size);
-    where ``other`` is given, pairs of unequal ``other`` only."""
-    n, d, act, found = len(key), 1, np.arange(len(key)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    while len(act) and (most is None or d <= most):
+def distance(prints: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bits in which each row of ``prints`` (several words a row) differs from ``x``."""
+    return np.bitwise_count(prints ^ x).sum(1, dtype=np.int64)
+
+
+def nearest_forest(fps: np.ndarray, within: int, sizes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``forest``, but of the links it takes those of least distance over all words: a minimum spanning forest."""
+    n, far = len(fps), np.iinfo(np.int64).max
+    best, by, todo, x, out = np.full(n, far), np.zeros(n, np.int64), np.ones(n, bool), 0, []
+    while True:
+        todo[x] = False
+        best[x] = far
+        d = distance(prints, prints[x])
+        closer = todo & (d < best) & (np.bitwise_count(fps ^ fps[x]) <= within) & alike(sizes, sizes[x])
+        best[closer], by[closer] = d[closer], x
+        x = int(np.argmin(best))
+        if best[x] < far:
+            out.append((by[x], x))
+        elif todo.any():
+            x = int(np.argmax(todo))
+        else:
+            break
+    i, j = np.array(out, np.int64).reshape(-1, 2).T
+    return i, j
+
+
+def _near(key, fps, sizes, own, within: int, other: np.ndarray | None = None):
+    """(rows i, rows j, rows with over SMALL_BUCKET others to compare): linked pairs of rows in order of (key, size), at
+    most SMALL_BUCKET rows apart; where ``other`` is given, pairs of unequal ``other`` only."""
+    n, act, found = len(key), np.arange(len(key)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for d in range(1, SMALL_BUCKET + 1):
         act = act[act + d < n]
         act = act[(key[act + d] == key[act]) & alike(sizes[act], sizes[act + d])]
         hit = (own[act] | own[act + d]) & (np.bitwise_count(fps[act] ^ fps[act + d]) <= within)
         if other is not None:
             hit &= other[act] != other[act + d]
         found.append((act[hit], act[hit] + d))
-        d += 1
     i, j = (np.concatenate(x) for x in zip(*found))
     return i, j, act
 
 
-def bucket_links(key, fps, sizes, own, within: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(key, fps, sizes, own, within: int, prints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of all buckets of sorted (key, size); buckets without an own row have nothing that is not found
     elsewhere."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
     counts = np.diff(np.append(starts, len(key)))
     bucket = np.repeat(np.arange(len(starts)), counts)
     live = np.flatnonzero((np.add.reduceat(own.astype(np.int64), starts) > 0)[bucket] & (counts > 1)[bucket])
-    i, j, more = _near(key[live], fps[live], sizes[live], own[live], within, most=SMALL_BUCKET)
+    i, j, more = _near(key[live], fps[live], sizes[live], own[live], within)
     i, j = live[i], live[j]
     dense = np.zeros(len(starts), bool)
     dense[bucket[live[more]]] = True
@@ -267,33 +294,40 @@ def bucket_links(key, fps, sizes, own, within: int) -> tuple[np.ndarray, np.ndar
     keep = ~dense[bucket[i]]
     out = [(i[keep], j[keep])]
     for s, c in zip(starts[dense], counts[dense]):
-        a, b = forest(fps[s : s + c], within, sizes[s : s + c])
+        at = slice(s, s + c)
+        a, b = forest(fps[at], within, sizes[at]) if prints is None or c > SPLIT_BUCKET else nearest_forest(fps[at], within, sizes[at], prints[at])
         out.append((a + s, b + s))
     i, j = (np.concatenate(x) for x in zip(*out))
     return i, j
 
 
-def bucket_bridges(key, fps, sizes, own, root, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs of unequal roots. In a large bucket only rows outside its commonest root are compared with all."""
-    i, j, more = _near(key, fps, sizes, own, within, other=root, most=SMALL_BUCKET)
-    out = [(i, j)]
-    for k in np.unique(key[more]):
-        s, e = np.searchsorted(key, [k, k + 1])
+def bucket_bridges(key, fps, sizes, own, within: int, prints: np.ndarray, root) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of unequal roots: all of them in buckets where no row has over SMALL_BUCKET others to compare. In a
+    larger one each row outside the commonest root proposes the NEAREST of other roots by all words, so that a large
+    group of copies costs its size and not its square."""
+    i, j, more = _near(key, fps, sizes, own, within, other=root)
+    dense = np.unique(key[more])
+    keep = ~np.isin(key[i], dense)
+    out = [(i[keep], j[keep])]
+    for k in dense:
+        s, e = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
         names, counts = np.unique(root[s:e], return_counts=True)
         for x in np.flatnonzero(root[s:e] != names[np.argmax(counts)]) + s:
-            hit = (root[s:e] != root[x]) & alike(sizes[s:e], sizes[x]) & (np.bitwise_count(fps[s:e] ^ fps[x]) <= within)
-            at = np.flatnonzero(hit) + s
+            at = np.flatnonzero((root[s:e] != root[x]) & alike(sizes[s:e], sizes[x]) & (np.bitwise_count(fps[s:e] ^ fps[x]) <= within)) + s
+            at = at[np.argsort(distance(prints[at], prints[x]), kind="stable")[:NEAREST]]
             out.append((np.full(len(at), x), at))
     i, j = (np.concatenate(x) for x in zip(*out))
     return i, j
 
 
 def search(signed: DataFrame, within: int) -> DataFrame:
-    """(a, b) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, root]).
+    """(a, b) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, w0, ...,
+    root]).
 
-    Without ``node`` the print is the node; with ``root``, all pairs whose roots differ, else at least a spanning forest.
+    Without ``node`` the print is the node; with ``root``, ``bucket_bridges``, else at least a spanning forest.
     """
     names = signed.columns
+    words = [c for c in names if c[0] == "w"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -307,7 +341,8 @@ def search(signed: DataFrame, within: int) -> DataFrame:
             order = np.lexsort((sizes, c["key"]))
             c, sizes = {x: v[order] for x, v in c.items()}, sizes[order]
             common = (c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool))
-            i, j = bucket_bridges(*common, c["root"], within) if "root" in c else bucket_links(*common, within)
+            prints = np.stack([c[x].view(_U) for x in words], 1) if words else None
+            i, j = bucket_bridges(*common, within, prints, c["root"]) if "root" in c else bucket_links(*common, within, prints)
             node = c.get("node", c["fp"])
             a, b = node[i], node[j]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
