@@ -265,18 +265,25 @@ def nearest_forest(fps: np.ndarray, within: int, sizes: np.ndarray, prints: np.n
 
 
 def _near(key, fps, sizes, own, within: int, other: np.ndarray | None = None):
-    """(rows i, rows j, rows with over SMALL_BUCKET others to compare): linked pairs of rows in order of (key, size), at
-    most SMALL_BUCKET rows apart; where ``other`` is given, pairs of unequal ``other`` only."""
-    n, act, found = len(key), np.arange(len(key)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for d in range(1, SMALL_BUCKET + 1):
+    """(rows i, rows j, rows with over SMALL_BUCKET others to compare, rows that any pair links): of rows in order of
+    (key, size) all pairs are compared, and the linked ones at most SMALL_BUCKET rows apart are listed; where ``other`` is
+    given, pairs of unequal ``other`` only."""
+    n, act, found, d = len(key), np.arange(len(key)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    touched, more = np.zeros(n, bool), act
+    while len(act):
+        d += 1
         act = act[act + d < n]
         act = act[(key[act + d] == key[act]) & alike(sizes[act], sizes[act + d])]
         hit = (own[act] | own[act + d]) & (np.bitwise_count(fps[act] ^ fps[act + d]) <= within)
         if other is not None:
             hit &= other[act] != other[act + d]
-        found.append((act[hit], act[hit] + d))
+        at = act[hit]
+        touched[at] = touched[at + d] = True
+        if d <= SMALL_BUCKET:
+            found.append((at, at + d))
+            more = act
     i, j = (np.concatenate(x) for x in zip(*found))
-    return i, j, act
+    return i, j, more, touched
 
 
 def bucket_links(key, fps, sizes, own, within: int, prints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -285,17 +292,23 @@ def bucket_links(key, fps, sizes, own, within: int, prints: np.ndarray | None =
     starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
     counts = np.diff(np.append(starts, len(key)))
     bucket = np.repeat(np.arange(len(starts)), counts)
-    live = np.flatnonzero((np.add.reduceat(own.astype(np.int64), starts) > 0)[bucket] & (counts > 1)[bucket])
-    i, j, more = _near(key[live], fps[live], sizes[live], own[live], within)
+    worth = (np.add.reduceat(own.astype(np.int64), starts) > 0) & (counts > 1)
+    huge = worth & (counts > SPLIT_BUCKET)  # these are split instead of compared row by row
+    live = np.flatnonzero((worth & ~huge)[bucket])
+    i, j, more, touched = _near(key[live], fps[live], sizes[live], own[live], within)
     i, j = live[i], live[j]
     dense = np.zeros(len(starts), bool)
     dense[bucket[live[more]]] = True
     dense |= np.bincount(bucket[i], minlength=len(starts)) > 2 * counts  # a forest says the same with fewer links
     keep = ~dense[bucket[i]]
     out = [(i[keep], j[keep])]
-    for s, c in zip(starts[dense], counts[dense]):
-        at = slice(s, s + c)
-        a, b = forest(fps[at], within, sizes[at]) if prints is None or c > SPLIT_BUCKET else nearest_forest(fps[at], within, sizes[at], prints[at])
+    rows = live[touched]
+    rows = rows[dense[bucket[rows]]]
+    for at in np.split(rows, np.flatnonzero(np.diff(bucket[rows])) + 1) if len(rows) else []:
+        a, b = forest(fps[at], within, sizes[at]) if prints is None else nearest_forest(fps[at], within, sizes[at], prints[at])
+        out.append((at[a], at[b]))
+    for s, c in zip(starts[huge], counts[huge]):
+        a, b = forest(fps[s : s + c], within, sizes[s : s + c])
         out.append((a + s, b + s))
     i, j = (np.concatenate(x) for x in zip(*out))
     return i, j
@@ -305,15 +318,16 @@ def bucket_bridges(key, fps, sizes, own, within: int, prints: np.ndarray, root)
     """Linked pairs of unequal roots: all of them in buckets where no row has over SMALL_BUCKET others to compare. In a
     larger one each row outside the commonest root proposes the NEAREST of other roots by all words, so that a large
     group of copies costs its size and not its square."""
-    i, j, more = _near(key, fps, sizes, own, within, other=root)
+    i, j, more, touched = _near(key, fps, sizes, own, within, other=root)
     dense = np.unique(key[more])
     keep = ~np.isin(key[i], dense)
     out = [(i[keep], j[keep])]
-    for k in dense:
-        s, e = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-        names, counts = np.unique(root[s:e], return_counts=True)
-        for x in np.flatnonzero(root[s:e] != names[np.argmax(counts)]) + s:
-            at = np.flatnonzero((root[s:e] != root[x]) & alike(sizes[s:e], sizes[x]) & (np.bitwise_count(fps[s:e] ^ fps[x]) <= within)) + s
+    rows = np.flatnonzero(touched)
+    rows = rows[np.isin(key[rows], dense)]
+    for group in np.split(rows, np.flatnonzero(np.diff(key[rows])) + 1) if len(rows) else []:
+        names, counts = np.unique(root[group], return_counts=True)
+        for x in group[root[group] != names[np.argmax(counts)]]:
+            at = group[(root[group] != root[x]) & alike(sizes[group], sizes[x]) & (np.bitwise_count(fps[group] ^ fps[x]) <= within)]
             at = at[np.argsort(distance(prints[at], prints[x]), kind="stable")[:NEAREST]]
             out.append((np.full(len(at), x), at))
     i, j = (np.concatenate(x) for x in zip(*out))
