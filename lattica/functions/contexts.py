@@ -5,7 +5,9 @@ A context is an ``array<long>`` of fixed length, newest element first, padded wi
 columns by name:
 
 record: ctx, alloc_class, heap_class_name, site
-merge:  ctx, site, is_static, heap (receiver's allocation site), hctx, alloc_class, heap_class, heap_class_name, is_init
+        alloc_class_name
+merge:  ctx, site, is_static, heap (receiver's allocation site), hctx, alloc_class, heap_class, heap_class_name, is_init,
+        callee_name
 """
 
 from __future__ import annotations
@@ -147,18 +149,18 @@ class InitFullObject(FullObject):
 
 @dataclass
 class CollectionsType(Abstraction):
-    """Type-sensitive for receivers of collection classes: pushes the allocated class, else starts afresh."""
+    """Type-sensitive for receivers of collection classes: pushes the class that allocated them, else starts afresh."""
 
     n: int = 2
     m: int = 1
-    pattern: str = "java/util"
+    pattern: str = "Ljava/util"
 
     def record(self, row: Row) -> Column:
-        return F.when(row["alloc_class_name"].contains(self.pattern), truncate(row["ctx"], self.m)).otherwise(empty())
+        return F.when(F.coalesce(row["alloc_class_name"], F.lit("")).contains(self.pattern), truncate(row["ctx"], self.m)).otherwise(empty())
 
     def merge(self, row: Row) -> Column:
-        hit = ~row["is_static"] & F.coalesce(row["heap_class_name"], F.lit("")).contains("L" + self.pattern)
-        return F.when(hit, push(row["hctx"], row["heap_class"], self.n)).otherwise(empty())
+        hit = ~row["is_static"] & F.coalesce(row["heap_class_name"], F.lit("")).contains(self.pattern)
+        return F.when(hit, push(row["hctx"], row["alloc_class"], self.n)).otherwise(empty())
 
     def __str__(self) -> str:
         return f"{self.n}CollectionsType+{self.m}H"
@@ -186,34 +188,78 @@ class StringObject(Abstraction):
         return f"{self.n}StringBuilderFullObjSens"
 
 
-@dataclass
-class NamedCallSite(Abstraction):
-    """Pushes the call site if the receiver's class name matches, else a gap."""
+#: The class of builders with its two final subclasses, the class of print streams, and the parts of
+#: names that two abstractions look for.
+BUILDERS = ("Ljava/lang/AbstractStringBuilder", "Ljava/lang/StringBuilder", "Ljava/lang/StringBuffer")
+PRINT_STREAM = "Ljava/io/PrintStream"
+CALLEE_PARTS = ("bouncycastle", "intToBigEndian")
+CLASS_PARTS = ("bouncycastle",)
 
-    n: int = 2
-    pattern: str = ""
-    label: str = "MagicCallSite"
 
-    def record(self, row: Row) -> Column:
-        return row["ctx"]
+def _has_part(name: Column, parts: tuple[str, ...]) -> Column:
+    hit = F.lit(False)
+    for p in parts:
+        hit = hit | F.coalesce(name, F.lit("")).contains(p)
+    return hit
+
+
+@dataclass
+class StreamCallSite(CallSite):
+    """Pushes the site of calls on print streams, else a gap. ``classes`` are the stream class and its subclasses."""
+
+    n: int = 5
+    classes: tuple[str, ...] = (PRINT_STREAM,)
 
     def merge(self, row: Row) -> Column:
-        hit = ~row["is_static"] & F.coalesce(row["heap_class_name"], F.lit("")).rlike(self.pattern)
+        hit = ~row["is_static"] & F.coalesce(row["heap_class_name"], F.lit("")).isin(*self.classes)
         return push(row["ctx"], F.when(hit, row["site"]), self.n)
 
     def __str__(self) -> str:
-        return f"{self.label}({self.n})"
+        return f"cs({self.n}, PrintStream)"
+
+
+@dataclass
+class NamedCallSite(CallSite):
+    """Pushes the site of calls, static or not, whose callee's name has one of ``parts``, else a gap."""
+
+    parts: tuple[str, ...] = CALLEE_PARTS
+
+    def merge(self, row: Row) -> Column:
+        return push(row["ctx"], F.when(_has_part(row["callee_name"], self.parts), row["site"]), self.n)
+
+    def __str__(self) -> str:
+        return f"generateDerivedKey({self.n})"
+
+
+@dataclass
+class FilteredObject(FullObject):
+    """Object-sensitive, but an allocation of other than ``classes`` pushes a gap instead of the receiver's site."""
+
+    classes: tuple[str, ...] = BUILDERS
+
+    def record(self, row: Row) -> Column:
+        kept = F.coalesce(row["heap_class_name"], F.lit("")).isin(*self.classes)
+        gap = push(F.slice(row["ctx"], 2, self.n + 1), F.lit(NONE), self.n)
+        return F.when(F.size(row["ctx"]) == 0, empty()).when(kept, truncate(row["ctx"], self.n)).otherwise(gap)
+
+    def __str__(self) -> str:
+        return "filter(AbstractStringBuilder)"
 
 
 @dataclass
 class NamedObject(FullObject):
-    """Object-sensitive where the receiver's class name matches, else the initial context."""
+    """Object-sensitive where the receiver's class name has one of ``parts``; an allocation keeps its context where the
+    allocated or the allocating class has."""
 
-    pattern: str = ""
+    parts: tuple[str, ...] = CLASS_PARTS
+
+    def record(self, row: Row) -> Column:
+        hit = _has_part(row["heap_class_name"], self.parts) | _has_part(row["alloc_class_name"], self.parts)
+        return F.when(hit, truncate(row["ctx"], self.n)).otherwise(empty())
 
     def merge(self, row: Row) -> Column:
-        hit = ~row["is_static"] & F.coalesce(row["heap_class_name"], F.lit("")).rlike(self.pattern)
-        return F.when(hit, push(row["hctx"], row["heap"], self.n)).otherwise(empty())
+        hit = ~row["is_static"] & _has_part(row["heap_class_name"], self.parts)
+        return F.when(hit, push(row["hctx"], row["heap"], self.n + 1)).otherwise(empty())
 
     def __str__(self) -> str:
         return f"MagicFullObjSens({self.n})"
@@ -273,8 +319,7 @@ NAMES = {
     "type": TypeSensitive, "TypeSensitive": TypeSensitive, "scs": StaticCallSite, "StaticCallSiteSensitive": StaticCallSite, "cs": CallSite, "CallSiteSensitive": CallSite,
     "full": FullObject, "FullObjSensitive": FullObject, "ContextInsensitive": Abstraction, "insensitive": Abstraction, "OneObjSensitive": OneObject,
     "InstanceInitFullObjSensitive": InitFullObject, "CollectionsTypeSensitive": CollectionsType, "StringBuilderFullObjSensitive": StringObject,
-    "CallSiteSensitiveOutputStream": lambda n=5: NamedCallSite(n, "Ljava/io/PrintStream", "OutputStreamCallSite"), "MagicCallSiteSensitive": lambda n=2: NamedCallSite(n, "^Ljava"),
-    "FilterStringBuilderSpecialized": lambda n=2: NamedCallSite(n, "Ljava/lang/AbstractStringBuilder", "FilterStringBuilder"), "MagicFullObjSensitive": lambda n=2: NamedObject(n, "^Ljava"),
+    "CallSiteSensitiveOutputStream": StreamCallSite, "MagicCallSiteSensitive": NamedCallSite, "FilterStringBuilderSpecialized": FilteredObject, "MagicFullObjSensitive": NamedObject,
     "WalaReceiverTypeContextSelector": ReceiverType, "CrossProduct": Product,
 }
 _TOKEN = re.compile(r'\s*(?:(?P<num>\d+)|"(?P<str>[^"]*)"|(?P<name>[A-Za-z_][\w.]*)|(?P<sym>[()\[\]{},]))')

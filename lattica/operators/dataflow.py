@@ -45,18 +45,15 @@ def reachable_blocks(edges: DataFrame, entries: DataFrame, dead: DataFrame | Non
 def exception_successors(thrown: DataFrame, edges: DataFrame, catch_type: DataFrame, subtype: DataFrame, exits: DataFrame) -> DataFrame:
     """(m, bb, type, dst): where an exception of a type thrown in a block may go.
 
-    ``thrown`` is (m, bb, type, is_call). A handler of a supertype catches; the first such ends the walk. A handler of a
-    subtype may catch what a call throws. Types that no handler surely catches also go to the exit of ``exits`` (m, bb).
+    ``thrown`` is (m, bb, type, is_call). Every handler of a supertype catches; a handler of a subtype may catch what a
+    call throws. Types that no handler surely catches also go to the exit of ``exits`` (m, bb).
     """
     succ = edges.where("kind = 'E'").select("m", F.col("src").alias("bb"), "dst")
-    h = thrown.join(succ, ["m", "bb"]).join(catch_type.select("m", F.col("bb").alias("dst"), "ord", F.col("type").alias("caught")), ["m", "dst"])
-    sure = h.join(subtype, (h["caught"] == subtype["sup"]) & (h["type"] == subtype["sub"])).select("m", "bb", "type", "dst", "ord")
-    first = sure.groupBy("m", "bb", "type").agg(F.min(F.struct("dst", "ord")).alias("first"))
-    maybe = h.where("is_call").join(subtype.where("sup <> sub"), (h["caught"] == F.col("sub")) & (h["type"] == F.col("sup"))).select("m", "bb", "type", "dst", "ord")
-    early = maybe.join(first, ["m", "bb", "type"], "left").where(F.col("first").isNull() | (F.struct("dst", "ord") < F.col("first")))
-    exit_to = thrown.join(first, ["m", "bb", "type"], "left_anti").join(exits.select("m", F.col("bb").alias("dst")), "m")
-    parts = [first.select("m", "bb", "type", F.col("first.dst").alias("dst")), early.select("m", "bb", "type", "dst"), exit_to.select("m", "bb", "type", "dst")]
-    return union_all(parts).distinct()
+    h = thrown.join(succ, ["m", "bb"]).join(catch_type.select("m", F.col("bb").alias("dst"), F.col("type").alias("caught")), ["m", "dst"])
+    sure = h.join(subtype, (h["caught"] == subtype["sup"]) & (h["type"] == subtype["sub"])).select("m", "bb", "type", "dst")
+    maybe = h.where("is_call").join(subtype, (h["caught"] == F.col("sub")) & (h["type"] == F.col("sup"))).select("m", "bb", "type", "dst")
+    exit_to = thrown.join(sure, ["m", "bb", "type"], "left_anti").join(exits.select("m", F.col("bb").alias("dst")), "m").select("m", "bb", "type", "dst")
+    return union_all([sure, maybe, exit_to]).distinct()
 
 
 def branch_successors(branches: DataFrame, edges: DataFrame) -> DataFrame:

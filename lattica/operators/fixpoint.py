@@ -24,7 +24,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattica-ckpt-"))
     return df.checkpoint(eager=True)
 
 

@@ -24,6 +24,7 @@ STATEMENTS = {
     "actual": "site long, i int, v long", "formal": "m long, i int, v long", "returns": "m long, v long", "throws": "m long, v long",
     "alloc": "site long, type long, type_name string, alloc_class long, alloc_class_name string", "dispatch": "t long, selector string, m long",
     "filter_ok": "filter long, t long", "static_var": "f long, v long", "is_init": "m long", "elem_ok": "type long, t long", "clone": "site long, fresh long",
+    "method_name": "m long, name string",
 }
 
 
@@ -76,6 +77,10 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
     def merged(found: DataFrame, static: bool) -> DataFrame:
         """found: (m, ctx, site, callee, heap, hctx, heap facts) with the callee's context."""
         f = found.join(init, "callee", "left").withColumn("is_init", F.coalesce("init", F.lit(False)))
+        if "method_name" in p.tables:
+            f = f.join(p["method_name"].select(F.col("m").alias("callee"), F.col("name").alias("callee_name")), "callee", "left")
+        else:
+            f = f.withColumn("callee_name", F.lit(None).cast("string"))
         return f.withColumn("ectx", _of_row(haf.merge(_row(f, is_static=F.lit(static)))))
 
     def static_calls(reach: DataFrame) -> DataFrame:

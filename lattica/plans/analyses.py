@@ -43,12 +43,13 @@ def df02_backward_facts(spark, sf_dir):
 
 @query(
     _HANDLERS + """, h AS (SELECT t.m, t.bb, t.type, c.bb AS dst, c.ord, c.type AS caught FROM (SELECT DISTINCT m, bb, type FROM thrown) t JOIN edges e ON e.m = t.m AND e.src = t.bb JOIN catches c ON c.m = e.m AND c.bb = e.dst),
-  sure AS (SELECT m, bb, type, min(dst) AS dst FROM h WHERE (caught, type) IN (SELECT (sup, sub) FROM up) GROUP BY ALL)
-  SELECT m, bb, type, dst FROM sure UNION SELECT m, bb, type, -1 FROM thrown t WHERE NOT EXISTS (SELECT 1 FROM sure s WHERE s.m = t.m AND s.bb = t.bb AND s.type = t.type)"""
+  sure AS (SELECT m, bb, type, dst FROM h WHERE (caught, type) IN (SELECT (sup, sub) FROM up)),
+  maybe AS (SELECT m, bb, type, dst FROM h WHERE bb % 2 = 0 AND (type, caught) IN (SELECT (sup, sub) FROM up))
+  SELECT m, bb, type, dst FROM sure UNION SELECT m, bb, type, dst FROM maybe UNION SELECT m, bb, type, -1 FROM thrown t WHERE NOT EXISTS (SELECT 1 FROM sure s WHERE s.m = t.m AND s.bb = t.bb AND s.type = t.type)"""
 )
 def df05_exc_successors(spark, sf_dir):
     thrown, edges, catches, sub = _handlers(spark, sf_dir)
-    t = thrown.select("m", "bb", "type").distinct().withColumn("is_call", F.lit(False))
+    t = thrown.select("m", "bb", "type").distinct().withColumn("is_call", F.col("bb") % 2 == 0)
     return D.exception_successors(t, edges, catches, sub, thrown.select("m", F.lit(-1).cast("long").alias("bb")).distinct())
 
 

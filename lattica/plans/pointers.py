@@ -242,8 +242,10 @@ def pt25_cycles(spark, sf_dir):
 # --- contexts --------------------------------------------------------------------------------------------------
 
 _ROWS = """SELECT o_orderkey AS k, CAST(o_custkey % 7 AS BIGINT) AS c0, CAST(o_custkey % 11 AS BIGINT) AS c1, CAST(o_orderkey % 13 AS BIGINT) AS h0, CAST(o_orderkey AS BIGINT) AS site, o_orderstatus = 'F' AS is_static, CAST(o_custkey % 5 AS BIGINT) AS heap,
-  CAST(o_custkey % 3 AS BIGINT) AS alloc_class, CAST(o_custkey % 4 AS BIGINT) AS heap_class, CASE o_custkey % 3 WHEN 0 THEN 'Ljava/util/List' WHEN 1 THEN 'Ljava/lang/String' ELSE 'Lapp/A' END AS heap_class_name,
-  CASE o_custkey % 2 WHEN 0 THEN 'Ljava/util/List' ELSE 'Lapp/B' END AS alloc_class_name, o_orderkey % 4 = 0 AS is_init FROM orders"""
+  CAST(o_custkey % 3 AS BIGINT) AS alloc_class, CAST(o_custkey % 4 AS BIGINT) AS heap_class,
+  CASE o_custkey % 6 WHEN 0 THEN 'Ljava/util/List' WHEN 1 THEN 'Ljava/lang/String' WHEN 2 THEN 'Ljava/lang/StringBuilder' WHEN 3 THEN 'Ljava/io/PrintStream' WHEN 4 THEN 'Lorg/bouncycastle/Key' ELSE 'Lapp/A' END AS heap_class_name,
+  CASE o_custkey % 5 WHEN 0 THEN 'Ljava/util/List' WHEN 1 THEN 'Lorg/bouncycastle/Util' ELSE 'Lapp/B' END AS alloc_class_name, o_orderkey % 4 = 0 AS is_init,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Lapp/A.f()V' WHEN 1 THEN 'Lorg/bouncycastle/Util.g()V' ELSE 'Lapp/Pack.intToBigEndian(I)V' END AS callee_name FROM orders"""
 
 
 def _push(e: str, ctx: str, n: int) -> str:
@@ -251,7 +253,6 @@ def _push(e: str, ctx: str, n: int) -> str:
 
 
 _CTX, _HCTX, _NO = "[c0, c1]", "[h0]", "[]::BIGINT[]"
-_HIT = "(NOT is_static AND heap_class_name {})"
 _CASES = {
     "haf01_stack": ("cs(3)", _push("site", _CTX, 3), _CTX),
     "haf02_insensitive": ("ContextInsensitive", _NO, _NO),
@@ -261,12 +262,12 @@ _CASES = {
     "haf06_full_object": ("full(1)", f"CASE WHEN is_static THEN {_CTX} ELSE {_push('heap', _HCTX, 2)} END", "[c0]"),
     "haf07_one_object": ("OneObjSensitive", f"CASE WHEN is_static THEN {_CTX} ELSE [heap] END", _NO),
     "haf08_init_object": ("InstanceInitFullObjSensitive", f"CASE WHEN NOT is_init THEN {_NO} WHEN is_static THEN {_CTX} ELSE {_push('heap', _HCTX, 2)} END", "[c0]"),
-    "haf09_collections": ("CollectionsTypeSensitive", f"CASE WHEN {_HIT.format(chr(61) + ' ' + chr(39) + 'Ljava/util/List' + chr(39))} THEN {_push('heap_class', _HCTX, 2)} ELSE {_NO} END", f"CASE WHEN alloc_class_name = 'Ljava/util/List' THEN [c0] ELSE {_NO} END"),
-    "haf10_strings": ("StringBuilderFullObjSensitive", f"CASE WHEN NOT is_static AND heap_class_name = 'Ljava/lang/String' THEN {_push('heap', _HCTX, 2)} ELSE {_NO} END", f"CASE WHEN heap_class_name = 'Ljava/lang/String' THEN {_CTX} ELSE {_NO} END"),
-    "haf11_filtered_builders": ("FilterStringBuilderSpecialized", _push("NULL", _CTX, 2), _CTX),
-    "haf12_output_streams": ("CallSiteSensitiveOutputStream", _push("NULL", _CTX, 5), _CTX),
-    "haf13_named_call_sites": ("MagicCallSiteSensitive", _push("CASE WHEN NOT is_static AND heap_class_name LIKE 'Ljava%' THEN site END", _CTX, 2), _CTX),
-    "haf13_named_objects": ("MagicFullObjSensitive", f"CASE WHEN NOT is_static AND heap_class_name LIKE 'Ljava%' THEN {_push('heap', _HCTX, 2)} ELSE {_NO} END", _CTX),
+    "haf09_collections": ("CollectionsTypeSensitive", f"CASE WHEN NOT is_static AND contains(heap_class_name, 'Ljava/util') THEN {_push('alloc_class', _HCTX, 2)} ELSE {_NO} END", f"CASE WHEN contains(alloc_class_name, 'Ljava/util') THEN [c0] ELSE {_NO} END"),
+    "haf10_strings": ("StringBuilderFullObjSensitive", f"CASE WHEN NOT is_static AND heap_class_name LIKE 'Ljava/lang/String%' THEN {_push('heap', _HCTX, 2)} ELSE {_NO} END", f"CASE WHEN heap_class_name LIKE 'Ljava/lang/String%' THEN {_CTX} ELSE {_NO} END"),
+    "haf11_filtered_builders": ("FilterStringBuilderSpecialized", f"CASE WHEN is_static THEN {_CTX} ELSE [heap, h0, -1] END", "CASE WHEN heap_class_name = 'Ljava/lang/StringBuilder' THEN [c0, c1] ELSE [-1, c1] END"),
+    "haf12_output_streams": ("CallSiteSensitiveOutputStream", _push("CASE WHEN NOT is_static AND heap_class_name = 'Ljava/io/PrintStream' THEN site END", _CTX, 5), _CTX),
+    "haf13_named_call_sites": ("MagicCallSiteSensitive", _push("CASE WHEN contains(callee_name, 'bouncycastle') OR contains(callee_name, 'intToBigEndian') THEN site END", _CTX, 2), _CTX),
+    "haf13_named_objects": ("MagicFullObjSensitive", f"CASE WHEN NOT is_static AND contains(heap_class_name, 'bouncycastle') THEN [heap, h0, -1] ELSE {_NO} END", f"CASE WHEN contains(heap_class_name, 'bouncycastle') OR contains(alloc_class_name, 'bouncycastle') THEN {_CTX} ELSE {_NO} END"),
     "haf15_receiver_type": ("WalaReceiverTypeContextSelector", f"CASE WHEN is_static THEN {_NO} ELSE [heap_class] END", _NO),
 }
 

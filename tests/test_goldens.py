@@ -137,3 +137,33 @@ def test_restored_counter_of_a_diamond(spark):
     frame = lambda rows: spark.createDataFrame(rows, "m long, bb long, dom long")
     found = pdg.restore_pc(frame(dom), frame(post), spark.createDataFrame([(0, 3)], "m long, bb long")).collect()
     assert len(edges) == 4 and [(r["bb"], r["at"]) for r in found] == [(3, 0)]
+
+
+def test_streams_include_subclasses(spark):
+    """A subclass of the print stream is one: its receivers push the call site, others a gap."""
+    from pyspark.sql import functions as F
+
+    from lattica.functions import contexts
+    from lattica.operators import hierarchy
+
+    names = spark.createDataFrame([(1, "Ljava/lang/Object"), (2, contexts.PRINT_STREAM), (3, "Lapp/Log"), (4, "Lapp/A")], "t long, name string")
+    sub = hierarchy.subtypes(spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1)], "t long, super long"))
+    classes = hierarchy.names_below(sub, names, contexts.PRINT_STREAM)
+    assert classes == ("Lapp/Log", contexts.PRINT_STREAM)
+    rows = spark.createDataFrame([("Lapp/Log", False), ("Lapp/A", False), ("Lapp/Log", True)], "heap_class_name string, is_static boolean")
+    row = {"ctx": contexts.longs(7), "site": F.lit(5), **{c: F.col(c) for c in rows.columns}}
+    got = [r[0] for r in rows.select(contexts.StreamCallSite(2, classes).merge(row)).collect()]
+    assert got == [[5, 7], [-1, 7], [-1, 7]]
+
+
+def test_all_handlers_that_catch_are_successors(spark):
+    """Two sure handlers both stay; a handler of a subtype only for calls; without a sure one the exit too."""
+    from lattica.operators import dataflow
+
+    sub = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 3), (1, 3)], "sup long, sub long")
+    edges = spark.createDataFrame([(0, s, d, "E") for s in (0, 1, 2) for d in (10, 11, 12)], "m long, src long, dst long, kind string")
+    catches = spark.createDataFrame([(0, 10, 0, 1), (0, 11, 0, 2), (0, 12, 0, 3)], "m long, bb long, ord int, type long")
+    thrown = spark.createDataFrame([(0, 0, 2, False), (0, 1, 1, True), (0, 2, 4, True)], "m long, bb long, type long, is_call boolean")
+    exits = spark.createDataFrame([(0, 99)], "m long, bb long")
+    got = {(r["bb"], r["dst"]) for r in dataflow.exception_successors(thrown, edges, catches, sub, exits).collect()}
+    assert got == {(0, 10), (0, 11), (1, 10), (1, 11), (1, 12), (2, 99)}
