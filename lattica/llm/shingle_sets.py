@@ -6,9 +6,10 @@ the generalised pigeonhole principle: a pair is proposed if ``WITHIN`` bits or f
 proposed counts only if the sets themselves are similar enough, in whole numbers.
 
 A bucket first proposes a spanning forest, of a large bucket the one of least distance over all bits, so that a group of
-n near copies costs n sets and not n^2. After the components of what held, a bucket proposes linked pairs whose
-components still differ: all of them where a row has at most 64 others to compare. In a larger bucket a row that is still
-apart proposes its four nearest; pairs just below 0.8 would otherwise grow with the square of the group.
+n near copies costs n sets and not n^2. After the components of what held, pairs of a bucket whose components still
+differ are compared: in a large bucket all of them by sketches, which count a set's hashes in ``CLASSES`` classes. The
+lesser counts of two sketches add up to no less than the hashes that both sets hold, so no pair of the similarity asked
+for is lost, and the few that remain are settled by the sets themselves.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import cut
-from lattica.llm.simhash import allocate, bit_statistics, components, labelled, majority, mixed, rows_of, search, shingle_hashes, signatures
+from lattica.llm.simhash import alike, allocate, bit_statistics, bridges, components, labelled, majority, mixed, rows_of, search, shingle_hashes, signatures, whole_keys
 
 #: Prints of a text, and the bits that may differ in one of them.
 WORDS, WITHIN = 4, 11
+#: Classes of a sketch, a power of two; a class of ``FULL`` hashes or more says nothing.
+CLASSES, FULL = 128, 255
 _U = np.uint64
 _SEEDS = mixed(np.arange(1, WORDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
@@ -45,6 +48,18 @@ def prints_of(hashes: np.ndarray) -> list[int]:
     return [majority(mixed(hashes ^ s)) for s in _SEEDS]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each class by their highest bits, a byte each."""
+    shift = _U(64 - (CLASSES.bit_length() - 1))
+    return np.minimum(np.bincount((hashes >> shift).astype(np.int64), minlength=CLASSES), FULL).astype(np.uint8).tobytes()
+
+
+def not_below(x: np.ndarray, y: np.ndarray, n, m, tenths: int) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` with the sketches ``x`` and ``y`` can have a similarity of ``tenths`` / 10."""
+    both = np.minimum(x, y).sum(-1, dtype=np.int64)
+    return ((10 + tenths) * both >= tenths * (n + m)) | (x == FULL).any(-1) | (y == FULL).any(-1)
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
@@ -72,17 +87,45 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes) of the nodes in ``wanted`` (node, least), made anew from a text of id ``least`` each."""
+    """(node, hashes, sketch) of the nodes in ``wanted`` (node, least), made anew from a text of id ``least`` each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t, shingle) for t in _texts(b)]
             ends = np.cumsum([0, *map(len, found)])
             flat = np.concatenate([*found, np.zeros(0, _U)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("want"), _longs([node_of(s) for s in found]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["want", "node", "hashes"])
+            hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            sketches = pa.array([sketch_of(s) for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("want"), _longs([node_of(s) for s in found]), hashes, sketches], names=["want", "node", "hashes", "sketch"])
 
     own = rows_of(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("node").alias("want"), "text")
-    return own.mapInArrow(run, "want long, node long, hashes array<long>").where("want = node").select("node", "hashes").dropDuplicates(["node"])
+    return own.mapInArrow(run, "want long, node long, hashes array<long>, sketch binary").where("want = node").select("node", "hashes", "sketch").dropDuplicates(["node"])
+
+
+def compared(dense: DataFrame, within: int, tenths: int) -> DataFrame:
+    """(a, b) with a < b: all pairs of unequal roots in a bucket of ``dense`` (key, own, fp, node, size, root, sketch) that
+    their prints link and their sketches do not rule out."""
+
+    def pairs_of(c: dict[str, np.ndarray], sketches: np.ndarray) -> Iterator[np.ndarray]:
+        node, root, size, fps, own = c["node"], c["root"], c["size"].astype(np.int64), c["fp"].view(_U), c["own"].astype(bool)
+        names, counts = np.unique(root, return_counts=True)
+        left = np.ones(len(node), bool)
+        for x in np.flatnonzero(root != names[np.argmax(counts)]):  # rows of the commonest root meet all of these
+            at = np.flatnonzero(left & (root != root[x]) & (own | own[x]) & alike(size, size[x]) & (np.bitwise_count(fps ^ fps[x]) <= within))
+            at = at[not_below(sketches[at], sketches[x], size[at], size[x], tenths)]
+            yield np.stack([np.minimum(node[at], node[x]), np.maximum(node[at], node[x])], 1)
+            left[x] = False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_keys(batches, 50_000):
+            sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, CLASSES)
+            c = {x: t[x].to_numpy() for x in t.schema.names if x != "sketch"}
+            borders = [0, *(np.flatnonzero(np.diff(c["key"])) + 1), len(t)]
+            for s, e in zip(borders, borders[1:]):
+                pairs = np.concatenate([*pairs_of({x: v[s:e] for x, v in c.items()}, sketches[s:e]), np.zeros((0, 2), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return dense.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
@@ -112,8 +155,12 @@ def links(docs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataF
     sets = cut(sets_of(docs, some.select("node", "least"), shingle))
     held = cut(verified(first, sets, tenths))
     now = cut(some.join(components(held).withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    again = [signatures(now.select(F.col(f"w{k}").alias("fp"), "node", "size", *all_words, "root"), plan, k) for k, plan in enumerate(plans)]
-    second = search(reduce(DataFrame.union, again), WITHIN).join(first, ["a", "b"], "left_anti")
+    again = [signatures(now.select(F.col(f"w{k}").alias("fp"), "node", "size", "root"), plan, k) for k, plan in enumerate(plans)]
+    found = cut(bridges(reduce(DataFrame.union, again), WITHIN))
+    dense = found.where("key is not null").select(F.col("a").alias("node"), F.col("b").alias("fp"), "key", "own")
+    dense = dense.join(now.select("node", "size", "root"), "node").join(sets.select("node", "sketch"), "node")
+    pairs = found.where("key is null").select("a", "b").union(compared(dense, WITHIN, tenths)).distinct()
+    second = cut(pairs.join(first, ["a", "b"], "left_anti"))
     return components(held.union(verified(second, sets, tenths)))
 
 

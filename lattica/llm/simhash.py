@@ -27,8 +27,6 @@ BITS = 64
 PROBE_COST = 100.0
 #: Buckets up to this size are compared pair by pair; larger ones are searched breadth-first.
 SMALL_BUCKET, SPLIT_BUCKET = 64, 20_000
-#: Rows of other components that a row of a larger bucket proposes when links are to be proved on the texts.
-NEAREST = 4
 
 
 _U = np.uint64
@@ -314,69 +312,80 @@ def bucket_links(key, fps, sizes, own, within: int, prints: np.ndarray | None =
     return i, j
 
 
-def bucket_bridges(key, fps, sizes, own, within: int, prints: np.ndarray, root) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of unequal roots: all of them in buckets where no row has over SMALL_BUCKET others to compare. In a
-    larger one each row outside the commonest root proposes the NEAREST of other roots by all words, so that a large
-    group of copies costs its size and not its square."""
+def bucket_bridges(key, fps, sizes, own, within: int, root) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows i, rows j, dense rows): linked pairs of unequal roots in buckets where no row has over SMALL_BUCKET others to
+    compare, and of the larger buckets the rows that such a pair links, for a comparison by more than their prints."""
     i, j, more, touched = _near(key, fps, sizes, own, within, other=root)
     dense = np.unique(key[more])
     keep = ~np.isin(key[i], dense)
-    out = [(i[keep], j[keep])]
-    rows = np.flatnonzero(touched)
-    rows = rows[np.isin(key[rows], dense)]
-    for group in np.split(rows, np.flatnonzero(np.diff(key[rows])) + 1) if len(rows) else []:
-        names, counts = np.unique(root[group], return_counts=True)
-        for x in group[root[group] != names[np.argmax(counts)]]:
-            at = group[(root[group] != root[x]) & alike(sizes[group], sizes[x]) & (np.bitwise_count(fps[group] ^ fps[x]) <= within)]
-            at = at[np.argsort(distance(prints[at], prints[x]), kind="stable")[:NEAREST]]
-            out.append((np.full(len(at), x), at))
-    i, j = (np.concatenate(x) for x in zip(*out))
-    return i, j
+    return i[keep], j[keep], np.flatnonzero(touched & np.isin(key, dense))
+
+
+def whole_keys(batches, most_rows: int) -> Iterator[pa.Table]:
+    """Batches in order of ``key`` as tables of ``most_rows`` or more, none of which ends within a key."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= most_rows:
+            t = pa.Table.from_batches(held)
+            keys = t["key"].to_numpy()
+            end = int(np.searchsorted(keys, keys[-1]))
+            if end:
+                yield t.slice(0, end)
+            held, rows = t.slice(end).combine_chunks().to_batches(), len(t) - end
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def search(signed: DataFrame, within: int) -> DataFrame:
-    """(a, b) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, w0, ...,
-    root]).
-
-    Without ``node`` the print is the node; with ``root``, ``bucket_bridges``, else at least a spanning forest.
-    """
+    """(a, b) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, w0, ...]):
+    at least a spanning forest. Without ``node`` the print is the node."""
     names = signed.columns
     words = [c for c in names if c[0] == "w"]
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def out(t: pa.Table):
-            if not len(t):
-                return
-            c = {x: t[x].to_numpy() for x in names}
-            sizes = c["size"].astype(np.int64) if "size" in c else np.zeros(len(t), np.int64)
-            order = np.lexsort((sizes, c["key"]))
-            c, sizes = {x: v[order] for x, v in c.items()}, sizes[order]
-            common = (c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool))
+        for t in whole_keys(batches, 500_000):
+            c, sizes = _by_size(t)
             prints = np.stack([c[x].view(_U) for x in words], 1) if words else None
-            i, j = bucket_bridges(*common, within, prints, c["root"]) if "root" in c else bucket_links(*common, within, prints)
+            i, j = bucket_links(c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool), within, prints)
             node = c.get("node", c["fp"])
             a, b = node[i], node[j]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        for b in batches:  # whole buckets at a time
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 500_000:
-                t = pa.Table.from_batches(held)
-                keys = t["key"].to_numpy()
-                end = int(np.searchsorted(keys, keys[-1]))
-                yield from out(t.slice(0, end))
-                held, rows = t.slice(end).combine_chunks().to_batches(), len(t) - end
-        if held:
-            yield from out(pa.Table.from_batches(held))
-
     return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
+def bridges(signed: DataFrame, within: int) -> DataFrame:
+    """(a, b, key, own) of ``signed`` (key, own, fp, node, size, root): where key is null, a < b are linked nodes of unequal
+    roots; else a is a node and b its print in the large bucket ``key``, where it is linked to some node of another root."""
+
+    def run(batches):
+        for t in whole_keys(batches, 500_000):
+            c, sizes = _by_size(t)
+            i, j, dense = bucket_bridges(c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool), within, c["root"])
+            a, b = c["node"][i], c["node"][j]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+            n, none = len(pairs), np.zeros(len(pairs), np.int64)
+            blank = np.arange(n + len(dense)) < n
+            key = pa.array(np.concatenate([none, c["key"][dense]]), mask=blank)
+            own = pa.array(np.concatenate([none.astype(bool), c["own"][dense].astype(bool)]), mask=blank)
+            both = [pa.array(np.concatenate([pairs[:, k], c[x][dense]])) for k, x in enumerate(("node", "fp"))]
+            yield pa.RecordBatch.from_arrays([*both, key, own], names=["a", "b", "key", "own"])
+
+    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long, own boolean")
+
+
+def _by_size(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Columns in order of key and size, and the sizes (0 where there are none)."""
+    c = {x: t[x].to_numpy() for x in t.schema.names}
+    sizes = c["size"].astype(np.int64) if "size" in c else np.zeros(len(t), np.int64)
+    order = np.lexsort((sizes, c["key"]))
+    return {x: v[order] for x, v in c.items()}, sizes[order]
+
+
 def links(distinct: DataFrame, within: int = 4) -> DataFrame:
     """(a, b) with a < b: prints linked at ``within`` bits or fewer; of each component at least a spanning forest.
 

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
+from lattica.llm import shingle_sets as S
 
 
 def brute_kept(texts: dict) -> list:
@@ -38,5 +41,35 @@ def test_near_duplicates_are_those_of_brute_force(spark, sf):
         texts[len(texts)] = f"{common_start} {' '.join(f'y{rng.randrange(4000)}' for _ in range(20 + 2 * k))}"
     for t in (None, "", "  \n", "One two", "one TWO", "one two three"):
         texts[len(texts)] = t
+    agree(spark, sf, texts)
+
+
+def test_large_groups_lose_no_link(spark, sf):
+    """Over 64 rows in a bucket, most pairs a little below 0.8: a row's one partner can be any other."""
+    rng, texts = random.Random(9), {}
+    for n in (150, 250):
+        base = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        for _ in range(300):
+            edits = rng.sample(range(n), rng.randrange(2, n // 60 + 2))
+            texts[len(texts)] = " ".join(f"x{rng.randrange(4000)}" if k in edits else w for k, w in enumerate(base))
+    assert 20 < len(brute_kept(texts)) < 580, len(brute_kept(texts))
+    agree(spark, sf, texts)
+
+
+def test_sketches_rule_out_no_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 3000, 60_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for kept in (0.5, 0.85, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < kept], rng.integers(0, 1 << 64, n - int(kept * n), np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            x, y = (np.frombuffer(S.sketch_of(s), np.uint8) for s in (a, b))
+            if 10 * both >= 8 * (len(a) + len(b) - both):
+                assert S.not_below(x, y, len(a), len(b), 8)
+            elif kept == 0.5 and 40 <= n <= 300:  # of larger sets a sketch says less, and the sets decide
+                assert not S.not_below(x, y, len(a), len(b), 8)
+
+
+def agree(spark, sf, texts):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, sf).collect()) == brute_kept(texts)
