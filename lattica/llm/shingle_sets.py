@@ -157,8 +157,8 @@ def links(docs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataF
     now = cut(some.join(components(held).withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     again = [signatures(now.select(F.col(f"w{k}").alias("fp"), "node", "size", "root"), plan, k) for k, plan in enumerate(plans)]
     found = cut(bridges(reduce(DataFrame.union, again), WITHIN))
-    dense = found.where("key is not null").select(F.col("a").alias("node"), F.col("b").alias("fp"), "key", "own")
-    dense = dense.join(now.select("node", "size", "root"), "node").join(sets.select("node", "sketch"), "node")
+    rows = found.where("key is not null").groupBy(F.col("a").alias("node")).agg(F.collect_list(F.struct(F.col("b").alias("fp"), "key", "own")).alias("buckets"))  # as many as a node has signatures
+    dense = rows.join(now.select("node", "size", "root").join(sets.select("node", "sketch"), "node"), "node").select("node", "size", "root", "sketch", F.explode("buckets").alias("at")).select("node", "size", "root", "sketch", "at.*")
     pairs = found.where("key is null").select("a", "b").union(compared(dense, WITHIN, tenths)).distinct()
     second = cut(pairs.join(first, ["a", "b"], "left_anti"))
     return components(held.union(verified(second, sets, tenths)))
