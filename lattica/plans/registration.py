@@ -97,9 +97,10 @@ def reg16_generated_exceptions(spark, sf_dir):
 
 # thrown types are nations; blocks have handlers for the nation, its region or the root
 _SUB = ", up AS (SELECT t AS sub, t AS sup FROM klass UNION SELECT up.sub, k.super FROM up JOIN klass k ON up.sup = k.t WHERE k.super IS NOT NULL)"
-_THROWN = "SELECT m, bb, iid, CAST(100 + iid % 25 AS BIGINT) AS type FROM instr WHERE iid % 5 = 0"
-_EDGES = "SELECT m, bb AS src, CAST(bb * 3 + k AS BIGINT) AS dst, 'E' AS kind FROM instr, ks WHERE iid % 5 = 0"
-_CATCH = "SELECT m, CAST(bb * 3 + k AS BIGINT) AS bb, CAST(1 AS INT) AS ord, CAST(CASE k WHEN 0 THEN 100 + (iid + bb) % 25 WHEN 1 THEN 1 + (iid + bb) % 5 ELSE 0 END AS BIGINT) AS type FROM instr, ks WHERE iid % 5 = 0 AND (k < 2 OR iid % 3 = 0)"
+_THROWS = "op IN ('THROW', 'ARRAY_LOAD', 'CHECK_CAST', 'GET_FIELD', 'INVOKE_VIRTUAL', 'NEW_ARRAY')"
+_THROWN = f"SELECT m, bb, iid, CAST(100 + iid % 25 AS BIGINT) AS type FROM instr WHERE {_THROWS}"
+_EDGES = f"SELECT m, bb AS src, CAST(bb * 3 + k AS BIGINT) AS dst, 'E' AS kind FROM instr, ks WHERE {_THROWS}"
+_CATCH = f"SELECT m, CAST(bb * 3 + k AS BIGINT) AS bb, CAST(1 AS INT) AS ord, CAST(CASE k WHEN 0 THEN 100 + (iid + bb) % 25 WHEN 1 THEN 1 + (iid + bb) % 5 ELSE 0 END AS BIGINT) AS type FROM instr, ks WHERE {_THROWS} AND (k < 2 OR iid % 3 = 0)"
 _KS = "SELECT CAST(r_regionkey AS BIGINT) AS k FROM region WHERE r_regionkey < 3"
 
 

@@ -114,7 +114,7 @@ ENCODINGS: dict[str, str] = {
     # allocations and copies
     "new": "SELECT l_partkey AS v, l_suppkey AS heap FROM lineitem WHERE l_linenumber = 1",
     "assign": "SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey >= 2",
-    "cyclic": "SELECT p_partkey AS src, (p_partkey * 7 + 3) % 60 AS dst FROM part WHERE p_partkey < 60",
+    "cyclic": "SELECT p_partkey AS src, p_partkey - p_partkey % 60 + (p_partkey * 7 + 3) % 60 AS dst FROM part",
     # field statements
     "store": "SELECT o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f, o_orderkey % 200 AS src FROM orders WHERE o_orderkey < 3000",
     "load": "SELECT o_orderkey % 150 AS dst, o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f FROM orders WHERE o_orderkey >= 3000 AND o_orderkey < 6000",
