@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from lattica.llm import bpe_transducer, common, jpeg, language_model, mixing, quality, simhash, suffix_dedup, token_counts, token_file, url_filter
+from lattica.llm import bpe_transducer, common, jpeg, language_model, maxscore, mixing, periodic, quality, simhash, suffix_dedup, token_counts, token_file, url_filter
 
 
 def _shipped(f):
@@ -20,6 +20,8 @@ QUERIES = {
         mixing.op8_mix_sources,
         bpe_transducer.op9_bpe,
         jpeg.op10_media,
+        maxscore.op11_top_k,
+        periodic.op12_periodic_runs,
     )
 }
-ORACLE_SQL = {"op4_url_filter": url_filter.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL}
+ORACLE_SQL = {"op4_url_filter": url_filter.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL, "op11_top_k": maxscore.OP11_SQL}
