@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from lattica.llm import bpe_transducer, common, jpeg, language_model, maxscore, mixing, periodic, quality, simhash, suffix_dedup, token_counts, token_file, url_filter
+from lattica.llm import bpe_transducer, common, conversations, jpeg, language_model, maxscore, mixing, periodic, quality, simhash, suffix_dedup, token_counts, token_file, url_filter
 
 
 def _shipped(f):
@@ -22,6 +22,7 @@ QUERIES = {
         jpeg.op10_media,
         maxscore.op11_top_k,
         periodic.op12_periodic_runs,
+        conversations.op13_repair,
     )
 }
-ORACLE_SQL = {"op4_url_filter": url_filter.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL, "op11_top_k": maxscore.OP11_SQL}
+ORACLE_SQL = {"op4_url_filter": url_filter.OP4_SQL, "op8_mix_sources": mixing.OP8_SQL, "op11_top_k": maxscore.OP11_SQL, "op13_repair": conversations.OP13_SQL}
