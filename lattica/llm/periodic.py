@@ -21,7 +21,8 @@ from lattica.llm.pretokens import batches_of
 
 #: A run has at least so many words, and at least so many times its period.
 MIN_WORDS, MIN_EXPONENT = 6, 4
-#: Longer texts are scanned by ranges of lags, each about as dear as a text of this size.
+#: Longer texts are scanned by ranges of lags, one for each so many bytes: a range costs as many comparisons as the text has
+#: words times a constant, and a text is sent as often as it has ranges.
 LONG_BYTES = 512 << 10
 
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
@@ -142,7 +143,7 @@ def periodic_runs(docs: DataFrame, long_bytes: int = LONG_BYTES, change: Change
     size, kind = F.octet_length("text"), docs.schema["doc_id"].dataType.simpleString()
     whole = rows.where(size <= long_bytes).mapInArrow(partial(_whole, change), f"doc_id {kind}, n_words long, runs {_RUNS_SQL}, collapsed string")
     long = rows.where(size > long_bytes).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("sha", F.sha2("text", 256))
-    parts = F.pow(F.ceil(size / long_bytes), 2).cast("int")
+    parts = F.ceil(size / long_bytes).cast("int")
     ranges = long.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     found = ranges.repartition("sha", "doc_id", "part").mapInArrow(partial(_range, change), f"doc_id {kind}, sha string, runs {_RUNS_SQL}")
     runs = found.groupBy("doc_id", "sha").agg(F.flatten(F.collect_list("runs")).alias("runs"))
