@@ -37,13 +37,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 _NEVER = 1 << 60
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The definition: join the neighbours of lowest rank, the first of equals, until none can be joined."""
+def merge(piece: bytes, ranks: dict[bytes, int], below: int = _NEVER) -> list[int]:
+    """The definition: join the neighbours of lowest rank, the first of equals, until none can be joined ``below`` a rank."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     cost = [ranks.get(piece[i : i + 2], _NEVER) for i in range(len(piece) - 1)]
     while cost:
         least = min(cost)
-        if least == _NEVER:
+        if least >= below:
             break
         i = cost.index(least)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -67,6 +67,7 @@ class Transducer:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size_of = {v: len(k) for k, v in ranks.items()}
         self.open = {k[:i] for k in ranks for i in range(1, len(k))}
+        self.halves: dict[int, tuple[bytes, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -84,12 +85,39 @@ class Transducer:
             self.states.append(s)
         return n
 
+    def _halves(self, t: int) -> tuple[bytes, ...]:
+        """The two pieces that the last merge of token ``t`` joins; none if merges do not lead to it."""
+        found = self.halves.get(t)
+        if found is None:
+            parts = merge(self.bytes_of[t], self.ranks, t)
+            found = self.halves[t] = tuple(self.bytes_of[p] for p in parts) if len(parts) == 2 else ()
+        return found
+
     def _fit(self, a: int, b: int) -> bool:
+        """Whether no merge ever crosses the border between tokens ``a`` and ``b``: going back in time, merge by merge, no
+        two pieces that meet there make a token that comes before the next merge on either side."""
         if a < 0:
             return True
         known = self.fits.get((a, b))
         if known is None:
-            known = self.fits[a, b] = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+            x, y, limit, rank_of = self.bytes_of[a], self.bytes_of[b], _NEVER, self.ranks.get
+            while True:
+                if rank_of(x + y, _NEVER) < limit:
+                    known = False
+                    break
+                s, t = rank_of(x) if len(x) > 1 else -1, rank_of(y) if len(y) > 1 else -1
+                if s == t == -1:
+                    known = True
+                    break
+                limit = max(s, t)
+                if not (halves := self._halves(limit)):
+                    known = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+                    break
+                if s > t:
+                    x = halves[1]
+                else:
+                    y, limit = halves[0], limit + 1
+            self.fits[a, b] = known
         return known
 
     def _arc(self, s: int, c: int) -> int:

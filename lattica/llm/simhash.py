@@ -27,6 +27,8 @@ BITS = 64
 PROBE_COST = 100.0
 #: Buckets up to this size are compared pair by pair; larger ones are searched breadth-first.
 SMALL_BUCKET, SPLIT_BUCKET = 64, 20_000
+#: In the second pass, buckets beyond this size are compared root by root.
+LARGE_BUCKET = 256
 
 
 _U = np.uint64
@@ -312,13 +314,44 @@ def bucket_links(key, fps, sizes, own, within: int, prints: np.ndarray | None =
     return i, j
 
 
+def _apart(fps, sizes, own, root, within: int, split: bool = True) -> np.ndarray:
+    """Which rows of one bucket a pair of unequal roots links. Rows of the commonest root are compared with the others
+    only, so a bucket of one root costs nothing; a very large bucket is searched by slices of the print."""
+    touched = np.zeros(len(fps), bool)
+    names, counts = np.unique(root, return_counts=True)
+    rest = np.flatnonzero(root != names[np.argmax(counts)])
+    if not len(rest):
+        return touched
+    if split and len(fps) > SPLIT_BUCKET and within < BITS:
+        for a, b in slices(within):
+            v = (fps >> _U(a)) & _U((1 << (b - a)) - 1)
+            order = np.argsort(v, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(v[order])) + 1):
+                touched[part[_apart(fps[part], sizes[part], own[part], root[part], within, split=False)]] = True
+        return touched
+    for x in rest:
+        hit = (root != root[x]) & (own | own[x]) & (np.bitwise_count(fps ^ fps[x]) <= within) & alike(sizes, sizes[x])
+        if hit.any():
+            touched |= hit
+            touched[x] = True
+    return touched
+
+
 def bucket_bridges(key, fps, sizes, own, within: int, root) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows i, rows j, dense rows): linked pairs of unequal roots in buckets where no row has over SMALL_BUCKET others to
-    compare, and of the larger buckets the rows that such a pair links, for a comparison by more than their prints."""
-    i, j, more, touched = _near(key, fps, sizes, own, within, other=root)
-    dense = np.unique(key[more])
-    keep = ~np.isin(key[i], dense)
-    return i[keep], j[keep], np.flatnonzero(touched & np.isin(key, dense))
+    """(rows i, rows j, dense rows): linked pairs of unequal roots in small buckets, and of the larger buckets the rows that
+    such a pair links, for a comparison by more than their prints. Buckets of one root are left out at once."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    counts = np.diff(np.append(starts, len(key)))
+    several = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    small = np.flatnonzero(np.repeat(several & (counts <= LARGE_BUCKET), counts))
+    i, j, more, touched = _near(key[small], fps[small], sizes[small], own[small], within, other=root[small])
+    dense = np.unique(key[small[more]])
+    keep = ~np.isin(key[small[i]], dense)
+    rows = [small[touched & np.isin(key[small], dense)]]
+    for s, c in zip(starts[several & (counts > LARGE_BUCKET)], counts[several & (counts > LARGE_BUCKET)]):
+        at = slice(s, s + c)
+        rows.append(s + np.flatnonzero(_apart(fps[at], sizes[at], own[at], root[at], within)))
+    return small[i[keep]], small[j[keep]], np.concatenate(rows)
 
 
 def whole_keys(batches, most_rows: int) -> Iterator[pa.Table]:
