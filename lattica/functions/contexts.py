@@ -7,7 +7,7 @@ columns by name:
 record: ctx, alloc_class, heap_class_name, site
         alloc_class_name
 merge:  ctx, site, is_static, heap (receiver's allocation site), hctx, alloc_class, heap_class, heap_class_name, is_init,
-        callee_name
+        callee_name, heap_supers (names of the receiver's class and of those above it)
 """
 
 from __future__ import annotations
@@ -32,10 +32,6 @@ def empty() -> Column:
     return F.array().cast("array<long>")
 
 
-def initial_stack(n: int) -> Column:
-    return empty()
-
-
 def push(ctx: Column, element: Column, n: int) -> Column:
     """``element`` in front; the result always has n elements, and none for n = 0."""
     if n == 0:
@@ -50,6 +46,12 @@ def truncate(ctx: Column, m: int) -> Column:
 class Abstraction:
     """Context-insensitive unless a subclass says more."""
 
+    #: Columns that ``merge`` looks at beyond those that every program has.
+    looks_at: tuple[str, ...] = ()
+
+    def needs(self, column: str) -> bool:
+        return column in self.looks_at
+
     def initial(self) -> Column:
         return empty()
 
@@ -131,7 +133,7 @@ class OneObject(Abstraction):
         return F.when(row["is_static"], row["ctx"]).otherwise(longs(row["heap"]))
 
     def __str__(self) -> str:
-        return "1ObjSens"
+        return "OneObjSens"
 
 
 @dataclass
@@ -144,7 +146,7 @@ class InitFullObject(FullObject):
         return F.when(row["is_init"], super().merge(row)).otherwise(empty())
 
     def __str__(self) -> str:
-        return f"{self.n}InitFullObjSens"
+        return f"{self.n}InitFullObjSens+1H"
 
 
 @dataclass
@@ -163,7 +165,7 @@ class CollectionsType(Abstraction):
         return F.when(hit, push(row["hctx"], row["alloc_class"], self.n)).otherwise(empty())
 
     def __str__(self) -> str:
-        return f"{self.n}CollectionsType+{self.m}H"
+        return f"Collections-{self.n}Type+{self.m}H"
 
 
 #: The classes that the string abstractions single out.
@@ -182,10 +184,10 @@ class StringObject(Abstraction):
 
     def merge(self, row: Row) -> Column:
         hit = ~row["is_static"] & F.coalesce(row["heap_class_name"], F.lit("")).isin(*STRINGS)
-        return F.when(hit, push(row["hctx"], row["heap"], self.n)).otherwise(empty())
+        return F.when(hit, push(row["hctx"], row["heap"], self.n + 1)).otherwise(empty())
 
     def __str__(self) -> str:
-        return f"{self.n}StringBuilderFullObjSens"
+        return f"{self.n}StringBuilderFullObjSens+1H"
 
 
 #: The class of builders with its two final subclasses, the class of print streams, and the parts of
@@ -205,17 +207,18 @@ def _has_part(name: Column, parts: tuple[str, ...]) -> Column:
 
 @dataclass
 class StreamCallSite(CallSite):
-    """Pushes the site of calls on print streams, else a gap. ``classes`` are the stream class and its subclasses."""
+    """Pushes the site of calls on print streams and their subclasses, else a gap."""
 
     n: int = 5
-    classes: tuple[str, ...] = (PRINT_STREAM,)
+    below: str = PRINT_STREAM
+    looks_at = ("heap_supers",)
 
     def merge(self, row: Row) -> Column:
-        hit = ~row["is_static"] & F.coalesce(row["heap_class_name"], F.lit("")).isin(*self.classes)
+        hit = ~row["is_static"] & F.array_contains(row["heap_supers"], self.below)
         return push(row["ctx"], F.when(hit, row["site"]), self.n)
 
     def __str__(self) -> str:
-        return f"cs({self.n}, PrintStream)"
+        return f"cs({self.n}, java.io.PrintStream)"
 
 
 @dataclass
@@ -223,6 +226,7 @@ class NamedCallSite(CallSite):
     """Pushes the site of calls, static or not, whose callee's name has one of ``parts``, else a gap."""
 
     parts: tuple[str, ...] = CALLEE_PARTS
+    looks_at = ("callee_name",)
 
     def merge(self, row: Row) -> Column:
         return push(row["ctx"], F.when(_has_part(row["callee_name"], self.parts), row["site"]), self.n)
@@ -262,7 +266,7 @@ class NamedObject(FullObject):
         return F.when(hit, push(row["hctx"], row["heap"], self.n + 1)).otherwise(empty())
 
     def __str__(self) -> str:
-        return f"MagicFullObjSens({self.n})"
+        return f"{self.n}StringBuilderFullObjSens+1H"
 
 
 @dataclass
@@ -273,7 +277,7 @@ class ReceiverType(Abstraction):
         return F.when(row["is_static"], empty()).otherwise(longs(row["heap_class"]))
 
     def __str__(self) -> str:
-        return "ReceiverType"
+        return "WalaReceiverTypeContextSelector"
 
 
 SPLIT = -2
@@ -286,6 +290,9 @@ class Product(Abstraction):
     left: Abstraction
     right: Abstraction
 
+    def needs(self, column: str) -> bool:
+        return self.left.needs(column) or self.right.needs(column)
+
     def _join(self, a: Column, b: Column) -> Column:
         return F.concat(a, longs(SPLIT), b)
 

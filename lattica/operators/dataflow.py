@@ -12,19 +12,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.fixpoint import grow, rise, union_all
+from lattica.operators.fixpoint import grow, rise, settle, union_all
 
 
-def solve_blocks(edges: DataFrame, seed: DataFrame, join: dict[str, Callable[[str], Column]], transfer: Callable[[DataFrame], DataFrame] = lambda d: d, backward: bool = False, widen: Callable[[DataFrame], DataFrame] = lambda d: d, most_rounds: int = 100) -> DataFrame:
+def solve_blocks(edges: DataFrame, seed: DataFrame, join: dict[str, Callable[[str], Column]], transfer: Callable[[DataFrame], DataFrame] | None = None, backward: bool = False, widen: Callable[[DataFrame], DataFrame] = lambda d: d, most_rounds: int | None = None) -> DataFrame:
     """Facts that hold on entry to each block: (m, bb, slot, *join).
 
+    Without a ``transfer`` facts also move along hops of 2, 4, 8, ... edges, so the rounds grow with the logarithm of a
+    method's blocks; with one, a round passes every block that changed and the rounds grow with the longest path.
     ``edges`` is (m, src, dst, kind); ``seed`` holds facts at entries. ``transfer`` maps rows of a block's entry facts to
     exit facts; if it adds a column ``on`` they follow only edges of that kind. ``backward`` runs against the edges.
     """
     e = edges.select("m", F.col("dst" if backward else "src").alias("bb"), F.col("src" if backward else "dst").alias("to"), "kind").distinct()
+    if transfer is None:
+        e = hops(e.select("m", "bb", "to").distinct())
 
-    def step(changed: DataFrame) -> DataFrame:
-        out = transfer(changed)
+    def step(changed: DataFrame, state: DataFrame) -> DataFrame:
+        out = transfer(changed) if transfer else changed
         moved = out.join(e, ["m", "bb"])
         if "on" in out.columns:
             moved = moved.where("on is null or on = kind")
@@ -33,12 +37,29 @@ def solve_blocks(edges: DataFrame, seed: DataFrame, join: dict[str, Callable[[st
     return rise(seed, ["m", "bb", "slot"], join, step, widen, most_rounds)
 
 
+def hops(edges: DataFrame) -> DataFrame:
+    """``edges`` (m, bb, to) with shortcuts: from each block along one edge of its own, 2, 4, 8, ... times.
+
+    A path of n such edges then is one of at most log n, at log n rows for each block.
+    """
+    ahead = F.min(F.when(F.col("to") > F.col("bb"), F.col("to")))
+    jump = edges.groupBy("m", "bb").agg(F.coalesce(ahead, F.max("to")).alias("to"))
+    most = edges.groupBy("m").agg(F.countDistinct("bb").alias("n")).agg(F.max("n")).first()[0] or 0
+    found, length = [edges], 1
+    while 2 * length <= most:
+        jump = settle(jump.join(jump.select("m", F.col("bb").alias("to"), F.col("to").alias("far")), ["m", "to"]).select("m", "bb", F.col("far").alias("to")))
+        found.append(jump)
+        length *= 2
+    return settle(union_all(found).distinct())
+
+
 def reachable_blocks(edges: DataFrame, entries: DataFrame, dead: DataFrame | None = None) -> DataFrame:
     """(m, bb) reached from ``entries`` (m, bb) along ``edges`` without the ``dead`` ones (m, src, dst)."""
     live = edges.select("m", "src", "dst").distinct()
     if dead is not None:
         live = live.join(dead.select("m", "src", "dst"), ["m", "src", "dst"], "left_anti")
-    follow = lambda d: d["b"].join(live, (d["b"]["m"] == live["m"]) & (d["b"]["bb"] == live["src"])).select(d["b"]["m"], F.col("dst").alias("bb"))
+    live = hops(live.select("m", F.col("src").alias("bb"), F.col("dst").alias("to")))
+    follow = lambda d: d["b"].join(live, ["m", "bb"]).select("m", F.col("to").alias("bb"))
     return grow({"b": entries.select("m", "bb")}, lambda d, t: {"b": [follow(d)]})["b"]
 
 

@@ -1,16 +1,19 @@
 """The two loops on which every analysis rests: sets that only grow, and values that only rise.
 
 A round is one Spark job per relation: joins against the last round's new rows, a distinct and an anti-join against what
-is known. Rounds are written to the checkpoint folder, so lineage stays flat and lost executors cost one round at most.
+is known. Rounds are written to the checkpoint folder as tables, so lineage stays flat, lost executors cost one round at
+most, Spark knows each table's size (small new rows are broadcast, beyond Spark's threshold they are shuffled), and the
+write itself tells how many rows there are.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 Relations = dict[str, DataFrame]
@@ -20,15 +23,26 @@ class RoundLimit(RuntimeError):
     """A fixpoint did not settle within its round limit."""
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattica-ckpt-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written to the shared checkpoint folder and read from there, and its number of rows."""
+    spark, seen = df.sparkSession, Observation()
+    path = f"{_folder(spark)}/round-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def settle(df: DataFrame) -> DataFrame:
+    return counted(df)[0]
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -49,14 +63,15 @@ def grow(seed: Relations, step: Callable[[Relations, Relations], dict[str, list[
     (``total`` includes ``delta``). Ends when no relation grows. With ``sparse``, ``delta`` leaves out relations
     without new rows, so that ``step`` need not plan rules that cannot fire.
     """
-    total = {k: settle(v.distinct()) for k, v in seed.items()}
-    delta, parts = {k: v for k, v in total.items() if not (sparse and v.isEmpty())}, {k: [v] for k, v in total.items()}
+    first = {k: counted(v.distinct()) for k, v in seed.items()}
+    total, parts = {k: v for k, (v, _) in first.items()}, {k: [v] for k, (v, _) in first.items()}
+    delta = {k: v for k, (v, n) in first.items() if n or not sparse}
     for _ in range(most_rounds):
         fresh: Relations = {}
         for name, frames in step(delta, total).items():
             if frames:
-                found = settle(minus(union_all([f.select(*total[name].columns) for f in frames]), total[name]))
-                if not found.isEmpty():
+                found, n = counted(minus(union_all([f.select(*total[name].columns) for f in frames]), total[name]))
+                if n:
                     fresh[name] = found
         if not fresh:
             return total
@@ -76,21 +91,23 @@ def closure(edges: DataFrame, seed: DataFrame, most_rounds: int = 1000) -> DataF
     return grow({"r": seed.select("node", "item")}, lambda d, t: {"r": [spread(d)]}, most_rounds)["r"]
 
 
-def rise(seed: DataFrame, keys: list[str], join: dict[str, Callable[[str], Column]], step: Callable[[DataFrame], DataFrame], widen: Callable[[DataFrame], DataFrame] = lambda d: d, most_rounds: int = 200) -> DataFrame:
+def rise(seed: DataFrame, keys: list[str], join: dict[str, Callable[[str], Column]], step: Callable[[DataFrame, DataFrame], DataFrame], widen: Callable[[DataFrame], DataFrame] = lambda d: d, most_rounds: int | None = None) -> DataFrame:
     """Least fixpoint of values: per ``keys`` one row, whose columns are joined by the aggregates in ``join``.
 
-    ``step(changed)`` gives contributions that follow from the changed rows; ``widen`` is applied after each join.
-    Only keys whose value changed are looked at again.
+    ``step(changed, state)`` gives contributions that follow from the changed rows (``state`` includes them); ``widen`` is
+    applied after each join. Only keys whose value changed are looked at again. The rounds end by themselves where values
+    rise finitely often; ``most_rounds`` is for values of which that is not known.
     """
     fold = lambda d: widen(d.groupBy(*keys).agg(*[f(c).alias(c) for c, f in join.items()]))
     state = settle(fold(seed.select(*keys, *join)))
-    changed = state
-    for _ in range(most_rounds):
-        new = settle(fold(step(changed).select(*keys, *join)))
+    changed, done = state, 0
+    while True:
+        new = settle(fold(step(changed, state).select(*keys, *join)))
         touched = state.join(new.select(*keys), keys, "left_semi")
-        merged = fold(touched.unionByName(new))
-        changed = settle(minus(merged, touched))
-        if changed.isEmpty():
+        changed, n = counted(minus(fold(touched.unionByName(new)), touched))
+        if not n:
             return state
+        done += 1
+        if done == most_rounds:
+            raise RoundLimit(f"no fixpoint after {most_rounds} rounds")
         state = settle(state.join(changed.select(*keys), keys, "left_anti").unionByName(changed))
-    raise RoundLimit(f"no fixpoint after {most_rounds} rounds")

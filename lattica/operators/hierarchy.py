@@ -67,12 +67,3 @@ def compose(a: DataFrame, b: DataFrame, subtype: DataFrame) -> DataFrame:
     narrow = F.when(F.col("sup1").isNotNull(), F.col("b_type")).when(F.col("sup2").isNotNull(), F.col("is_type"))
     return below.where(narrow.isNotNull()).select("filter", narrow.alias("is_type"), F.sort_array(F.array_union("not_types", "b_nots")).alias("not_types"))
 
-
-def names_below(subtype: DataFrame, names: DataFrame, name: str) -> tuple[str, ...]:
-    """Names of the class called ``name`` and of its subclasses: ``subtype`` (sub, sup), ``names`` (t, name).
-
-    What ``StreamCallSite`` and ``FilteredObject`` take as ``classes``; one class's subclasses, not the program's data.
-    """
-    top = names.where(F.col("name") == name).select(F.col("t").alias("sup"))
-    below = top.join(subtype, "sup").select(F.col("sub").alias("t")).join(names, "t")
-    return tuple(sorted({name, *(r["name"] for r in below.select("name").distinct().collect())}))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.contexts import Abstraction
-from lattica.operators.fixpoint import Relations, grow, union_all
+from lattica.operators.fixpoint import Relations, grow, minus, union_all
 
 CONTENTS = -1
 #: Statement tables and their columns; every statement lies in method m.
@@ -24,7 +24,7 @@ STATEMENTS = {
     "actual": "site long, i int, v long", "formal": "m long, i int, v long", "returns": "m long, v long", "throws": "m long, v long",
     "alloc": "site long, type long, type_name string, alloc_class long, alloc_class_name string", "dispatch": "t long, selector string, m long",
     "filter_ok": "filter long, t long", "static_var": "f long, v long", "is_init": "m long", "elem_ok": "type long, t long", "clone": "site long, fresh long",
-    "method_name": "m long, name string",
+    "method_name": "m long, name string", "klass_name": "t long, name string", "subtype": "sup long, sub long",
 }
 
 
@@ -47,6 +47,16 @@ def _site_facts(p: Program) -> DataFrame:
     return a.select(F.col("site").alias("heap"), F.col("type").alias("heap_class"), F.col("type_name").alias("heap_class_name"), "alloc_class", "alloc_class_name")
 
 
+def _supers(p: Program) -> DataFrame | None:
+    """(heap_class, heap_supers): the names of each class and all above it, if the abstraction asks for them."""
+    if not p.haf.needs("heap_supers"):
+        return None
+    if "klass_name" not in p.tables or "subtype" not in p.tables:
+        raise ValueError(f"{p.haf} needs the tables klass_name and subtype")
+    named = p["subtype"].join(p["klass_name"].select(F.col("t").alias("sup"), "name"), "sup")
+    return named.groupBy(F.col("sub").alias("heap_class")).agg(F.collect_set("name").alias("heap_supers"))
+
+
 def _passes(df: DataFrame, p: Program) -> DataFrame:
     """Rows (…, filter, heap, …) whose object's type passes the filter; rows without a filter pass."""
     typed = df.where("filter is not null").join(p["alloc"].select(F.col("site").alias("heap"), F.col("type").alias("t")), "heap").join(p["filter_ok"], ["filter", "t"], "left_semi").drop("t")
@@ -62,10 +72,9 @@ def _row(df: DataFrame, **more) -> dict:
     return {**{c: df[c] for c in df.columns}, **more}
 
 
-def solve(p: Program, most_rounds: int = 1000) -> Relations:
-    """The least fixpoint; see the module for its relations."""
-    haf, base0 = p.haf, p.entry.select("m").distinct()
-    start = base0.select("m", haf.initial().alias("ctx"))
+def _step(p: Program):
+    """One evaluation of all rules: what follows from new rows ``d`` and all rows ``t``."""
+    haf = p.haf
     statics = p["static_var"].select("f", F.col("v").alias("fv"))
     sites = _site_facts(p)
     store = p["store"].select("base", "f", F.col("src").alias("s"))
@@ -74,6 +83,10 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
     has_receivers = not calls.where("dispatch <> 'static'").isEmpty()
     init = p["is_init"].select(F.col("m").alias("callee"), F.lit(True).alias("init"))
 
+    supers = _supers(p)
+    if p.haf.needs("callee_name") and "method_name" not in p.tables:
+        raise ValueError(f"{p.haf} needs the table method_name")
+
     def merged(found: DataFrame, static: bool) -> DataFrame:
         """found: (m, ctx, site, callee, heap, hctx, heap facts) with the callee's context."""
         f = found.join(init, "callee", "left").withColumn("is_init", F.coalesce("init", F.lit(False)))
@@ -81,6 +94,7 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
             f = f.join(p["method_name"].select(F.col("m").alias("callee"), F.col("name").alias("callee_name")), "callee", "left")
         else:
             f = f.withColumn("callee_name", F.lit(None).cast("string"))
+        f = f.join(supers, "heap_class", "left") if supers is not None and not static else f.withColumn("heap_supers", F.array("heap_class_name"))
         return f.withColumn("ectx", _of_row(haf.merge(_row(f, is_static=F.lit(static)))))
 
     def static_calls(reach: DataFrame) -> DataFrame:
@@ -124,6 +138,12 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
         ok = hit.where(f"f = {CONTENTS}").join(types("heap"), "heap").join(types("heap2"), "heap2").join(p["elem_ok"], ["type", "t"], "left_semi")
         return hit.where(f"f <> {CONTENTS}").unionByName(ok.select(*hit.columns))
 
+    def linked(out: dict[str, list[DataFrame]], edges: DataFrame) -> None:
+        """Call edges with all that follows from them at once: the callee is reached, and values flow."""
+        out["call_edge"].append(edges)
+        out["reachable"].append(edges.select(F.col("callee").alias("m"), F.col("ectx").alias("ctx")))
+        out["flow"] += flows(edges.distinct())
+
     def step(d: Relations, t: Relations) -> dict[str, list[DataFrame]]:
         out: dict[str, list[DataFrame]] = {k: [] for k in t}
         heap_used = "load" in p.tables or "store" in p.tables or "clone" in p.tables
@@ -132,7 +152,7 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
             reach = d["reachable"]
             fresh = p["new"].join(reach, "m").join(sites.withColumnRenamed("heap", "site"), "site", "left")
             out["pts"].append(fresh.select("v", "ctx", F.col("site").alias("heap"), _of_row(haf.record(_row(fresh))).alias("hctx")))
-            out["call_edge"].append(static_calls(reach))
+            linked(out, static_calls(reach))
             if "static_var" in p.tables:
                 out["flow"].append(p["sload"].join(reach, "m").join(statics, "f").select(F.col("fv").alias("src"), c0.alias("sctx"), "dst", F.col("ctx").alias("dctx")))
                 out["flow"].append(p["sstore"].join(reach, "m").join(statics, "f").select("src", F.col("ctx").alias("sctx"), F.col("fv").alias("dst"), c0.alias("dctx")))
@@ -146,7 +166,7 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
                 hit = receiver_calls(pts)
                 this = hit.join(p["formal"].where("i = 0").select(F.col("m").alias("callee"), F.col("v").alias("this")), "callee")
                 out["pts"].append(this.select(F.col("this").alias("v"), F.col("ectx").alias("ctx"), "heap", "hctx"))
-                out["call_edge"].append(hit.select("m", "ctx", "site", "callee", "ectx"))
+                linked(out, hit.select("m", "ctx", "site", "callee", "ectx"))
             if heap_used:
                 out["pts"].append(loads(pts, t["fpts"]))
                 out["fpts"] += [stores(pts, t["pts"]), stores(t["pts"], pts)]
@@ -154,9 +174,6 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
             out["pts"].append(loads(t["pts"], d["fpts"]))
         if "flow" in d:
             out["pts"].append(along(t["pts"], d["flow"]))
-        if "call_edge" in d:
-            out["reachable"].append(d["call_edge"].select(F.col("callee").alias("m"), F.col("ectx").alias("ctx")))
-            out["flow"] += flows(d["call_edge"])
         if "clone" in p.tables:
             cloned(out, d, t)
         return out
@@ -171,15 +188,20 @@ def solve(p: Program, most_rounds: int = 1000) -> Relations:
         if "fpts" in d:
             out["fpts"].append(copy(t["pts"], d["fpts"]))
 
+    return step
+
+
+def solve(p: Program, most_rounds: int = 1000) -> Relations:
+    """The least fixpoint; see the module for its relations."""
     spark = p.entry.sparkSession
     seed = {
-        "reachable": start,
+        "reachable": p.entry.select("m").distinct().select("m", p.haf.initial().alias("ctx")),
         "pts": spark.createDataFrame([], "v long, ctx array<long>, heap long, hctx array<long>"),
         "fpts": spark.createDataFrame([], "heap long, hctx array<long>, f long, heap2 long, hctx2 array<long>"),
         "flow": spark.createDataFrame([], "src long, sctx array<long>, dst long, dctx array<long>"),
         "call_edge": spark.createDataFrame([], "m long, ctx array<long>, site long, callee long, ectx array<long>"),
     }
-    return grow(seed, step, most_rounds, sparse=True)
+    return grow(seed, _step(p), most_rounds, sparse=True)
 
 
 def copy_closure(new: DataFrame, assign: DataFrame) -> DataFrame:
@@ -218,9 +240,9 @@ def field_closure(new: DataFrame, assign: DataFrame, store: DataFrame, load: Dat
 
 
 def paranoid(p: Program, found: Relations) -> dict[str, int]:
-    """Rows that one more evaluation of all statements would add; all zero at a fixpoint."""
-    more = solve(p)
-    return {k: more[k].exceptAll(found[k].select(*more[k].columns)).count() for k in more}
+    """Rows that one more evaluation of every statement on all of ``found`` would add; all zero at a fixpoint."""
+    more = _step(p)(found, found)
+    return {k: minus(union_all([f.select(*found[k].columns) for f in frames]), found[k]).count() if frames else 0 for k, frames in more.items()}
 
 
 def counters(found: Relations) -> DataFrame:

@@ -35,10 +35,17 @@ def bitmap_union(sets: DataFrame, *keys: str) -> DataFrame:
 
 
 def contains_all(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of overlapping sets (k, x) with a a subset of b; found by shared elements."""
-    size = sets.groupBy("k").agg(F.countDistinct("x").alias("n"))
-    both = sets.select(F.col("k").alias("a"), "x").join(sets.select(F.col("k").alias("b"), "x"), "x").groupBy("a", "b").agg(F.countDistinct("x").alias("shared"))
-    return both.join(size.withColumnRenamed("k", "a"), "a").where("shared = n and a <> b").select("a", "b")
+    """(a, b): pairs of sets (k, x) with a a subset of b and a <> b.
+
+    A superset holds the rarest element of its subset, so only the sets that hold it are candidates; of those, the pairs
+    that share as many elements as the subset has are kept.
+    """
+    s = sets.select("k", "x").distinct()
+    often = s.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
+    rarest = s.join(often, "x").groupBy(F.col("k").alias("a")).agg(F.min(F.struct("often", "x"))["x"].alias("x"), F.count(F.lit(1)).alias("n"))
+    pairs = rarest.join(s.withColumnRenamed("k", "b"), "x").where("a <> b").select("a", "b", "n")
+    shared = pairs.join(s.withColumnRenamed("k", "a"), "a").join(s.withColumnRenamed("k", "b"), ["b", "x"])
+    return shared.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("shared")).where("shared = n").select("a", "b")
 
 
 def as_map(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:

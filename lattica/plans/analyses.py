@@ -27,17 +27,17 @@ def reach06_unreachable_edges(spark, sf_dir):
     return D.unreachable_edges(e, D.reachable_blocks(e, e.select("m", F.lit(0).cast("long").alias("bb")).distinct(), dead), dead)
 
 
-@query(oracle("cfg_edge", "ev") + ", r AS (SELECT DISTINCT m, bb, event_id % 7 AS slot FROM ev WHERE event_id % 13 = 0 UNION SELECT e.m, e.dst, r.slot FROM r JOIN cfg_edge e ON r.m = e.m AND r.bb = e.src) SELECT m, bb, slot, TRUE AS value FROM r")
+@query(oracle("cfg_edge", "ev") + ", r AS (SELECT DISTINCT m, bb, event_id % 7 AS slot FROM ev WHERE event_type = 'purchase' UNION SELECT e.m, e.dst, r.slot FROM r JOIN cfg_edge e ON r.m = e.m AND r.bb = e.src) SELECT m, bb, slot, TRUE AS value FROM r")
 def df01_may_facts(spark, sf_dir):
     e = encoded(spark, sf_dir, "cfg_edge")["cfg_edge"]
-    seed = spark.sql("SELECT DISTINCT m, CAST(bb AS BIGINT) AS bb, event_id % 7 AS slot, true AS value FROM ev WHERE event_id % 13 = 0")
+    seed = spark.sql("SELECT DISTINCT m, CAST(bb AS BIGINT) AS bb, event_id % 7 AS slot, true AS value FROM ev WHERE event_type = 'purchase'")
     return D.solve_blocks(e, seed, {"value": L.join_may})
 
 
-@query(oracle("cfg_edge", "ev") + ", r AS (SELECT DISTINCT m, bb, event_id % 7 AS slot FROM ev WHERE event_id % 13 = 0 UNION SELECT e.m, e.src, r.slot FROM r JOIN cfg_edge e ON r.m = e.m AND r.bb = e.dst) SELECT m, bb, slot, TRUE AS value FROM r")
+@query(oracle("cfg_edge", "ev") + ", r AS (SELECT DISTINCT m, bb, event_id % 7 AS slot FROM ev WHERE event_type = 'purchase' UNION SELECT e.m, e.src, r.slot FROM r JOIN cfg_edge e ON r.m = e.m AND r.bb = e.dst) SELECT m, bb, slot, TRUE AS value FROM r")
 def df02_backward_facts(spark, sf_dir):
     e = encoded(spark, sf_dir, "cfg_edge")["cfg_edge"]
-    seed = spark.sql("SELECT DISTINCT m, CAST(bb AS BIGINT) AS bb, event_id % 7 AS slot, true AS value FROM ev WHERE event_id % 13 = 0")
+    seed = spark.sql("SELECT DISTINCT m, CAST(bb AS BIGINT) AS bb, event_id % 7 AS slot, true AS value FROM ev WHERE event_type = 'purchase'")
     return D.solve_blocks(e, seed, {"value": L.join_may}, backward=True)
 
 
@@ -195,20 +195,21 @@ def nn06_phi(spark, sf_dir):
     return A.nonnull_phi(_events(spark, sf_dir, "SELECT user_id AS m, event_id % 10 AS def, event_id % 7 > 0 AS nonnull FROM events"))
 
 
-@query(oracle("call") + ", act AS (SELECT caller * 1000 + callee AS site, callee, i, (caller + i) % 4 > 0 AS nonnull FROM call, (VALUES (0), (1)) t(i)) SELECT callee AS m, 100 * callee + i AS v, bool_and(nonnull) AS nonnull FROM act GROUP BY callee, i")
+@query(oracle("call") + ", act AS (SELECT caller * 1000000 + callee AS site, callee, i, (caller + i) % 4 > 0 AS nonnull FROM call, (VALUES (0), (1)) t(i)) SELECT callee AS m, 100 * callee + i AS v, bool_and(nonnull) AS nonnull FROM act GROUP BY callee, i")
 def nn01_formals(spark, sf_dir):
-    c = encoded(spark, sf_dir, "call")["call"].withColumn("site", F.col("caller") * 1000 + F.col("callee"))
+    c = encoded(spark, sf_dir, "call")["call"].withColumn("site", F.col("caller") * 1_000_000 + F.col("callee"))
     act = c.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).select("site", "i", ((F.col("caller") + F.col("i")) % 4 > 0).alias("nonnull"))
     formal = c.select(F.col("callee").alias("m")).distinct().withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).select("m", "i", (100 * F.col("m") + F.col("i")).alias("v"))
     return A.nonnull_call(act, c.select("site", "callee"), formal)
 
 
-@query(oracle("call") + " SELECT s.site, bool_and(coalesce(callee % 3 > 0, FALSE)) AS nonnull FROM (SELECT n_nationkey AS site FROM nation) s LEFT JOIN call ON caller = s.site AND caller % 5 > 0 GROUP BY s.site")
+@query(oracle("call", "meth") + " SELECT s.site, bool_and(coalesce(callee % 3 > 0, FALSE)) AS nonnull FROM (SELECT m AS site FROM meth) s LEFT JOIN call ON caller = s.site AND caller % 5 > 0 GROUP BY s.site")
 def nn03_results(spark, sf_dir):
-    c = encoded(spark, sf_dir, "call")["call"]
+    f = encoded(spark, sf_dir, "call", "meth")
+    c = f["call"]
     edges = c.where("caller % 5 > 0").select(F.col("caller").alias("site"), "callee")
     returned = c.select(F.col("callee").alias("m")).distinct().select("m", (F.col("m") % 3 > 0).alias("nonnull"))
-    return A.nonnull_return(edges, returned, spark.sql("SELECT CAST(n_nationkey AS BIGINT) AS site FROM nation"))
+    return A.nonnull_return(edges, returned, f["meth"].select(F.col("m").alias("site")))
 
 
 @query(oracle("instr", "nullc", "prim") + f", c AS ({_CONST}) SELECT i.m, iid, u1 AS v, CASE WHEN kind = 'null' THEN FALSE WHEN kind IS NOT NULL OR (i.m, u1) IN (SELECT (m, v) FROM prim) OR u1 = 1 THEN TRUE ELSE iid % 4 = 0 END AS nonnull FROM instr i LEFT JOIN c ON c.m = i.m AND c.v = u1")
@@ -229,19 +230,20 @@ def exc01_implicit(spark, sf_dir):
     return A.implicit_exceptions(d, d.where("iid % 3 = 0").select("iid"))
 
 
-@query(oracle("call") + ", x AS (SELECT CAST(n_nationkey AS BIGINT) AS m, CASE n_nationkey % 3 WHEN 0 THEN 'NullPointerException' ELSE 'E' || CAST(n_nationkey AS VARCHAR) END AS type FROM nation UNION SELECT caller, type FROM x JOIN call ON callee = m WHERE NOT (type = 'NullPointerException' AND (caller + callee) % 2 = 0)) SELECT m, type FROM x")
+@query(oracle("call", "meth") + ", x AS (SELECT m, CASE m % 3 WHEN 0 THEN 'NullPointerException' ELSE 'E' || CAST(m % 40 AS VARCHAR) END AS type FROM meth UNION SELECT caller, type FROM x JOIN call ON callee = m WHERE NOT (type = 'NullPointerException' AND (caller + callee) % 2 = 0)) SELECT m, type FROM x")
 def exc02_call_union(spark, sf_dir):
-    c = encoded(spark, sf_dir, "call")["call"]
-    own = spark.sql("SELECT CAST(n_nationkey AS BIGINT) AS m, CASE n_nationkey % 3 WHEN 0 THEN 'NullPointerException' ELSE concat('E', n_nationkey) END AS type FROM nation")
+    f = encoded(spark, sf_dir, "call", "meth")
+    c, m = f["call"], F.col("m")
+    own = f["meth"].select("m", F.when(m % 3 == 0, "NullPointerException").otherwise(F.concat(F.lit("E"), m % 40)).alias("type"))
     return A.call_exceptions(c, own, c.where("(caller + callee) % 2 = 0"))
 
 
-@query(oracle("call") + " SELECT CAST(n_nationkey AS BIGINT) AS site, 'RuntimeException' AS type FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT CAST(n_nationkey AS BIGINT), 'D' || CAST((n_nationkey * 3) % 25 AS VARCHAR) FROM nation WHERE n_nationkey % 5 = 0")
+@query(oracle("call", "meth") + " SELECT m AS site, 'RuntimeException' AS type FROM meth WHERE m NOT IN (SELECT caller FROM call) UNION SELECT m, 'D' || CAST(m * 3 % 25 AS VARCHAR) FROM meth WHERE m NOT IN (SELECT caller FROM call)")
 def exc03_missing_receiver(spark, sf_dir):
-    c = encoded(spark, sf_dir, "call")["call"]
-    sites = spark.sql("SELECT CAST(n_nationkey AS BIGINT) AS site, CAST((n_nationkey * 3) % 25 AS BIGINT) AS target FROM nation")
-    declared = spark.sql("SELECT CAST(n_nationkey AS BIGINT) AS m, concat('D', n_nationkey) AS type FROM nation")
-    return A.missing_receiver(sites, c.where("caller % 5 > 0").select(F.col("caller").alias("site"), "callee"), declared)
+    f = encoded(spark, sf_dir, "call", "meth")
+    sites = f["meth"].select(F.col("m").alias("site"), (F.col("m") * 3 % 25).alias("target"))
+    declared = spark.range(25).select(F.col("id").alias("m"), F.concat(F.lit("D"), "id").alias("type"))
+    return A.missing_receiver(sites, f["call"].select(F.col("caller").alias("site"), "callee"), declared)
 
 
 _KNOWN = "SELECT iid, CASE WHEN iid % 2 = 0 THEN iid % 9 - 1 END AS idx, CASE WHEN iid % 3 = 0 THEN iid % 7 END AS dim, CASE WHEN iid % 2 = 1 THEN iid % 3 END AS divisor FROM instr"

@@ -34,25 +34,27 @@ def pt21_set_of_variable(spark, sf_dir):
 
 
 _FIELDS = """, r(rel, a, b, c) AS (
-  SELECT 'p', v, heap, CAST(0 AS BIGINT) FROM new_small
+  SELECT 'p', v, heap, CAST(0 AS BIGINT) FROM new_order
   UNION (
-    SELECT 'p', l.dst, x.c, CAST(0 AS BIGINT) FROM r p JOIN load l ON p.rel = 'p' AND p.a = l.base JOIN recurring.r x ON x.rel = 'f' AND x.a = p.b AND x.b = l.f
+    SELECT 'p', e.dst, p.b, CAST(0 AS BIGINT) FROM r p JOIN copy_order e ON p.rel = 'p' AND p.a = e.src
+    UNION SELECT 'p', l.dst, x.c, CAST(0 AS BIGINT) FROM r p JOIN load l ON p.rel = 'p' AND p.a = l.base JOIN recurring.r x ON x.rel = 'f' AND x.a = p.b AND x.b = l.f
     UNION SELECT 'p', l.dst, x.c, CAST(0 AS BIGINT) FROM recurring.r p JOIN load l ON p.rel = 'p' AND p.a = l.base JOIN r x ON x.rel = 'f' AND x.a = p.b AND x.b = l.f
     UNION SELECT 'f', p.b, s.f, q.b FROM r p JOIN store s ON p.rel = 'p' AND p.a = s.base JOIN recurring.r q ON q.rel = 'p' AND q.a = s.src
     UNION SELECT 'f', p.b, s.f, q.b FROM recurring.r p JOIN store s ON p.rel = 'p' AND p.a = s.base JOIN r q ON q.rel = 'p' AND q.a = s.src))"""
+_FIELD_FACTS = ("new_order", "copy_order", "store", "load")
 
 
-def _fields(spark, sf_dir):
-    f = encoded(spark, sf_dir, "new_small", "store", "load", "assign")
-    return P.field_closure(f["new_small"], f["assign"].where("src < 0"), f["store"], f["load"])
+def _fields(spark, sf_dir, change=lambda d: d):
+    f = encoded(spark, sf_dir, *_FIELD_FACTS)
+    return P.field_closure(f["new_order"], f["copy_order"], change(f["store"]), change(f["load"]))
 
 
-@query(oracle("new_small", "store", "load") + _FIELDS + " SELECT a AS v, b AS heap FROM r WHERE rel = 'p'")
+@query(oracle(*_FIELD_FACTS) + _FIELDS + " SELECT a AS v, b AS heap FROM r WHERE rel = 'p'")
 def pt05_field_load(spark, sf_dir):
     return _fields(spark, sf_dir)["pts"]
 
 
-@query(oracle("new_small", "store", "load") + _FIELDS + " SELECT a AS heap, b AS f, c AS heap2 FROM r WHERE rel = 'f'")
+@query(oracle(*_FIELD_FACTS) + _FIELDS + " SELECT a AS heap, b AS f, c AS heap2 FROM r WHERE rel = 'f'")
 def pt06_field_store(spark, sf_dir):
     return _fields(spark, sf_dir)["fpts"]
 
@@ -60,32 +62,9 @@ def pt06_field_store(spark, sf_dir):
 _ARRAYS = _FIELDS.replace("AND x.b = l.f", "AND x.b = -1").replace("s.f, q.b", "CAST(-1 AS BIGINT), q.b")
 
 
-@query(oracle("new_small", "store", "load") + _ARRAYS + " SELECT a AS v, b AS heap FROM r WHERE rel = 'p'")
+@query(oracle(*_FIELD_FACTS) + _ARRAYS + " SELECT a AS v, b AS heap FROM r WHERE rel = 'p'")
 def pt07_array_contents(spark, sf_dir):
-    f = encoded(spark, sf_dir, "new_small", "store", "load", "assign")
-    one = lambda d: d.withColumn("f", F.lit(P.CONTENTS).cast("long"))
-    return P.field_closure(f["new_small"], f["assign"].where("src < 0"), one(f["store"]), one(f["load"]))["pts"]
-
-
-def _all_fields(spark, sf_dir, one=lambda d: d):
-    """Every order is a statement and every copy edge counts; the recursive SQL over that is too slow, so there is none."""
-    f = encoded(spark, sf_dir, "new_all", "store_all", "load_all", "assign")
-    return P.field_closure(f["new_all"], f["assign"], one(f["store_all"]), one(f["load_all"]))
-
-
-@query()
-def pt05_field_load_all(spark, sf_dir):
-    return _all_fields(spark, sf_dir)["pts"]
-
-
-@query()
-def pt06_field_store_all(spark, sf_dir):
-    return _all_fields(spark, sf_dir)["fpts"]
-
-
-@query()
-def pt07_array_contents_all(spark, sf_dir):
-    return _all_fields(spark, sf_dir, lambda d: d.withColumn("f", F.lit(P.CONTENTS).cast("long")))["pts"]
+    return _fields(spark, sf_dir, lambda d: d.withColumn("f", F.lit(P.CONTENTS).cast("long")))["pts"]
 
 
 # --- hierarchy and filters -------------------------------------------------------------------------------------
@@ -170,40 +149,42 @@ def pt22_reachable(spark, sf_dir):
     return closure(c.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), spark.sql("SELECT CAST(0 AS BIGINT) AS node, 0 AS item")).select(F.col("node").alias("m"))
 
 
+_SITE = 1_000_000
+
+
 def _program(spark, sf_dir, haf=None):
-    """Method n of nation n allocates one object per method and hands it, and its formal, to all that it calls."""
-    c = _calls(spark, sf_dir).withColumn("site", F.col("caller") * 1000 + F.col("callee"))
-    ms = spark.sql("SELECT CAST(n_nationkey AS BIGINT) AS m FROM nation")
+    """The method of an order allocates one object and hands it, and what it was handed, to all that it calls."""
+    f = encoded(spark, sf_dir, "call", "meth")
+    c, ms = f["call"].withColumn("site", F.col("caller") * _SITE + F.col("callee")), f["meth"]
     null = F.lit(None).cast("long")
-    both = c.select("site", F.lit(0).alias("i"), F.col("caller").alias("v"))
     tables = {
         "new": ms.select("m", F.col("m").alias("v"), F.col("m").alias("site")),
-        "assign": ms.select("m", F.col("m").alias("dst"), (100 + F.col("m")).alias("src"), null.alias("filter")),
+        "assign": ms.select("m", F.col("m").alias("dst"), (-1 - F.col("m")).alias("src"), null.alias("filter")),
         "call": c.select(F.col("caller").alias("m"), "site", F.lit("static").alias("dispatch"), F.col("callee").alias("target"), F.lit(None).cast("string").alias("selector"), null.alias("receiver"), null.alias("result"), null.alias("exc")),
-        "actual": both,
-        "formal": ms.select("m", F.lit(0).alias("i"), (100 + F.col("m")).alias("v")),
+        "actual": c.select("site", F.lit(0).alias("i"), F.col("caller").alias("v")),
+        "formal": ms.select("m", F.lit(0).alias("i"), (-1 - F.col("m")).alias("v")),
         "alloc": ms.select(F.col("m").alias("site"), (F.col("m") % 7).alias("type"), F.lit("T").alias("type_name"), F.col("m").alias("alloc_class"), F.lit("A").alias("alloc_class_name")),
     }
-    entry = spark.sql("SELECT CAST(0 AS BIGINT) AS m")
-    return P.Program(tables, entry, haf or C.Abstraction())
+    return P.Program(tables, spark.sql("SELECT CAST(0 AS BIGINT) AS m"), haf or C.Abstraction())
 
 
 _STATIC = """, reach AS (SELECT CAST(0 AS BIGINT) AS m UNION SELECT callee FROM reach JOIN call ON caller = m),
-pts AS (SELECT m AS v, m AS heap FROM reach UNION SELECT x.v, p.heap FROM pts p JOIN (SELECT caller AS s, 100 + callee AS v FROM call WHERE caller IN (SELECT m FROM reach) UNION ALL SELECT 100 + n_nationkey, n_nationkey FROM nation) x ON x.s = p.v)"""
+moves AS (SELECT caller AS s, -1 - callee AS v FROM call WHERE caller IN (SELECT m FROM reach) UNION ALL SELECT -1 - m, m FROM meth),
+pts AS (SELECT m AS v, m AS heap FROM reach UNION SELECT x.v, p.heap FROM pts p JOIN moves x ON x.s = p.v)"""
 
 
-@query(oracle("call") + _STATIC + " SELECT v, heap FROM pts")
+@query(oracle("call", "meth") + _STATIC + " SELECT v, heap FROM pts")
 def pt13_static_calls(spark, sf_dir):
     return P.solve(_program(spark, sf_dir))["pts"].select("v", "heap")
 
 
-@query(oracle("call") + _STATIC + " SELECT caller AS m, callee, CAST(1000 * caller + callee AS BIGINT) AS site FROM call WHERE caller IN (SELECT m FROM reach)")
+@query(oracle("call", "meth") + _STATIC + " SELECT caller AS m, callee, CAST(1000000 * caller + callee AS BIGINT) AS site FROM call WHERE caller IN (SELECT m FROM reach)")
 def pt16_call_graph(spark, sf_dir):
     return P.solve(_program(spark, sf_dir))["call_edge"].select("m", "callee", "site")
 
 
 @query(
-    oracle("call") + """, c1 AS (SELECT caller, callee, 1000 * caller + callee AS site FROM call),
+    oracle("call") + """, c1 AS (SELECT caller, callee, 1000000 * caller + callee AS site FROM call),
 reach(m, ctx) AS (SELECT CAST(0 AS BIGINT), '' UNION SELECT callee, CAST(site AS VARCHAR) FROM reach JOIN c1 ON caller = m) SELECT m, ctx FROM reach"""
 )
 def haf03_call_site_contexts(spark, sf_dir):
@@ -211,7 +192,7 @@ def haf03_call_site_contexts(spark, sf_dir):
     return found.select("m", F.array_join("ctx", ",").alias("ctx"))
 
 
-@query(oracle("call") + _STATIC + " SELECT 'call_edges' AS counter, count(*) AS n FROM call WHERE caller IN (SELECT m FROM reach) UNION ALL SELECT 'call_nodes', count(*) FROM reach UNION ALL SELECT 'edges', count(*) FROM pts UNION ALL SELECT 'nodes', count(DISTINCT v) FROM pts UNION ALL SELECT 'field_edges', 0")
+@query(oracle("call", "meth") + _STATIC + " SELECT 'call_edges' AS counter, count(*) AS n FROM call WHERE caller IN (SELECT m FROM reach) UNION ALL SELECT 'call_nodes', count(*) FROM reach UNION ALL SELECT 'edges', count(*) FROM pts UNION ALL SELECT 'nodes', count(DISTINCT v) FROM pts UNION ALL SELECT 'field_edges', 0")
 def pt27_counters(spark, sf_dir):
     return P.counters(P.solve(_program(spark, sf_dir)))
 
@@ -228,10 +209,10 @@ def pt29_successors(spark, sf_dir):
     return P.successors(_calls(spark, sf_dir).withColumnRenamed("caller", "m")).select("caller", F.array_join("callees", ",").alias("callees"))
 
 
-@query(oracle("call") + ", ours AS (SELECT * FROM call WHERE (caller + callee) % 3 <> 0 AND caller < 20) SELECT caller, callee FROM call EXCEPT SELECT caller, callee FROM call WHERE (caller, callee) IN (SELECT (caller, callee) FROM ours) OR caller NOT IN (SELECT caller FROM ours UNION SELECT callee FROM ours)")
+@query(oracle("call") + ", ours AS (SELECT * FROM call WHERE (caller + callee) % 3 <> 0 AND caller % 4 <> 1) SELECT caller, callee FROM call EXCEPT SELECT caller, callee FROM call WHERE (caller, callee) IN (SELECT (caller, callee) FROM ours) OR caller NOT IN (SELECT caller FROM ours UNION SELECT callee FROM ours)")
 def pt30_compare_graphs(spark, sf_dir):
     c = _calls(spark, sf_dir)
-    return P.compare_graphs(c.where("(caller + callee) % 3 <> 0 AND caller < 20"), c)[0]
+    return P.compare_graphs(c.where("(caller + callee) % 3 <> 0 AND caller % 4 <> 1"), c)[0]
 
 
 @query(oracle("cyclic") + ", tc AS (SELECT src, dst FROM cyclic UNION SELECT tc.src, c.dst FROM tc JOIN cyclic c ON tc.dst = c.src) SELECT a.src AS node, least(a.src, min(a.dst)) AS rep FROM tc a JOIN tc b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
@@ -263,9 +244,9 @@ _CASES = {
     "haf07_one_object": ("OneObjSensitive", f"CASE WHEN is_static THEN {_CTX} ELSE [heap] END", _NO),
     "haf08_init_object": ("InstanceInitFullObjSensitive", f"CASE WHEN NOT is_init THEN {_NO} WHEN is_static THEN {_CTX} ELSE {_push('heap', _HCTX, 2)} END", "[c0]"),
     "haf09_collections": ("CollectionsTypeSensitive", f"CASE WHEN NOT is_static AND contains(heap_class_name, 'Ljava/util') THEN {_push('alloc_class', _HCTX, 2)} ELSE {_NO} END", f"CASE WHEN contains(alloc_class_name, 'Ljava/util') THEN [c0] ELSE {_NO} END"),
-    "haf10_strings": ("StringBuilderFullObjSensitive", f"CASE WHEN NOT is_static AND heap_class_name LIKE 'Ljava/lang/String%' THEN {_push('heap', _HCTX, 2)} ELSE {_NO} END", f"CASE WHEN heap_class_name LIKE 'Ljava/lang/String%' THEN {_CTX} ELSE {_NO} END"),
+    "haf10_strings": ("StringBuilderFullObjSensitive", f"CASE WHEN NOT is_static AND heap_class_name LIKE 'Ljava/lang/String%' THEN {_push('heap', _HCTX, 3)} ELSE {_NO} END", f"CASE WHEN heap_class_name LIKE 'Ljava/lang/String%' THEN {_CTX} ELSE {_NO} END"),
     "haf11_filtered_builders": ("FilterStringBuilderSpecialized", f"CASE WHEN is_static THEN {_CTX} ELSE [heap, h0, -1] END", "CASE WHEN heap_class_name = 'Ljava/lang/StringBuilder' THEN [c0, c1] ELSE [-1, c1] END"),
-    "haf12_output_streams": ("CallSiteSensitiveOutputStream", _push("CASE WHEN NOT is_static AND heap_class_name = 'Ljava/io/PrintStream' THEN site END", _CTX, 5), _CTX),
+    "haf12_output_streams": ("CallSiteSensitiveOutputStream", _push("CASE WHEN NOT is_static AND (heap_class_name = 'Ljava/io/PrintStream' OR heap_class_name = 'Lapp/A' AND k % 2 = 0) THEN site END", _CTX, 5), _CTX),
     "haf13_named_call_sites": ("MagicCallSiteSensitive", _push("CASE WHEN contains(callee_name, 'bouncycastle') OR contains(callee_name, 'intToBigEndian') THEN site END", _CTX, 2), _CTX),
     "haf13_named_objects": ("MagicFullObjSensitive", f"CASE WHEN NOT is_static AND contains(heap_class_name, 'bouncycastle') THEN [heap, h0, -1] ELSE {_NO} END", f"CASE WHEN contains(heap_class_name, 'bouncycastle') OR contains(alloc_class_name, 'bouncycastle') THEN {_CTX} ELSE {_NO} END"),
     "haf15_receiver_type": ("WalaReceiverTypeContextSelector", f"CASE WHEN is_static THEN {_NO} ELSE [heap_class] END", _NO),
@@ -276,6 +257,8 @@ def _context_query(expression: str):
     def run(spark, sf_dir):
         spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
         d = spark.sql(_ROWS).withColumn("ctx", F.array("c0", "c1")).withColumn("hctx", F.array("h0"))
+        above = F.when((F.col("heap_class_name") == "Lapp/A") & (F.col("k") % 2 == 0), F.array("heap_class_name", F.lit(C.PRINT_STREAM))).otherwise(F.array("heap_class_name"))
+        d = d.withColumn("heap_supers", above)
         haf, row = C.parse(expression), {c: F.col(c) for c in d.columns}
         return d.select("k", F.array_join(haf.merge(row), ",").alias("merged"), F.array_join(haf.record(row), ",").alias("recorded"))
 

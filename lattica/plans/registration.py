@@ -149,10 +149,10 @@ def reg18_native_defaults(spark, sf_dir):
     return R.native_defaults(me, me.select("m", (F.col("m") % 4).alias("type")))
 
 
-@query(oracle("prim") + " SELECT m, CAST(bb AS INT) AS i, event_id AS dst FROM ev WHERE bb < 4 AND (m, event_id) NOT IN (SELECT (m, v) FROM prim)")
+@query(oracle("prim") + " SELECT m, CAST(bb AS INT) AS i, event_id AS dst FROM ev WHERE (m, event_id) NOT IN (SELECT (m, v) FROM prim)")
 def reg19_formal_copies(spark, sf_dir):
     f = encoded(spark, sf_dir, "prim")
-    return R.formal_copies(spark.sql("SELECT m, CAST(bb AS INT) AS i, event_id AS v FROM ev WHERE bb < 4"), f["prim"])
+    return R.formal_copies(spark.sql("SELECT m, CAST(bb AS INT) AS i, event_id AS v FROM ev"), f["prim"])
 
 
 _DISC = """, r(rel, a) AS (SELECT 'm', CAST(0 AS BIGINT) UNION (

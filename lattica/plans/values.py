@@ -108,10 +108,9 @@ def set02_bitmaps(spark, sf_dir):
     return sets.bitmap_sizes(sets.bitmaps(rows, "k", "x"), "k")
 
 
-@query("WITH s AS (SELECT DISTINCT o_custkey % 40 AS k, o_orderkey % 23 AS x FROM orders) SELECT a.k AS a, b.k AS b FROM (SELECT DISTINCT k FROM s) a, (SELECT DISTINCT k FROM s) b WHERE a.k <> b.k AND NOT EXISTS (SELECT 1 FROM s x WHERE x.k = a.k AND x.x NOT IN (SELECT y.x FROM s y WHERE y.k = b.k))")
+@query("WITH s AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS x FROM lineitem), n AS (SELECT k, count(*) AS n FROM s GROUP BY k) SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.x = b.x AND a.k <> b.k JOIN n ON n.k = a.k GROUP BY a.k, b.k, n.n HAVING count(*) = n.n")
 def set02_subsets(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return sets.contains_all(o.select((F.col("o_custkey") % 40).alias("k"), (F.col("o_orderkey") % 23).alias("x")).distinct())
+    return sets.contains_all(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("x")))
 
 
 # --- reports ---------------------------------------------------------------------------------------------------

@@ -115,14 +115,14 @@ ENCODINGS: dict[str, str] = {
     "new": "SELECT l_partkey AS v, l_suppkey AS heap FROM lineitem WHERE l_linenumber = 1",
     "assign": "SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey >= 2",
     "cyclic": "SELECT p_partkey AS src, p_partkey - p_partkey % 60 + (p_partkey * 7 + 3) % 60 AS dst FROM part",
-    # field statements
-    "store": "SELECT o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f, o_orderkey % 200 AS src FROM orders WHERE o_orderkey < 3000",
-    "load": "SELECT o_orderkey % 150 AS dst, o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f FROM orders WHERE o_orderkey >= 3000 AND o_orderkey < 6000",
-    "new_small": "SELECT DISTINCT o_custkey AS v, o_orderkey % 97 AS heap FROM orders WHERE o_orderkey % 5 = 0",
-    # the same from every row of orders: one statement each, by its status; an allocation site is one of 97
-    "store_all": "SELECT o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f, o_orderkey AS src FROM orders WHERE o_orderstatus = 'O'",
-    "load_all": "SELECT o_orderkey AS dst, o_custkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f FROM orders WHERE o_orderstatus = 'F'",
-    "new_all": "SELECT DISTINCT o_custkey AS v, o_orderkey % 97 AS heap FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('O', 'F')",
+    # field statements: every order is a variable with an object of its own, and a statement by its status: a copy, two
+    # stores into different fields, or a load
+    "new_order": "SELECT o_orderkey AS v, o_orderkey AS heap FROM orders",
+    "copy_order": "SELECT o_orderkey AS src, o_orderkey - 1 AS dst FROM orders WHERE o_orderstatus = 'P' AND o_orderkey > 0",
+    "store": """
+        SELECT o_orderkey AS base, CAST(length(o_orderpriority) AS BIGINT) AS f, o_orderkey - 1 AS src FROM orders WHERE o_orderstatus = 'O'
+        UNION ALL SELECT o_orderkey, CAST(length(o_orderpriority) + 1 AS BIGINT), o_orderkey + 1 FROM orders WHERE o_orderstatus = 'O'""",
+    "load": "SELECT o_orderkey AS dst, o_orderkey - 1 AS base, CAST(length(o_orderpriority) + o_custkey % 2 AS BIGINT) AS f FROM orders WHERE o_orderstatus = 'F'",
     # methods, blocks and instructions: one method a user, one block an event
     "ev": "SELECT event_id, user_id AS m, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS bb, count(*) OVER (PARTITION BY user_id) AS n_blocks FROM events",
     "instr": f"""
@@ -134,11 +134,12 @@ ENCODINGS: dict[str, str] = {
         UNION ALL SELECT m, CAST(bb AS BIGINT), CAST(floor(bb / 2) AS BIGINT), 'N' FROM ev WHERE event_type = 'view' AND bb > 0""",
     "nullc": "SELECT DISTINCT m, event_id % 199 AS v FROM ev WHERE event_id % 11 = 0",
     "prim": "SELECT DISTINCT m, event_id AS v FROM ev WHERE event_id % 7 = 0",
-    # calls between nations
+    # one method an order: a tree of calls, and some calls back
+    "meth": "SELECT o_orderkey AS m FROM orders",
     "call": """
-        SELECT CAST(n_nationkey AS BIGINT) AS caller, CAST((n_nationkey * 7 + 3) % 25 AS BIGINT) AS callee FROM nation
-        UNION SELECT CAST(s_nationkey AS BIGINT), CAST(c_nationkey AS BIGINT) FROM supplier, customer WHERE s_suppkey = c_custkey""",
-    "local_access": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS m, CAST(length(c_mktsegment) + 100 * (c_custkey % 9) AS BIGINT) AS loc FROM customer",
+        SELECT CAST(floor(o_orderkey / 8) AS BIGINT) AS caller, o_orderkey AS callee FROM orders WHERE o_orderkey > 0
+        UNION SELECT o_orderkey, CAST(floor(o_orderkey / 8) AS BIGINT) FROM orders WHERE o_orderkey % 500 = 7""",
+    "local_access": "SELECT DISTINCT o_orderkey AS m, o_custkey AS loc FROM orders",
     "iv": "SELECT event_id AS iid, CAST(value AS DOUBLE) / 40 - 2 AS x, CAST(event_id % 9 AS DOUBLE) - 4 AS y FROM events",
 }
 
@@ -154,4 +155,4 @@ def encoded(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFram
 def oracle(*names: str) -> str:
     """The same encodings as the head of a DuckDB query."""
     order = dict.fromkeys(n for n in ("ev", *names) if n != "ev" or any("ev" in ENCODINGS[x].split() for x in names))
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({ENCODINGS[n].replace('floor(p_partkey / 2)', 'p_partkey // 2').replace('floor(bb / 2)', 'bb // 2')})" for n in order)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({ENCODINGS[n].replace('floor(p_partkey / 2)', 'p_partkey // 2').replace('floor(bb / 2)', 'bb // 2').replace('floor(o_orderkey / 8)', 'o_orderkey // 8')})" for n in order)
