@@ -62,7 +62,7 @@ class Transducer:
     label is the token in which the bytes read so far end.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size_of = {v: len(k) for k, v in ranks.items()}
@@ -165,7 +165,7 @@ class Transducer:
         yield from self.emit(labels)
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.limit or len(self.fits) > 4 * self.limit:
+        if len(self.states) > self.limit or len(self.fits) > self.limit:
             self._reset()
         if len(piece) >= SETTLE:
             return list(self.stream(piece))
@@ -204,7 +204,7 @@ def _tools(path: str):
     if path not in _WORKER:
         ranks = load_ranks(path)
         machine = Transducer(ranks)
-        memo = Memo(lambda text: [t for p in pretokens(text) for t in machine.encode(p.encode())], limit=150_000)
+        memo = Memo(lambda text: [t for p in pretokens(text) for t in machine.encode(p.encode())], limit=120_000)
 
         def forget() -> None:
             machine._reset()

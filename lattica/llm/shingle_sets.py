@@ -5,7 +5,7 @@ The bits of two texts' prints differ with a chance that their similarity gives:
 the generalised pigeonhole principle: a pair is proposed if ``WITHIN`` bits or fewer differ in any of them. What is
 proposed counts only if the sets themselves are similar enough, in whole numbers.
 
-A bucket first proposes a spanning forest, of a large bucket the one of least distance over all bits, so that a group of
+A bucket first proposes a spanning forest, of a large bucket the one of least distance over two prints, so that a group of
 n near copies costs n sets and not n^2. After the components of what held, pairs of a bucket whose components still
 differ are compared: in a large bucket all of them by sketches, which count a set's hashes in ``CLASSES`` classes. The
 lesser counts of two sketches add up to no less than the hashes that both sets hold, so no pair of the similarity asked
@@ -146,7 +146,8 @@ def comparable(texts: DataFrame) -> float:
 def links(docs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataFrame:
     """(a, root) over the nodes of ``texts`` (node, least, size, w0, ...) that have a near-duplicate."""
     all_words = [f"w{k}" for k in range(WORDS)]
-    words = [texts.select(F.col(w).alias("fp"), "node", "size", *all_words) for w in all_words]
+    beside = all_words[1:] + all_words[:1]  # one more print, for distances within a bucket
+    words = [texts.select(F.col(w).alias("fp"), "node", "size", F.col(x).alias("w")) for w, x in zip(all_words, beside)]
     share = comparable(texts)
     plans = [allocate(*bit_statistics(w), WITHIN, share) for w in words]
     first = cut(search(reduce(DataFrame.union, [signatures(w, plan, k) for k, (w, plan) in enumerate(zip(words, plans))]), WITHIN))

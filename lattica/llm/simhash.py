@@ -373,15 +373,14 @@ def whole_keys(batches, most_rows: int) -> Iterator[pa.Table]:
 
 
 def search(signed: DataFrame, within: int) -> DataFrame:
-    """(a, b) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, w0, ...]):
-    at least a spanning forest. Without ``node`` the print is the node."""
-    names = signed.columns
-    words = [c for c in names if c[0] == "w"]
+    """(a, b) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, w]): at
+    least a spanning forest, by distance over fp and w where w is given. Without ``node`` the print is the node."""
+    several = "w" in signed.columns
 
     def run(batches):
         for t in whole_keys(batches, 500_000):
             c, sizes = _by_size(t)
-            prints = np.stack([c[x].view(_U) for x in words], 1) if words else None
+            prints = np.stack([c[x].view(_U) for x in ("fp", "w")], 1) if several else None
             i, j = bucket_links(c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool), within, prints)
             node = c.get("node", c["fp"])
             a, b = node[i], node[j]
