@@ -73,3 +73,35 @@ def test_sketches_rule_out_no_similar_sets():
 def agree(spark, sf, texts):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, sf).collect()) == brute_kept(texts)
+
+
+def test_a_bucket_of_one_component_costs_nothing():
+    import time
+
+    import numpy as np
+
+    from lattica.llm import simhash
+
+    n, rng = 100_000, np.random.default_rng(0)
+    fps = np.uint64(0xABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
+    start = time.time()
+    i, j, dense = simhash.bucket_bridges(np.zeros(n, np.int64), fps, np.full(n, 50), np.ones(n, bool), 11, np.zeros(n, np.int64))
+    assert not len(i) and not len(j) and not len(dense) and time.time() - start < 5
+
+
+def test_large_buckets_find_all_rows_that_other_components_link():
+    import numpy as np
+
+    from lattica.llm import simhash
+
+    rng = np.random.default_rng(5)
+    for n, within, split in ((400, 4, False), (700, 11, False), (700, 11, True)):
+        fps, sizes, root = rng.integers(0, 2**16, n, dtype=np.uint64), rng.integers(40, 60, n), rng.integers(0, 4, n) * (rng.random(n) < 0.3)
+        own = rng.random(n) < 0.8
+        pair = (np.bitwise_count(fps[:, None] ^ fps) <= within) & (root[:, None] != root) & (own[:, None] | own) & simhash.alike(sizes[:, None], sizes)
+        most, simhash.SPLIT_BUCKET = simhash.SPLIT_BUCKET, 100 if split else simhash.SPLIT_BUCKET
+        try:
+            *_, dense = simhash.bucket_bridges(np.zeros(n, np.int64), fps, sizes, own, within, root)
+        finally:
+            simhash.SPLIT_BUCKET = most
+        assert set(dense.tolist()) == set(np.flatnonzero(pair.any(1)).tolist())
