@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from lattica.llm.common import releasing
 from lattica.llm.pretokens import Memo, batches_of, pretokens, tokenizer_path
 
 #: Bytes read between two looks for settled tokens.
@@ -209,7 +210,6 @@ def _tools(path: str):
         def forget() -> None:
             machine._reset()
             memo.forget()
-            pa.default_memory_pool().release_unused()
 
         _WORKER[path] = memo, Decoder(ranks), forget
     return _WORKER[path]
@@ -224,7 +224,7 @@ def _forgetting(path: str, f):
         finally:
             _tools(path)[2]()
 
-    return run
+    return releasing(run)
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

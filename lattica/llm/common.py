@@ -8,6 +8,7 @@ table of keys is partitioned by hash, and the answers return to the block that a
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
@@ -87,6 +88,20 @@ def in_order(table: pa.Table) -> tuple[list, list[bytes]]:
     return table["doc_id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist()
 
 
+def releasing(run):
+    """``run`` over a task's batches; afterwards the worker, which Spark keeps, hands free memory back to the system."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 # --- packed look-ups -------------------------------------------------------------------------------------------
 
 ASK = "part int, block long, keys binary, counts binary"

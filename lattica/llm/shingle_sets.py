@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import cut, releasing
 from lattica.llm.simhash import alike, allocate, bit_statistics, bridges, components, labelled, majority, mixed, rows_of, search, shingle_hashes, signatures, whole_keys
 
 #: Prints of a text, and the bits that may differ in one of them.
@@ -83,7 +83,7 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
             table = np.array(prints, _U).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), _longs(nodes), pa.array(sizes, pa.int32()), *[_longs(np.ascontiguousarray(c)) for c in table.T]], names=["doc_id", "h", "node", "size", *words])
 
-    return rows_of(docs).mapInArrow(run, f"doc_id long, h long, node long, size int, {', '.join(f'{w} long' for w in words)}")
+    return rows_of(docs).mapInArrow(releasing(run), f"doc_id long, h long, node long, size int, {', '.join(f'{w} long' for w in words)}")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -99,7 +99,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("want"), _longs([node_of(s) for s in found]), hashes, sketches], names=["want", "node", "hashes", "sketch"])
 
     own = rows_of(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("node").alias("want"), "text")
-    return own.mapInArrow(run, "want long, node long, hashes array<long>, sketch binary").where("want = node").select("node", "hashes", "sketch").dropDuplicates(["node"])
+    return own.mapInArrow(releasing(run), "want long, node long, hashes array<long>, sketch binary").where("want = node").select("node", "hashes", "sketch").dropDuplicates(["node"])
 
 
 def compared(dense: DataFrame, within: int, tenths: int) -> DataFrame:
@@ -125,7 +125,7 @@ def compared(dense: DataFrame, within: int, tenths: int) -> DataFrame:
                 pairs = np.concatenate([*pairs_of({x: v[s:e] for x, v in c.items()}, sketches[s:e]), np.zeros((0, 2), np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dense.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dense.repartition("key").sortWithinPartitions("key").mapInArrow(releasing(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
@@ -155,7 +155,9 @@ def links(docs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataF
     some = cut(texts.join(touched, "node", "left_semi"))
     sets = cut(sets_of(docs, some.select("node", "least"), shingle))
     held = cut(verified(first, sets, tenths))
-    now = cut(some.join(components(held).withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # A bucket that listed all its links has none left: only rows of the others are searched again.
+    trees = first.where("tree").select(F.col("a").alias("node")).union(first.where("tree").select("b")).distinct()
+    now = cut(some.join(trees, "node", "left_semi").join(components(held).withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     again = [signatures(now.select(F.col(f"w{k}").alias("fp"), "node", "size", "root"), plan, k) for k, plan in enumerate(plans)]
     found = cut(bridges(reduce(DataFrame.union, again), WITHIN))
     rows = found.where("key is not null").groupBy(F.col("a").alias("node")).agg(F.collect_list(F.struct(F.col("b").alias("fp"), "key", "own")).alias("buckets"))  # as many as a node has signatures

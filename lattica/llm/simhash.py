@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import cut
+from lattica.llm.common import cut, releasing
 
 BITS = 64
 #: Relative cost of emitting and shuffling one signature against verifying one candidate pair.
@@ -286,9 +286,9 @@ def _near(key, fps, sizes, own, within: int, other: np.ndarray | None = None):
     return i, j, more, touched
 
 
-def bucket_links(key, fps, sizes, own, within: int, prints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of all buckets of sorted (key, size); buckets without an own row have nothing that is not found
-    elsewhere."""
+def bucket_links(key, fps, sizes, own, within: int, prints: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows i, rows j, whether of a forest): links of all buckets of sorted (key, size), every one in small buckets and a
+    spanning forest in others; buckets without an own row have nothing that is not found elsewhere."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
     counts = np.diff(np.append(starts, len(key)))
     bucket = np.repeat(np.arange(len(starts)), counts)
@@ -310,8 +310,9 @@ def bucket_links(key, fps, sizes, own, within: int, prints: np.ndarray | None =
     for s, c in zip(starts[huge], counts[huge]):
         a, b = forest(fps[s : s + c], within, sizes[s : s + c])
         out.append((a + s, b + s))
+    listed = len(out[0][0])
     i, j = (np.concatenate(x) for x in zip(*out))
-    return i, j
+    return i, j, np.arange(len(i)) >= listed
 
 
 def _apart(fps, sizes, own, root, within: int, split: bool = True) -> np.ndarray:
@@ -373,21 +374,23 @@ def whole_keys(batches, most_rows: int) -> Iterator[pa.Table]:
 
 
 def search(signed: DataFrame, within: int) -> DataFrame:
-    """(a, b) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, w]): at
-    least a spanning forest, by distance over fp and w where w is given. Without ``node`` the print is the node."""
+    """(a, b, tree) with a < b: distinct pairs of nodes linked in some bucket of ``signed`` (key, own, fp[, node, size, w]): at
+    least a spanning forest, by distance over fp and w where w is given. Without ``node`` the print is the node. ``tree``
+    tells that some bucket listed the pair in place of all its links."""
     several = "w" in signed.columns
 
     def run(batches):
         for t in whole_keys(batches, 500_000):
             c, sizes = _by_size(t)
             prints = np.stack([c[x].view(_U) for x in ("fp", "w")], 1) if several else None
-            i, j = bucket_links(c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool), within, prints)
+            i, j, tree = bucket_links(c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool), within, prints)
             node = c.get("node", c["fp"])
             a, b = node[i], node[j]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), tree.astype(np.int64)], 1)[a != b], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(bool))], names=["a", "b", "tree"])
 
-    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    found = signed.repartition("key").sortWithinPartitions("key").mapInArrow(releasing(run), "a long, b long, tree boolean")
+    return found.groupBy("a", "b").agg(F.bool_or("tree").alias("tree"))
 
 
 def bridges(signed: DataFrame, within: int) -> DataFrame:
@@ -407,7 +410,7 @@ def bridges(signed: DataFrame, within: int) -> DataFrame:
             both = [pa.array(np.concatenate([pairs[:, k], c[x][dense]])) for k, x in enumerate(("node", "fp"))]
             yield pa.RecordBatch.from_arrays([*both, key, own], names=["a", "b", "key", "own"])
 
-    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long, own boolean")
+    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(releasing(run), "a long, b long, key long, own boolean")
 
 
 def _by_size(t: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -424,7 +427,7 @@ def links(distinct: DataFrame, within: int = 4) -> DataFrame:
     ``distinct`` (fp) holds distinct prints and nothing else.
     """
     n, joint = bit_statistics(distinct)
-    return search(signatures(distinct, allocate(n, joint, within)), within)
+    return search(signatures(distinct, allocate(n, joint, within)), within).select("a", "b")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
