@@ -166,7 +166,9 @@ class Transducer:
         yield from self.emit(labels)
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.limit or len(self.fits) > self.limit:
+        if len(self.fits) > self.limit:
+            self.fits = {}
+        if len(self.states) > self.limit:
             self._reset()
         if len(piece) >= SETTLE:
             return list(self.stream(piece))
