@@ -22,9 +22,23 @@ DATA_EDGES = (
 )
 
 
-def node_id(kind: Column, m: Column, key: Column) -> Column:
-    """Identity of a node: its kind, its call-graph node and a key within that."""
-    return F.xxhash64(kind, m, key.cast("string"))
+#: Edges between call-graph nodes ``sm`` and ``dm``; entries and exits of callees are labelled with the site.
+CROSSING = ("sm", "src", "dm", "dst", "type", "label_type", "label_id", "receivers")
+
+
+def within(edges: DataFrame) -> DataFrame:
+    """Edges (m, src, dst, type) as ``CROSSING``."""
+    null = lambda t, n: F.lit(None).cast(t).alias(n)
+    return edges.select(F.col("m").alias("sm"), F.col("src").cast("string").alias("src"), F.col("m").alias("dm"), F.col("dst").cast("string").alias("dst"), "type", null("string", "label_type"), null("long", "label_id"), null("array<long>", "receivers"))
+
+
+def crossing(d: DataFrame, sm: Column, src: Column, dm: Column, dst: Column, kind: str, label: str) -> DataFrame:
+    return d.select(sm.alias("sm"), src.alias("src"), dm.alias("dm"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit(label).alias("label_type"), F.col("site").cast("long").alias("label_id"), "receivers")
+
+
+def node_id(m: Column, key: Column) -> Column:
+    """Identity of a node by its call-graph node and its key there, which names its kind as well."""
+    return F.xxhash64(m, key)
 
 
 def data_edges(instr: DataFrame) -> DataFrame:
@@ -47,11 +61,11 @@ def exception_split(raised: DataFrame, pc: DataFrame) -> DataFrame:
     return union_all([side("T", "TRUE"), side("F", "FALSE"), made]).distinct()
 
 
-def phi_edges(phi: DataFrame, preds: DataFrame, pc: DataFrame) -> DataFrame:
-    """Operand i of a phi (m, bb, def, uses) comes from predecessor i: COPY to a temporary under that block's counter,
-    MERGE into the phi, COPY to the result."""
-    ranked = preds.withColumn("i", F.row_number().over(W.partitionBy("m", "bb").orderBy("pred")) - 1)
-    ops = phi.select("m", "bb", "def", F.posexplode("uses").alias("i", "v")).join(ranked, ["m", "bb", "i"]).join(pc.select("m", F.col("bb").alias("pred"), "pc"), ["m", "pred"])
+def phi_edges(phi: DataFrame, ways: DataFrame) -> DataFrame:
+    """Operand i of a phi (m, bb, def, uses) comes from predecessor i: COPY to a temporary under the counter of the way
+    from there (m, bb, pred, pc), MERGE into the phi, COPY to the result."""
+    ranked = ways.select("m", "bb", "pred", "pc").withColumn("i", F.dense_rank().over(W.partitionBy("m", "bb").orderBy("pred")) - 1)
+    ops = phi.select("m", "bb", "def", F.posexplode("uses").alias("i", "v")).join(ranked, ["m", "bb", "i"])
     temp, merge = F.concat(F.lit("t"), "def", F.lit(":"), "i"), F.concat(F.lit("m"), "def")
     edge = lambda s, d, t: ops.select("m", s.cast("string").alias("src"), d.cast("string").alias("dst"), F.lit(t).alias("type"))
     return union_all([edge(F.col("v"), temp, "COPY"), edge(F.col("pc"), temp, "IMPLICIT"), edge(temp, merge, "MERGE"), edge(merge, F.col("def"), "COPY")]).distinct()
@@ -82,25 +96,54 @@ def switch_edges(switches: DataFrame, pc: DataFrame) -> DataFrame:
     return edge("u0", "SWITCH").union(edge("pc", "CONJUNCTION"))
 
 
-def call_edges(actual: DataFrame, call_edge: DataFrame, formal: DataFrame, receivers: DataFrame | None = None) -> DataFrame:
-    """(src, dst, type, label_type, label_id, receivers): arguments into formals, labelled with the site they enter by."""
-    hit = actual.join(call_edge.select("site", "callee").distinct(), "site").join(formal.select(F.col("m").alias("callee"), "i", F.col("v").alias("formal")), ["callee", "i"])
-    assigned = F.concat(F.lit("a"), "site", F.lit(":"), "callee", F.lit(":"), "i")
-    seen = receivers.groupBy("site").agg(F.sort_array(F.collect_set("heap")).alias("receivers")) if receivers is not None else None
-    hit = hit.join(seen, "site", "left") if seen is not None else hit.withColumn("receivers", F.lit(None).cast("array<long>"))
-    into = hit.select(F.col("v").cast("string").alias("src"), assigned.alias("dst"), F.lit("COPY").alias("type"), F.lit(None).cast("string").alias("label_type"), F.lit(None).cast("long").alias("label_id"), "receivers")
-    enter = hit.select(assigned.alias("src"), F.col("formal").cast("string").alias("dst"), F.lit("MERGE").alias("type"), F.lit("ENTRY").alias("label_type"), F.col("site").alias("label_id"), "receivers")
-    return into.unionByName(enter)
+def call_edges(sites: DataFrame, actual: DataFrame, call_edge: DataFrame, arity: DataFrame, receivers: DataFrame | None = None) -> DataFrame:
+    """Edges (``CROSSING``) of calls: arguments are assigned under the site's counter, and enter the callee's summary
+    nodes with the counter itself, labelled with the site.
 
+    ``sites`` is (m, site, pc), ``actual`` (site, i, v), ``call_edge`` (site, callee), ``arity`` (m, i) the formals there
+    are. ``receivers`` (site, callee, heap) is given for calls on maps only and tells the labels apart.
+    """
+    target = call_edge.select("site", "callee").distinct()
+    if receivers is not None:
+        target = target.join(receivers.groupBy("site", "callee").agg(F.sort_array(F.collect_set("heap")).alias("receivers")), ["site", "callee"], "left")
+    else:
+        target = target.withColumn("receivers", F.lit(None).cast("array<long>"))
+    args = sites.join(actual.select("site", "i", "v"), "site")
+    assigned = F.concat(F.lit("a"), "site", F.lit(":"), "i")
+    given = args.join(target, "site").join(arity.select(F.col("m").alias("callee"), "i"), ["callee", "i"])
+    return union_all([
+        within(args.select("m", F.col("v").cast("string").alias("src"), assigned.alias("dst"), F.lit("COPY").alias("type"))), within(args.select("m", F.col("pc").alias("src"), assigned.alias("dst"), F.lit("IMPLICIT").alias("type"))),
+        crossing(given, F.col("m"), assigned, F.col("callee"), F.concat(F.lit("f"), "i"), "MERGE", "ENTRY"), crossing(sites.join(target, "site"), F.col("m"), F.col("pc"), F.col("callee"), F.lit("entry"), "MERGE", "ENTRY"),
+    ])
 
-def exit_edges(sites: DataFrame, call_edge: DataFrame, exits: DataFrame) -> DataFrame:
-    """(src, dst, type, label_type, label_id): results and exceptions back to their sites; MISSING where no callee is known.
 
-    ``sites`` is (site, kind, v), ``exits`` (m, kind, v).
+def exit_edges(sites: DataFrame, call_edge: DataFrame, exits: DataFrame, receivers: DataFrame | None = None) -> DataFrame:
+    """Edges (``CROSSING``) from the exits that callees take (m, kind) back to their sites (m, site, kind, pc, result).
+
+    Each callee's exit has a join of the site's counter with its own, and an assignment of its value; several are merged.
+    Where no callee takes the exit, one made node stands for each. ``result`` null: the call has no value.
     """
-    hit = sites.join(call_edge.select("site", F.col("callee").alias("m")).distinct(), "site", "left").join(exits.withColumnRenamed("v", "out"), ["m", "kind"], "left")
-    src = F.coalesce(F.col("out").cast("string"), F.concat(F.lit("missing:"), "site", F.lit(":"), "kind"))
-    return hit.select(src.alias("src"), F.col("v").cast("string").alias("dst"), F.when(F.col("out").isNull(), "MISSING").otherwise("MERGE").alias("type"), F.when(F.col("out").isNotNull(), "EXIT").alias("label_type"), F.when(F.col("out").isNotNull(), F.col("site")).alias("label_id")).distinct()
+    target = call_edge.select("site", "callee").distinct().join(exits.select(F.col("m").alias("callee"), "kind").distinct(), "callee")
+    if receivers is not None:
+        target = target.join(receivers.groupBy("site", "callee").agg(F.sort_array(F.collect_set("heap")).alias("receivers")), ["site", "callee"], "left")
+    else:
+        target = target.withColumn("receivers", F.lit(None).cast("array<long>"))
+    n = target.groupBy("site", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("callee").alias("only"))
+    each = sites.join(target, ["site", "kind"])
+    one = sites.join(n, ["site", "kind"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    at = lambda k: F.concat(F.lit(k), "kind", "site")
+    join, value = F.concat(at("e"), F.lit(":"), "callee"), F.concat(at("r"), F.lit(":"), "callee")
+    merged = lambda k: F.when(F.col("n") == 0, at(k)).when(F.col("n") == 1, F.concat(at(k), F.lit(":"), "only")).otherwise(F.concat(at(k), F.lit(":m")))
+    edge = lambda d, s, t, ty: within(d.select("m", s.alias("src"), t.alias("dst"), F.lit(ty).alias("type")))
+    many = each.join(n.where("n > 1").select("site", "kind", "n"), ["site", "kind"]).withColumn("only", F.lit(None).cast("long"))
+    valued = lambda d: d.where("result is not null")
+    return union_all([
+        edge(each, F.col("pc"), join, "CONJUNCTION"), crossing(each, F.col("callee"), F.concat(F.lit("pc"), "kind"), F.col("m"), join, "CONJUNCTION", "EXIT"),
+        edge(valued(each), join, value, "IMPLICIT"), crossing(valued(each), F.col("callee"), F.concat(F.lit("out"), "kind"), F.col("m"), value, "COPY", "EXIT"),
+        edge(many, join, merged("e"), "MERGE"), edge(valued(many), value, merged("r"), "MERGE"),
+        edge(one.where("n = 0"), F.col("pc"), at("e"), "CONJUNCTION"), edge(one, merged("e"), at("j"), "CONJUNCTION"),
+        edge(valued(one.where("n = 0")), at("j"), at("r"), "IMPLICIT"), edge(valued(one), merged("r"), F.col("result"), "COPY"),
+    ])
 
 
 def native_edges(native: DataFrame, formal: DataFrame, exits: DataFrame) -> DataFrame:

@@ -132,6 +132,18 @@ ENCODINGS: dict[str, str] = {
         SELECT m, CAST(bb AS BIGINT) AS src, CAST(bb + 1 AS BIGINT) AS dst, 'N' AS kind FROM ev WHERE bb + 1 < n_blocks
         UNION ALL SELECT m, CAST(bb AS BIGINT), CAST(n_blocks AS BIGINT), 'E' FROM ev WHERE event_type = 'error'
         UNION ALL SELECT m, CAST(bb AS BIGINT), CAST(floor(bb / 2) AS BIGINT), 'N' FROM ev WHERE event_type = 'view' AND bb > 0""",
+    # the same instructions with flow that ends in an exit block: branches, loops, switches, handlers and returns; and calls
+    "flow": f"""
+        SELECT m, CAST(bb AS BIGINT) AS src, CAST(CASE WHEN op = 'RETURN' THEN n_blocks ELSE bb + 1 END AS BIGINT) AS dst, 'N' AS kind, CASE WHEN op = 'CONDITIONAL_BRANCH' THEN 'F' END AS branch
+        FROM (SELECT *, {_OP_CASE} AS op FROM ev) o WHERE op <> 'THROW'
+        UNION ALL SELECT m, CAST(bb AS BIGINT), CAST(CASE WHEN event_type = 'view' THEN floor(bb / 2) ELSE least(bb + 2, n_blocks) END AS BIGINT), 'N', CASE WHEN op = 'CONDITIONAL_BRANCH' THEN 'T' END
+        FROM (SELECT *, {_OP_CASE} AS op FROM ev) o WHERE op IN ('CONDITIONAL_BRANCH', 'SWITCH')
+        UNION ALL SELECT m, CAST(bb AS BIGINT), CAST(CASE WHEN event_type = 'error' THEN n_blocks ELSE least(bb + 3, n_blocks) END AS BIGINT), 'E', NULL
+        FROM (SELECT *, {_OP_CASE} AS op FROM ev) o WHERE op IN ('CHECK_CAST', 'THROW') OR op LIKE 'INVOKE%'""",
+    "exit_block": "SELECT DISTINCT m, CAST(n_blocks AS BIGINT) AS bb FROM ev",
+    "target": """
+        SELECT e.event_id AS site, t.user_id AS callee FROM events e JOIN events t ON t.event_id = e.event_id - 1 - e.event_id % 50 WHERE e.event_id % 4 <> 0
+        UNION SELECT e.event_id, t.user_id FROM events e JOIN events t ON t.event_id = e.event_id - 2 - e.event_id % 90 WHERE e.event_id % 29 IN (14, 17)""",
     "nullc": "SELECT DISTINCT m, event_id % 199 AS v FROM ev WHERE event_id % 11 = 0",
     "prim": "SELECT DISTINCT m, event_id AS v FROM ev WHERE event_id % 7 = 0",
     # one method an order: a tree of calls, and some calls back
