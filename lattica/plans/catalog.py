@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from lattica.plans import analyses, dependence, graphs, pointers, programs, registration, throwing, values  # noqa: F401
+    from lattica.plans import analyses, dependence, graphs, pointers, programs, registration, strings, throwing, values  # noqa: F401
 
 
 _load()

@@ -18,8 +18,8 @@ def test_query(spark, sf, name):
     same_as_duckdb(catalog.QUERIES[name](spark, sf), catalog.ORACLE_SQL[name], sf)
 
 
-#: Held against an interpreter in test_programs.
-PROGRAMS = {"nn13_program", "iv12_program"}
+#: Held against interpreters in test_programs and test_strings, and read back in test_graph_text.
+PROGRAMS = {"nn13_program", "iv12_program", "str06_values", "snk01_program_json"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - PROGRAMS))
