@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import lattices as L
-from lattica.operators.fixpoint import union_all
+from lattica.operators.fixpoint import rise, settle, union_all
 from lattica.operators.register import implicit_table
 
 # --- boolean constants -----------------------------------------------------------------------------------------
@@ -239,37 +239,32 @@ def throws_anything(exc_edge: DataFrame) -> DataFrame:
 # --- strings ---------------------------------------------------------------------------------------------------
 
 
-def string_values(const: DataFrame, copy: DataFrame, append: DataFrame, most_rounds: int = 200) -> DataFrame:
+def string_values(const: DataFrame, copy: DataFrame, append: DataFrame) -> DataFrame:
     """(v, vals, is_any): possible strings of variables.
 
     ``const`` is (v, val, is_any), ``copy`` (dst, src; several rows merge), ``append`` (after, before, arg). Variables
-    that nothing defines are any string, and so is what is built from them. Sets of ten strings or more are any string.
+    that nothing defines are any string, and so is what is built from them. Sets of ten strings or more are any string, so
+    a variable rises a bounded number of times, and only what reads a changed one is looked at again.
     """
+    copy, append = settle(copy.select("dst", "src").distinct()), settle(append.select("after", "before", "arg").distinct())
     read = copy.select(F.col("src").alias("v")).union(append.select("before")).union(append.select("arg")).distinct()
     made = union_all([const.select("v"), copy.select(F.col("dst").alias("v")), append.select(F.col("after").alias("v"))]).distinct()
     lost = read.join(made, "v", "left_anti").select("v", F.lit(None).cast("string").alias("val"), F.lit(True).alias("is_any"))
     base = const.select("v", "val", "is_any").unionByName(lost)
     none = F.array().cast("array<string>")
-    seed = base.select("v", F.when(F.col("is_any") | F.col("val").isNull(), none).otherwise(F.array("val")).alias("vals"), "is_any")
-
-    def fold(d: DataFrame) -> DataFrame:
-        vals, wide = L.join_strings("vals", "is_any")
-        return d.groupBy("v").agg(vals.alias("vals"), wide.alias("is_any"))
-
-    from lattica.operators.fixpoint import RoundLimit, minus, settle
-
-    now = settle(fold(seed))
-    for _ in range(most_rounds):
-        a = now.select(F.col("v").alias("before"), F.col("vals").alias("a"), F.col("is_any").alias("a_any"))
-        b = now.select(F.col("v").alias("arg"), F.col("vals").alias("b"), F.col("is_any").alias("b_any"))
-        made_vals, made_any = L.append_strings(F.col("a"), F.col("a_any"), F.col("b"), F.col("b_any"))
-        appended = append.join(a, "before").join(b, "arg").select(F.col("after").alias("v"), made_vals.alias("vals"), made_any.alias("is_any"))
-        copied = copy.join(now, copy["src"] == now["v"]).select(F.col("dst").alias("v"), "vals", "is_any")
-        new = settle(fold(union_all([now, appended, copied])))
-        if minus(new, now).isEmpty():
-            return new
-        now = new
-    raise RoundLimit(f"strings did not settle in {most_rounds} rounds")
+    value = lambda vals, wide: F.struct(vals.alias("vals"), wide.alias("is_any"))
+    seed = base.select("v", value(F.when(F.col("is_any") | F.col("val").isNull(), none).otherwise(F.array("val")), F.col("is_any")).alias("x"))
+
+    def appended(before: DataFrame, arg: DataFrame) -> DataFrame:
+        both = append.join(before.select(F.col("v").alias("before"), F.col("x").alias("a")), "before").join(arg.select(F.col("v").alias("arg"), F.col("x").alias("b")), "arg")
+        return both.select(F.col("after").alias("v"), value(*L.append_strings(F.col("a.vals"), F.col("a.is_any"), F.col("b.vals"), F.col("b.is_any"))).alias("x"))
+
+    def step(changed: DataFrame, state: DataFrame) -> DataFrame:
+        copied = copy.join(changed, copy["src"] == changed["v"]).select(F.col("dst").alias("v"), "x")
+        return union_all([copied, appended(changed, state), appended(state, changed)])
+
+    found = rise(seed, ["v"], {"x": lambda c: value(*L.join_strings(f"{c}.vals", f"{c}.is_any"))}, step)
+    return found.select("v", "x.vals", "x.is_any")
 
 
 # --- aggregate reports -----------------------------------------------------------------------------------------
