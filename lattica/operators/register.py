@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.operators.fixpoint import closure, grow, union_all
+from lattica.operators.fixpoint import closure, counted, grow, settle, union_all
 
 #: Exceptions that the virtual machine raises, by opcode.
 IMPLICIT = (
@@ -168,12 +168,12 @@ def unduplicate(stmts: DataFrame, most_rounds: int = 50) -> tuple[DataFrame, Dat
     index = None
     for _ in range(most_rounds):
         key = F.when(F.col("kind") == "phi", F.sort_array(F.array_distinct("key"))).otherwise(F.col("key"))
-        s = stmts.withColumn("key", key).distinct()
+        s = settle(stmts.withColumn("key", key).distinct())
         rep = F.min("def").over(W.partitionBy("m", "kind", "key"))
-        moved = s.withColumn("rep", rep).where("def <> rep").select("m", F.col("def").alias("v"), "rep").distinct()
-        if moved.isEmpty():
+        moved, n = counted(s.withColumn("rep", rep).where("def <> rep").select("m", F.col("def").alias("v"), "rep").distinct())
+        if not n:
             return s, index if index is not None else moved
-        moved = closure_rep(moved)
+        moved = settle(closure_rep(moved))
         index = moved if index is None else closure_rep(index.unionByName(moved))
         stmts = _renamed(s, moved)
     raise RuntimeError("duplicates did not settle")
@@ -191,8 +191,10 @@ def closure_rep(moved: DataFrame) -> DataFrame:
 
 
 def _renamed(stmts: DataFrame, moved: DataFrame) -> DataFrame:
-    s = stmts.withColumn("row", F.monotonically_increasing_id())
-    parts = s.select("m", "row", F.posexplode("key").alias("i", "v")).join(moved, ["m", "v"], "left")
-    keys = parts.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("rep", "v").alias("v")))), lambda x: x["v"]).alias("new_key"))
-    d = s.join(moved.withColumnRenamed("v", "def"), ["m", "def"], "left").join(keys, "row", "left")
-    return d.select("m", "kind", F.coalesce("new_key", "key").alias("key"), F.coalesce("rep", "def").alias("def")).distinct()
+    """Statements after their values' renaming. A statement is known by its columns: a number given to rows where they come
+    to lie may differ when they are read a second time."""
+    row = ["m", "kind", "key", "def"]
+    parts = stmts.select(*row, F.posexplode_outer("key").alias("i", "v")).join(moved, ["m", "v"], "left")
+    new = F.transform(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", F.coalesce("rep", "v").alias("v"))))), lambda x: x["v"])
+    d = parts.groupBy(*row).agg(new.alias("new_key")).join(moved.withColumnRenamed("v", "def"), ["m", "def"], "left")
+    return d.select("m", "kind", F.when(F.col("key").isNotNull(), F.col("new_key")).alias("key"), F.coalesce("rep", "def").alias("def")).distinct()
