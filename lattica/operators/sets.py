@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.fixpoint import minus, settle
@@ -21,9 +23,13 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def bitmaps(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, bucket, bits): dense bit sets in buckets of fixed width, so no set is one value of unbounded size."""
+    """(key, bucket, bits): dense bit sets in buckets of fixed width, so no set is one value of unbounded size.
+
+    Values are brought together before bits are set: a bucket's four kilobytes are neither shuffled nor sorted.
+    """
     v = F.col(value)
-    return rows.groupBy(key, F.bitmap_bucket_number(v).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits"))
+    placed = rows.select(key, value).distinct().select(F.col(key), F.bitmap_bucket_number(v).alias("bucket"), F.bitmap_bit_position(v).alias("__at"))
+    return placed.repartition(key, "bucket").groupBy(key, "bucket").agg(F.bitmap_construct_agg("__at").alias("bits"))
 
 
 def bitmap_sizes(sets: DataFrame, key: str) -> DataFrame:
@@ -37,15 +43,22 @@ def bitmap_union(sets: DataFrame, *keys: str) -> DataFrame:
 def contains_all(sets: DataFrame) -> DataFrame:
     """(a, b): pairs of sets (k, x) with a a subset of b and a <> b.
 
-    A superset holds the rarest element of its subset, so only the sets that hold it are candidates; of those, the pairs
-    that share as many elements as the subset has are kept.
+    A superset holds the rarest element of its subset, so only the sets that hold it are candidates; of those, pairs whose
+    sizes and signatures (a bit an element in 256) allow it are verified: they share as many elements as the subset has.
     """
-    s = sets.select("k", "x").distinct()
+    s = settle(sets.select("k", "x").distinct())
     often = s.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
-    rarest = s.join(often, "x").groupBy(F.col("k").alias("a")).agg(F.min(F.struct("often", "x"))["x"].alias("x"), F.count(F.lit(1)).alias("n"))
-    pairs = rarest.join(s.withColumnRenamed("k", "b"), "x").where("a <> b").select("a", "b", "n")
-    shared = pairs.join(s.withColumnRenamed("k", "a"), "a").join(s.withColumnRenamed("k", "b"), ["b", "x"])
-    return shared.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("shared")).where("shared = n").select("a", "b")
+    h = F.xxhash64("x")
+    bits = [F.bit_or(F.when(F.pmod(F.shiftright(h, 6), F.lit(4)) == i, F.expr("shiftleft(1L, cast(pmod(xxhash64(x), 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(4)]
+    of_set = settle(s.join(often, "x").groupBy("k").agg(F.min(F.struct("often", "x"))["x"].alias("rarest"), F.count(F.lit(1)).alias("n"), *bits))
+    below = of_set.select(F.col("k").alias("a"), F.col("rarest").alias("x"), "n", *[F.col(f"s{i}").alias(f"a{i}") for i in range(4)])
+    above = s.join(of_set, "k").select(F.col("k").alias("b"), "x", F.col("n").alias("__n"), *[f"s{i}" for i in range(4)])
+    fits = reduce(Column.__and__, [F.col(f"a{i}").bitwiseAND(F.col(f"s{i}")) == F.col(f"a{i}") for i in range(4)])
+    pairs = settle(below.join(above, "x").where((F.col("a") != F.col("b")) & (F.col("n") <= F.col("__n")) & fits).select("a", "b", "n"))
+    several = pairs.where("n > 1")
+    shared = several.join(s.withColumnRenamed("k", "a"), "a").join(s.withColumnRenamed("k", "b"), ["b", "x"])
+    verified = shared.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("shared")).where("shared = n")
+    return pairs.where("n = 1").select("a", "b").union(verified.select("a", "b"))
 
 
 def as_map(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
