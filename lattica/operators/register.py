@@ -143,14 +143,18 @@ def discover(entry: DataFrame, call: DataFrame, alloc: DataFrame, targets: DataF
 
     ``call`` is (m, dispatch, target, selector), ``alloc`` (m, t), ``targets`` (t, selector, callee).
     """
-    direct, virtual = call.where("dispatch <> 'virtual'").select("m", F.col("target").alias("callee")), call.where("dispatch = 'virtual'").select("m", "selector")
+    direct = settle(call.where("dispatch <> 'virtual'").select("m", F.col("target").alias("callee")).distinct())
+    virtual = settle(call.where("dispatch = 'virtual'").select("m", "selector").join(targets, "selector").select("m", "t", "callee").distinct())
+    alloc = settle(alloc.select("m", "t").distinct())
 
     def step(d, t):
-        pairs = [(d["reach"], t["inst"]), (t["reach"], d["inst"])]
-        waiting = [r.join(virtual, "m").join(targets, "selector").join(i, "t").select(F.col("callee").alias("m")) for r, i in pairs]
+        pairs = [(r, i) for r, i in ((d.get("reach"), t["inst"]), (t["reach"], d.get("inst"))) if r is not None and i is not None]
+        waiting = [r.join(virtual, "m").join(i, "t").select(F.col("callee").alias("m")) for r, i in pairs]
+        if "reach" not in d:
+            return {"reach": waiting}
         return {"reach": [d["reach"].join(direct, "m").select(F.col("callee").alias("m")), *waiting], "inst": [d["reach"].join(alloc, "m").select("t")]}
 
-    found = grow({"reach": entry.select("m"), "inst": alloc.select("t").limit(0)}, step)
+    found = grow({"reach": entry.select("m"), "inst": alloc.select("t").limit(0)}, step, sparse=True)
     return found["reach"], found["inst"]
 
 

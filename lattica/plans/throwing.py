@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import exceptions as X
+from lattica.operators.fixpoint import settle
 from lattica.plans.catalog import query
 
 TYPES = ("NullPointerException", "ClassCastException", "ArithmeticException", "IOException", "RuntimeException", "Exception")
@@ -22,6 +24,15 @@ _SQL = {
 _PAIRS = [("Exception", t) for t in TYPES] + [("RuntimeException", t) for t in TYPES[:3]] + [(t, t) for t in TYPES[:-1]]
 
 
+def _native(spark, m: DataFrame) -> DataFrame:
+    """The rows of ``_SQL["native"]``: its NOT IN, as Spark plans it, sends all lines through the driver; an anti-join does
+    not. As there, a line without a number leaves no row."""
+    o = spark.table("lattica_orders").select(F.col("o_orderkey").alias("m")).where("m is not null")
+    alone = o.join(m, "m", "left_anti").join(F.broadcast(m.where("m is null").limit(1).select(F.lit(True).alias("unknown"))), F.col("unknown"), "left_anti")
+    kinds = F.array(F.lit("RuntimeException"), F.when(F.col("m") % 2 == 0, "IOException").otherwise("RuntimeException"))
+    return alone.select("m", F.explode(F.array_distinct(kinds)).alias("type")).distinct()
+
+
 def _program(spark, sf_dir) -> X.Throwing:
     for t in ("lineitem", "orders"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"lattica_{t}")
@@ -30,9 +41,11 @@ def _program(spark, sf_dir) -> X.Throwing:
         text = sql.replace("FROM lineitem", "FROM lattica_lineitem").replace("FROM orders", "FROM lattica_orders").replace("FROM line ", "FROM lattica_line ").replace("FROM line)", "FROM lattica_line)")
         found[name] = spark.sql(text.replace("FROM line UNION", "FROM lattica_line UNION") if not text.endswith("FROM line") else text[: -len("line")] + "lattica_line")
         if name == "line":
+            found[name] = settle(found[name])
             found[name].createOrReplaceTempView("lattica_line")
-    m = found["line"].select("m").distinct()
+    m = settle(found["line"].select("m").distinct())
     at = lambda bb: m.select("m", F.lit(bb).cast("long").alias("bb"))
+    found = {k: settle(d) for k, d in found.items() if k not in ("line", "native")} | {"native": settle(_native(spark, m))}
     return X.Throwing(found["raised"], found["calls"], found["edges"], found["catches"], spark.createDataFrame(_PAIRS, "sup string, sub string"), at(EXIT), at(0), found["native"])
 
 
