@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from operator import attrgetter
 
 import regex
 
@@ -19,6 +20,7 @@ _PARTS = re.compile(rf" ?[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t-\r {_LATIN}0-9
 _ALL_PARTS = regex.compile(PATTERN).findall
 #: Longer pieces are encoded each time, so that a memo's keys are short.
 LONGEST_KEY = 64
+_ID = attrgetter("id")
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,23 +39,28 @@ class Memo(dict):
 
     A text of ASCII and Latin letters is cut into pre-tokens; any other, and one with one of ``specials``, is cut before
     the spaces that follow a non-space, which no pre-token crosses, and there into pre-tokens or left whole. ``encode``
-    takes either. There are two generations: when the young one holds ``limit`` pieces it becomes the old one, and what is
+    takes either, ``single`` only a pre-token of ASCII and Latin letters without ``specials``. There are two generations: when the young one holds ``limit`` pieces it becomes the old one, and what is
     asked for again moves on; the rest is forgotten.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], specials: tuple[str, ...] = (), limit: int = 250_000):
-        self.encode, self.specials, self.limit, self.old = encode, specials, limit, {}
+    def __init__(self, encode: Callable[[str], list[int]], specials: tuple[str, ...] = (), limit: int = 250_000, single: Callable[[str], Iterable[int]] | None = None):
+        self.encode, self.specials, self.limit, self.old, self.single = encode, specials, limit, {}, single or encode
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            found = array("I", self.encode(piece)).tobytes()
+            found = array("I", (self.single if self._plain(piece) else self.encode)(piece)).tobytes()
         if len(piece) <= LONGEST_KEY:
             self[piece] = found
         return found
 
     def _plain(self, text: str) -> bool:
-        return _SIMPLE(text) is not None and not any(s in text for s in self.specials)
+        if _SIMPLE(text) is None:
+            return False
+        for s in self.specials:
+            if s in text:
+                return False
+        return True
 
     def _pieces(self, text: str) -> list[str]:
         if self._plain(text):
@@ -109,13 +116,16 @@ class Library:
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
+    def single(self, text: str) -> Iterable[int]:
+        """``encode`` of one pre-token of ASCII and Latin letters that holds no special string."""
+        if text.isascii() and text.removeprefix(" ").isalpha():
+            return map(_ID, self.tokenize(text.replace(" ", self.space)))
+        return map(_ID, self.tokenize(text.encode().decode("latin-1").translate(self.table)))
+
     def encode(self, text: str) -> list[int]:
-        word = text[1:]
-        if text[:1] == " " and word.isalpha() and word.isascii():
-            return [t.id for t in self.tokenize(self.space + word)]
         if _SIMPLE(text) and not any(s in text for s in self.specials) and len(_PARTS(text)) == 1:
-            return [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.table))]
+            return list(self.single(text))
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def memo(self, limit: int = 250_000) -> Memo:
-        return Memo(self.encode, self.specials, limit)
+        return Memo(self.encode, self.specials, limit, self.single)
