@@ -36,6 +36,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 _NEVER = 1 << 60
+#: The bits of a start that name its node.
+_NODE = (1 << 32) - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], below: int = _NEVER) -> list[int]:
@@ -59,39 +61,56 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = _NEVER) -> list[in
 class Transducer:
     """``encode(piece)`` gives the ids of one pre-token; states and fitting pairs are remembered up to ``limit``.
 
-    A state holds each start of a token that may still be open: its bytes so far and the token before it. An arc's
-    label is the token in which the bytes read so far end.
+    A state holds each start of a token that may still be open: its bytes so far, as a node of the tree of all tokens, and
+    the token before it, both in one number. An arc's label is the token in which the bytes read so far end.
     """
 
     def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.size_of = {v: len(k) for k, v in ranks.items()}
-        self.open = {k[:i] for k in ranks for i in range(1, len(k))}
-        self.halves: dict[int, tuple[bytes, ...]] = {}
+        self._grow_tree()
+        self.halves: dict[int, tuple[bytes, int, bytes, int] | tuple[()]] = {}
         self._reset()
 
     def _reset(self) -> None:
         """Back to the first state: states are built again as texts visit them."""
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.number: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.arcs: dict[int, int] = {}  # state * 256 + byte -> next state << 24 | label
-        self._state(((b"", -1),))
-
-    def _state(self, s: tuple) -> int:
+        self.fits: dict[int, bool] = {}  # token before + 1 << 32 | token
+        self.number: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []  # of token before + 1 << 32 | node, longest start first
+        self.arcs: dict[int, int] = {}  # state * 256 + byte -> (next state * 256) << 24 | label
+        self._state((0,))
+
+    def _grow_tree(self) -> None:
+        """Nodes are the starts of tokens, 0 the empty one: what a byte leads to, the token that a node is (or -1), its
+        length, and whether a longer token goes on from it."""
+        self.child: dict[int, int] = {}  # node * 256 + byte -> node
+        self.token, self.depth, self.more = [-1], [0], [True]
+        for k, v in self.ranks.items():
+            node = 0
+            for c in k:
+                to = self.child.get(node << 8 | c)
+                if to is None:
+                    to = self.child[node << 8 | c] = len(self.token)
+                    self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.more.append(False)
+                    self.more[node] = True
+                node = to
+            self.token[node] = v
+
+    def _state(self, s: tuple[int, ...]) -> int:
         n = self.number.get(s)
         if n is None:
             n = self.number[s] = len(self.states)
             self.states.append(s)
         return n
 
-    def _halves(self, t: int) -> tuple[bytes, ...]:
-        """The two pieces that the last merge of token ``t`` joins; none if merges do not lead to it."""
-        found = self.halves.get(t)
-        if found is None:
-            parts = merge(self.bytes_of[t], self.ranks, t)
-            found = self.halves[t] = tuple(self.bytes_of[p] for p in parts) if len(parts) == 2 else ()
+    def _halves(self, t: int) -> tuple[bytes, int, bytes, int] | tuple[()]:
+        """The two pieces that the last merge of token ``t`` joins, each with its rank (-1: a single byte); none if merges
+        do not lead to it."""
+        parts = merge(self.bytes_of[t], self.ranks, t)
+        found = self.halves[t] = tuple(x for p in parts for x in (self.bytes_of[p], p if self.size_of[p] > 1 else -1)) if len(parts) == 2 else ()
         return found
 
     def _fit(self, a: int, b: int) -> bool:
@@ -99,52 +118,58 @@ class Transducer:
         two pieces that meet there make a token that comes before the next merge on either side."""
         if a < 0:
             return True
-        known = self.fits.get((a, b))
+        known = self.fits.get(a + 1 << 32 | b)
         if known is None:
-            x, y, limit, rank_of = self.bytes_of[a], self.bytes_of[b], _NEVER, self.ranks.get
+            x, y, limit, rank_of, halves_of = self.bytes_of[a], self.bytes_of[b], _NEVER, self.ranks.get, self.halves.get
+            s, t = a if len(x) > 1 else -1, b if len(y) > 1 else -1
             while True:
                 if rank_of(x + y, _NEVER) < limit:
                     known = False
                     break
-                s, t = rank_of(x) if len(x) > 1 else -1, rank_of(y) if len(y) > 1 else -1
                 if s == t == -1:
                     known = True
                     break
-                limit = max(s, t)
-                if not (halves := self._halves(limit)):
+                last = s if s > t else t
+                halves = halves_of(last)
+                if not halves and not (halves := self._halves(last)):
                     known = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
                     break
                 if s > t:
-                    x = halves[1]
+                    limit, (_, _, x, s) = last, halves
                 else:
-                    y, limit = halves[0], limit + 1
-            self.fits[a, b] = known
+                    limit, (y, t, _, _) = last + 1, halves
+            self.fits[a + 1 << 32 | b] = known
         return known
 
     def _arc(self, s: int, c: int) -> int:
-        out, label = [], -1
-        for held, before in self.states[s]:
-            held += bytes((c,))
-            t = self.ranks.get(held)
-            if label < 0 and t is not None and self._fit(before, t):
-                label = t
-            if held in self.open:
-                out.append((held, before))
-        arc = self.arcs[s << 8 | c] = self._state((*out, (b"", label))) << 24 | label
+        out, label, child, token, more, fits = [], -1, self.child.get, self.token, self.more, self.fits.get
+        for x in self.states[s]:
+            node = child((x & _NODE) << 8 | c)
+            if node is None:
+                continue
+            if label < 0 and (t := token[node]) >= 0:
+                known = fits(x & ~_NODE | t)
+                if self._fit((x >> 32) - 1, t) if known is None else known:
+                    label = t
+            if more[node]:
+                out.append(x & ~_NODE | node)
+        out.append(label + 1 << 32)
+        arc = self.arcs[s << 8 | c] = self._state(tuple(out)) << 32 | label
         return arc
 
     def emit(self, labels: list[int]) -> list[int]:
-        """The tokens that end where the labels end, first to last."""
-        out, at = [], len(labels)
+        """The tokens that end where the labels (or their arcs) end, first to last."""
+        out, at, size_of = [], len(labels), self.size_of
         while at:
-            out.append(labels[at - 1])
-            at -= self.size_of[labels[at - 1]]
+            t = labels[at - 1] & 0xFFFFFF
+            out.append(t)
+            at -= size_of[t]
         return out[::-1]
 
     def settle(self, s: int, labels: list[int]) -> list[int]:
         """The tokens that no byte to come can change, taken off the front of ``labels``: those before the place where
         the ways back from all open starts of state ``s`` meet."""
-        starts = {len(labels) - len(held) for held, _ in self.states[s]}
+        starts = {len(labels) - self.depth[x & _NODE] for x in self.states[s]}
         while len(starts) > 1:
             last = max(starts)
             starts.remove(last)
@@ -158,11 +183,11 @@ class Transducer:
         """Ids of one pre-token's bytes, each as soon as it is settled; ``held`` are the labels kept meanwhile."""
         s, labels = 0, [] if held is None else held
         for n, c in enumerate(piece, 1):
-            arc = self.arcs.get(s << 8 | c) or self._arc(s, c)
+            arc = self.arcs.get(s | c) or self._arc(s >> 8, c)
             s = arc >> 24
             labels.append(arc & 0xFFFFFF)
             if n % SETTLE == 0:
-                yield from self.settle(s, labels)
+                yield from self.settle(s >> 8, labels)
         yield from self.emit(labels)
 
     def encode(self, piece: bytes) -> list[int]:
@@ -172,12 +197,12 @@ class Transducer:
             self._reset()
         if len(piece) >= SETTLE:
             return list(self.stream(piece))
-        s, labels, arc_of = 0, [], self.arcs.get  # too short to settle before its end
+        s, arcs, arc_of = 0, [], self.arcs.get  # too short to settle before its end
         for c in piece:
-            arc = arc_of(s << 8 | c) or self._arc(s, c)
+            arc = arc_of(s | c) or self._arc(s >> 8, c)
             s = arc >> 24
-            labels.append(arc & 0xFFFFFF)
-        return self.emit(labels)
+            arcs.append(arc)
+        return self.emit(arcs)
 
 
 class Decoder:
@@ -207,7 +232,7 @@ def _tools(path: str):
     if path not in _WORKER:
         ranks = load_ranks(path)
         machine = Transducer(ranks)
-        memo = Memo(lambda text: [t for p in pretokens(text) for t in machine.encode(p.encode())], limit=120_000)
+        memo = Memo(lambda text: [t for p in pretokens(text) for t in machine.encode(p.encode())], limit=120_000, single=lambda text: machine.encode(text.encode()))
 
         def forget() -> None:
             machine._reset()

@@ -417,3 +417,18 @@ def test_awkward_values(awkward):
     assert kept.columns == awkward.columns
     mixed = mixing.mix(awkward).collect()
     assert all(r["taken"] <= 2 * r["size"] for r in mixed) and {r["size"] for r in mixed if r["doc_id"] in (1, 2, 3)} == {0}
+
+
+def test_remembered_pieces_are_those_of_the_library_and_the_ranks():
+    """Pre-tokens of plain texts take a shorter way to the library and to the transducer, whose states are plain numbers."""
+    texts = ["Plain words, plain  words\n\tand 12 numbers 3.5 don't", " ", "", "  two", "naïve façade Ärger ñandú, Łódź", "x<|endoftext|>y plain", "\x00\x1f \x7f", "日本語 mixed é", "a\u00a0b it's 'll"]
+    library = pretokens.Library(JSON)
+    memo = library.memo()
+    assert [np.frombuffer(x, "<u4").tolist() for x in memo.ids(texts)] == [library.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(library.single(" words")) == library.encode(" words")
+    ranks = bpe_transducer.load_ranks(RANKS)
+    memo = bpe_transducer._tools(RANKS)[0]
+    assert [np.frombuffer(x, "<u4").tolist() for x in memo.ids(texts)] == [[i for p in pretokens.pretokens(t) for i in bpe_transducer.merge(p.encode(), ranks)] for t in texts]
+    machine = bpe_transducer.Transducer(ranks)
+    machine.encode(b" transducers")
+    assert len(machine.states) > 5 and all(isinstance(x, int) for s in machine.states for x in s)
