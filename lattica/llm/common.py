@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but the ASCII space and 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
 _SHIPPED: set[str] = set()
+#: Bytes of a batch of rows on its way to a Python worker: whole texts would fill some 20 MB, in each of several buffers.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once a session, so that workers import it from any folder."""
+    """Send this package to the executors once a session, so that workers import it from any folder, and keep what goes to
+    workers at once small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -143,6 +143,14 @@ def comparable(texts: DataFrame) -> float:
     return sum(c * (c + n.get(k + 1, 0)) for k, c in n.items()) / max(1, sum(n.values())) ** 2
 
 
+def signed_again(now: DataFrame) -> DataFrame:
+    """Signatures (key, own, fp, node, size, root) of the rows that are searched a second time. Any parts and thresholds
+    find all pairs of them, so these are chosen for their number, which is far below that of all texts: a row has
+    signatures as these few rows need them, not as all texts did."""
+    words, share = [now.select(F.col(f"w{k}").alias("fp"), "node", "size", "root") for k in range(WORDS)], comparable(now)
+    return reduce(DataFrame.union, [signatures(w, allocate(*bit_statistics(w), WITHIN, share), k) for k, w in enumerate(words)])
+
+
 def links(docs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataFrame:
     """(a, root) over the nodes of ``texts`` (node, least, size, w0, ...) that have a near-duplicate."""
     all_words = [f"w{k}" for k in range(WORDS)]
@@ -158,8 +166,7 @@ def links(docs: DataFrame, texts: DataFrame, shingle: int, tenths: int) -> DataF
     # A bucket that listed all its links has none left: only rows of the others are searched again.
     trees = first.where("tree").select(F.col("a").alias("node")).union(first.where("tree").select("b")).distinct()
     now = cut(some.join(trees, "node", "left_semi").join(components(held).withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    again = [signatures(now.select(F.col(f"w{k}").alias("fp"), "node", "size", "root"), plan, k) for k, plan in enumerate(plans)]
-    found = cut(bridges(reduce(DataFrame.union, again), WITHIN))
+    found = cut(bridges(signed_again(now), WITHIN))
     rows = found.where("key is not null").groupBy(F.col("a").alias("node")).agg(F.collect_list(F.struct(F.col("b").alias("fp"), "key", "own")).alias("buckets"))  # as many as a node has signatures
     dense = rows.join(now.select("node", "size", "root").join(sets.select("node", "sketch"), "node"), "node").select("node", "size", "root", "sketch", F.explode("buckets").alias("at")).select("node", "size", "root", "sketch", "at.*")
     pairs = found.where("key is null").select("a", "b").union(compared(dense, WITHIN, tenths)).distinct()

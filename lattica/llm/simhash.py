@@ -27,6 +27,8 @@ BITS = 64
 PROBE_COST = 100.0
 #: Buckets up to this size are compared pair by pair; larger ones are searched breadth-first.
 SMALL_BUCKET, SPLIT_BUCKET = 64, 20_000
+#: Rows of whole buckets that a task holds at once, where a bucket has no more.
+TABLE = 200_000
 #: In the second pass, buckets beyond this size are compared root by root.
 LARGE_BUCKET = 256
 
@@ -380,7 +382,7 @@ def search(signed: DataFrame, within: int) -> DataFrame:
     several = "w" in signed.columns
 
     def run(batches):
-        for t in whole_keys(batches, 500_000):
+        for t in whole_keys(batches, TABLE):
             c, sizes = _by_size(t)
             prints = np.stack([c[x].view(_U) for x in ("fp", "w")], 1) if several else None
             i, j, tree = bucket_links(c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool), within, prints)
@@ -398,7 +400,7 @@ def bridges(signed: DataFrame, within: int) -> DataFrame:
     roots; else a is a node and b its print in the large bucket ``key``, where it is linked to some node of another root."""
 
     def run(batches):
-        for t in whole_keys(batches, 500_000):
+        for t in whole_keys(batches, TABLE):
             c, sizes = _by_size(t)
             i, j, dense = bucket_bridges(c["key"], c["fp"].view(_U), sizes, c["own"].astype(bool), within, c["root"])
             a, b = c["node"][i], c["node"][j]

@@ -105,3 +105,19 @@ def test_large_buckets_find_all_rows_that_other_components_link():
         finally:
             simhash.SPLIT_BUCKET = most
         assert set(dense.tolist()) == set(np.flatnonzero(pair.any(1)).tolist())
+
+
+def test_second_search_has_signatures_for_its_own_rows(spark):
+    """Few rows need few signatures, however many texts the first search had; every linked pair still meets."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 64, (30, S.WORDS), np.uint64)
+    rows = []
+    for n in range(300):
+        flips = [sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(S.WORDS)]
+        rows.append((n, 100, n, *[int(np.uint64(int(w) ^ f).astype(np.int64)) for w, f in zip(base[n % 30], flips)]))
+    now = spark.createDataFrame(rows, f"node long, size int, root long, {', '.join(f'w{k} long' for k in range(S.WORDS))}")
+    signed = S.signed_again(now)
+    assert signed.count() <= 300 * S.WORDS * (S.WITHIN + 1)
+    found = S.bridges(signed, S.WITHIN).where("key is null").select("a", "b").distinct().collect()
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and any(((a[k] ^ b[k]) & (2**64 - 1)).bit_count() <= S.WITHIN for k in range(3, 3 + S.WORDS))}
+    assert len(want) > 1000 and {(r["a"], r["b"]) for r in found} == want
