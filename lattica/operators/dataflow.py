@@ -6,9 +6,12 @@ along the out-edges, and joins them at the targets; blocks that did not change a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +21,20 @@ from lattica.operators.fixpoint import follow, grow, rise, settle, union_all
 def solve_blocks(edges: DataFrame, seed: DataFrame, join: dict[str, Callable[[str], Column]], transfer: Callable[[DataFrame], DataFrame] | None = None, backward: bool = False, widen: Callable[[DataFrame], DataFrame] = lambda d: d, most_rounds: int | None = None) -> DataFrame:
     """Facts that hold on entry to each block: (m, bb, slot, *join).
 
-    Without a ``transfer`` facts also move along hops of 2, 4, 8, ... edges, so the rounds grow with the logarithm of a
-    method's blocks; with one, a round passes every block that changed and the rounds grow with the longest path.
+    Without a ``transfer`` facts reach blocks as they are: they are carried method by method, without rounds, and joined
+    where they meet. With one, a round passes every block that changed and the rounds grow with the longest path.
     ``edges`` is (m, src, dst, kind); ``seed`` holds facts at entries. ``transfer`` maps rows of a block's entry facts to
     exit facts; if it adds a column ``on`` they follow only edges of that kind. ``backward`` runs against the edges.
     """
-    e = edges.select("m", F.col("dst" if backward else "src").alias("bb"), F.col("src" if backward else "dst").alias("to"), "kind").distinct()
+    e = edges.select("m", F.col("dst" if backward else "src").alias("bb"), F.col("src" if backward else "dst").alias("to"), "kind")
     if transfer is None:
-        e = hops(e.select("m", "bb", "to").distinct(), backward)
+        at = carried(e.select("m", "bb", "to"), seed.select("m", "bb", "slot", *join), backward)
+        return widen(at.groupBy("m", "bb", "slot").agg(*[f(c).alias(c) for c, f in join.items()]))
+
+    e = e.distinct()
 
     def step(changed: DataFrame, state: DataFrame) -> DataFrame:
-        out = transfer(changed) if transfer else changed
+        out = transfer(changed)
         moved = out.join(e, ["m", "bb"])
         if "on" in out.columns:
             moved = moved.where("on is null or on = kind")
@@ -37,34 +43,101 @@ def solve_blocks(edges: DataFrame, seed: DataFrame, join: dict[str, Callable[[st
     return rise(seed, ["m", "bb", "slot"], join, step, widen, most_rounds)
 
 
-def hops(edges: DataFrame, backward: bool = False) -> DataFrame:
-    """``edges`` (m, bb, to) with shortcuts: from each block along one edge of its own, 2, 4, 8, ... times.
+def carried(edges: DataFrame, seed: DataFrame, backward: bool = False) -> DataFrame:
+    """``seed`` (m, bb, ...) with a row for each block that its rows' blocks lead to along ``edges`` (m, bb, to).
 
-    A path of n such edges then is one of at most log n, at log n rows for each block. The edge is the one to the nearest
-    block ahead, or behind if the edges are turned round: those make up the long paths.
+    A method is one group of a task, as in ``dominators``. Rows without a method or block lead nowhere.
     """
-    edges = settle(edges)
-    if backward:
-        nearest = F.coalesce(F.max(F.when(F.col("to") < F.col("bb"), F.col("to"))), F.min("to"))
-    else:
-        nearest = F.coalesce(F.min(F.when(F.col("to") > F.col("bb"), F.col("to"))), F.max("to"))
-    jump = edges.groupBy("m", "bb").agg(nearest.alias("to"))
-    most = edges.groupBy("m").agg(F.countDistinct("bb").alias("n")).agg(F.max("n")).first()[0] or 0
-    found, length = [edges], 1
-    while 2 * length <= most:
-        jump = settle(jump.join(jump.select("m", F.col("bb").alias("to"), F.col("to").alias("far")), ["m", "to"]).select("m", "bb", F.col("far").alias("to")))
-        found.append(jump)
-        length *= 2
-    return settle(union_all(found).distinct())
+    more = [c for c in seed.columns if c not in ("m", "bb")]
+    here = seed.select(F.col("m").cast("long").alias("m"), F.col("bb").cast("long").alias("bb"), *more)
+    rows = here.select("m", "bb", F.lit(None).cast("long").alias("to"), *more).where("m is not null and bb is not null")
+    ways = edges.where("m is not null and bb is not null and to is not null").select(F.col("m").cast("long").alias("m"), F.col("bb").cast("long").alias("bb"), F.col("to").cast("long").alias("to"))
+    both = rows.unionByName(ways, allowMissingColumns=True).repartition("m").sortWithinPartitions("m")
+    lost = here.where("m is null or bb is null").distinct()
+    return both.mapInArrow(_carrier(more, backward), here.schema).unionByName(lost)
+
+
+def _carrier(more: list[str], backward: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The work of a task. Its functions are made here so that they travel whole: workers need not find this package."""
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by ascending m: whole methods at once, the last one is held until it is complete."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = b.column("m").to_numpy()
+            if m[0] == m[-1] and held and held[-1].column("m")[0].as_py() == m[0]:
+                held.append(b)
+                continue
+            last = int(np.searchsorted(m, m[-1]))
+            if last or held:
+                yield from spread(pa.Table.from_batches([*held, b.slice(0, last)]))
+            held = [b.slice(last)]
+        if held:
+            yield from spread(pa.Table.from_batches(held))
+
+    def spread(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        m = t["m"].to_numpy()
+        starts = [0, *(np.flatnonzero(m[1:] != m[:-1]) + 1).tolist(), len(m)]
+        src, to = t["bb"].to_pylist(), t["to"].to_pylist()
+        words = list(zip(*[t[c].to_pylist() for c in more])) if more else [()] * len(m)
+        at, block = [], []
+        for a, end in zip(starts, starts[1:]):
+            next_: dict[int, list[int]] = {}
+            mask: dict[int, int] = {}
+            bits: dict[str, int] = {}
+            rows: list[int] = []  # a row of the seed for each bit
+            for i in range(a, end):
+                if to[i] is not None:
+                    next_.setdefault(src[i], []).append(to[i])
+                    continue
+                word = repr(words[i])
+                if word not in bits:
+                    bits[word] = 1 << len(rows)
+                    rows.append(i)
+                mask[src[i]] = mask.get(src[i], 0) | bits[word]
+            # blocks that changed, the nearest to the start first: most paths lead on in that direction
+            sign = -1 if backward else 1
+            todo = [sign * b for b in mask]
+            heapq.heapify(todo)
+            waiting = set(todo)
+            while todo:
+                key = heapq.heappop(todo)
+                waiting.discard(key)
+                has = mask[sign * key]
+                for d in next_.get(sign * key, ()):
+                    old = mask.get(d, 0)
+                    if has & ~old:
+                        mask[d] = old | has
+                        if sign * d not in waiting:
+                            waiting.add(sign * d)
+                            heapq.heappush(todo, sign * d)
+            told: dict[int, list[int]] = {}
+            for b, has in mask.items():
+                if has not in told:
+                    told[has] = [r for k, r in enumerate(rows) if has >> k & 1]
+                at += told[has]
+                block += [b] * len(told[has])
+                if len(at) >= 1 << 16:
+                    yield from taken(t, at, block)
+                    at, block = [], []
+        yield from taken(t, at, block)
+
+    def taken(t: pa.Table, at: list[int], block: list[int]) -> Iterator[pa.RecordBatch]:
+        if at:
+            found = t.select(["m", *more]).take(pa.array(at, pa.int64()))
+            yield from found.add_column(1, "bb", pa.array(block, pa.int64())).combine_chunks().to_batches()
+
+    return carry
 
 
 def reachable_blocks(edges: DataFrame, entries: DataFrame, dead: DataFrame | None = None) -> DataFrame:
     """(m, bb) reached from ``entries`` (m, bb) along ``edges`` without the ``dead`` ones (m, src, dst)."""
-    live = edges.select("m", "src", "dst").distinct()
+    live = edges.select("m", "src", "dst")
     if dead is not None:
         live = live.join(dead.select("m", "src", "dst"), ["m", "src", "dst"], "left_anti")
-    live = hops(live.select("m", F.col("src").alias("bb"), F.col("dst").alias("to")))
-    return follow(entries.select("m", "bb"), lambda d: d.join(live, ["m", "bb"]).select("m", F.col("to").alias("bb")))
+    return carried(live.select("m", F.col("src").alias("bb"), F.col("dst").alias("to")), entries.select("m", "bb"))
 
 
 def exception_successors(thrown: DataFrame, edges: DataFrame, catch_type: DataFrame, subtype: DataFrame, exits: DataFrame) -> DataFrame:
