@@ -156,12 +156,15 @@ def handlers(edges: DataFrame, catch_type: DataFrame) -> DataFrame:
 
 
 def routes(thrown: DataFrame, handler: DataFrame, subtype: DataFrame, exits: DataFrame) -> DataFrame:
-    """``exception_successors`` over ``handlers``."""
-    h = thrown.join(handler, ["m", "bb"])
-    sure = h.join(subtype, (h["caught"] == subtype["sup"]) & (h["type"] == subtype["sub"])).select("m", "bb", "type", "dst")
-    maybe = h.where("is_call").join(subtype, (h["caught"] == F.col("sub")) & (h["type"] == F.col("sup"))).select("m", "bb", "type", "dst")
-    exit_to = thrown.join(sure, ["m", "bb", "type"], "left_anti").join(exits.select("m", F.col("bb").alias("dst")), "m").select("m", "bb", "type", "dst")
-    return union_all([sure, maybe, exit_to]).distinct()
+    """``exception_successors`` over ``handlers``: a row thrown meets its handlers and its method's exits once each."""
+    above = subtype.select(F.col("sup").alias("caught"), F.col("sub").alias("type"), F.lit(True).alias("sure"))
+    below = subtype.select(F.col("sub").alias("caught"), F.col("sup").alias("type"), F.lit(True).alias("maybe"))
+    h = thrown.join(handler, ["m", "bb"], "left").join(above, ["caught", "type"], "left").join(below, ["caught", "type"], "left")
+    takes = F.col("sure") | (F.col("maybe") & F.col("is_call"))
+    found = h.groupBy("m", "bb", "type").agg(F.collect_set(F.when(takes, F.col("dst"))).alias("to"), F.coalesce(F.bool_or("sure"), F.lit(False)).alias("caught"))
+    outs = exits.groupBy("m").agg(F.collect_set("bb").alias("outs"))
+    left = F.when(F.col("caught") | F.col("outs").isNull(), F.col("to")).otherwise(F.array_union("to", "outs"))
+    return found.join(outs, "m", "left").select("m", "bb", "type", F.explode(left).alias("dst"))
 
 
 def branch_successors(branches: DataFrame, edges: DataFrame) -> DataFrame:
