@@ -155,7 +155,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
     shards = _parts(c.select("vec_id", "v"), n_c).withColumnRenamed("part", "shard")
     # A stated set of queries against all rows: every block once to every shard, both of bounded size.
     sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
-    met = shards.join(sent, ["dim", "shard"]).select("dim", "shard", "block", "ids", "vectors", "q_ids", "q_vectors")
+    # Neither side may be broadcast: packed rows count as few bytes in Spark's estimates. A shard is one row of its key.
+    met = sent.join(shards.hint("merge"), ["dim", "shard"]).select("dim", "shard", "block", "ids", "vectors", "q_ids", "q_vectors")
     found = met.mapInArrow(partial(_pairs, k), "query_id long, q_key string, vec_id long, score long")
     first = F.row_number().over(W.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "vec_id"))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
